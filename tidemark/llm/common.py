@@ -59,3 +59,34 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def strip_ws(col):
     """A string without the contract's white space at either end."""
     return F.btrim(col, F.lit(WS_CHARS))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per application; a zip file of its sources goes along."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.parent.is_dir():
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidemark-src-")), "tidemark_src.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent).as_posix())
+        sc.addPyFile(path)
+    sc._tidemark_shipped = True
+
+
+def slices(texts: list, most: int = 4_000_000):
+    """Ranges of rows of a batch holding about ``most`` characters or bytes each; no row is split."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
