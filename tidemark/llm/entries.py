@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read
+from tidemark.llm.lines import line_dedup
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.tokens import token_counts
 
@@ -20,6 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup(docs, min_docs=10, keep_first=False, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -39,10 +46,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLES = {
     "op2_quality_rules": oracles.OP2,
+    "op3_line_dedup": oracles.OP3,
 }

@@ -54,3 +54,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND kept_chars >= {_R.min_kept_share}::DOUBLE * chars AS kept
 FROM base
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM d),
+kl AS (SELECT r, k, l, {_LOWER.format(f"trim(l, {_WS})")} AS key FROM l),
+hot AS (SELECT key FROM kl WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+per AS (
+  SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE hot.key IS NOT NULL)::BIGINT AS n_dropped,
+    coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (WHERE hot.key IS NULL), '') AS kept
+  FROM kl LEFT JOIN hot USING (key) GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN per USING (r)
+"""
