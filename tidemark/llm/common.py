@@ -56,6 +56,11 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def keep_columns(df: DataFrame, made: tuple[str, ...]) -> list[str]:
+    """Columns of ``df`` but those that the names of ``made`` replace, whatever the case."""
+    return [c for c in df.columns if c.lower() not in made]
+
+
 def strip_ws(col):
     """A string without the contract's white space at either end."""
     return F.btrim(col, F.lit(WS_CHARS))

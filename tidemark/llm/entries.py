@@ -11,6 +11,7 @@ from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
 
 
@@ -44,11 +45,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash_components(docs, words=3, radius=2)
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {
