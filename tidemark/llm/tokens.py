@@ -34,7 +34,7 @@ from tidemark.llm.common import ship, slices
 #: Entries of the broadcast table, of a task's summary, and of a task's counter before it is cut back to its summary.
 TABLE_SIZE, SUMMARY_SIZE, COUNTER_SIZE = 32_768, 8_192, 200_000
 #: Worker cache: entries, and characters of one entry. Only short pre-tokens are worth a place.
-CACHE_SIZE, CACHE_CHARS = 300_000, 64
+CACHE_SIZE, CACHE_CHARS = 1_000_000, 64
 #: Ranges in which the library and the ``regex`` module class every character alike (held by a test).
 PLAIN = "\x00-՗ -⁯぀-ゖ゠-ヿ一-龥가-힣"
 
@@ -54,7 +54,7 @@ class Counting:
         self.odd = regex.compile(f"[^{PLAIN}]").search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)).split if special else None
-        self.cache: dict[str, int] = {}
+        self.table_name, self.table, self.known = "", {}, {}
 
     def split(self, text: str) -> tuple[list[str], int] | None:
         """Pieces of a text and its number of special strings; None if the library has to see it whole."""
@@ -66,29 +66,30 @@ class Counting:
         return list(chain.from_iterable(map(self.pieces_of, parts))), len(parts) - 1
 
     def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def count(self, texts: list[str], table: dict[str, int]) -> list[int]:
+    def use(self, name: str, table: dict[str, int]) -> None:
+        """Take a broadcast table as the first tier; the worker's own finds are added to a copy of it."""
+        self.table_name, self.table, self.known = name, table, dict(table)
+
+    def count(self, texts: list[str]) -> list[int]:
         split = [self.split(t) for t in texts]
         distinct = set(chain.from_iterable(s[0] for s in split if s))
-        distinct.difference_update(table)
-        missing = [p for p in distinct if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_SIZE:
-            self.cache, missing = {}, list(distinct)
+        missing = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_SIZE + len(self.table):
+            self.known = dict(self.table)
+            missing = [p for p in distinct if p not in self.known]
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
-            self.cache.update(zip(part, self.lengths(part), strict=True))
-        own = self.cache
-        here = {p: own[p] for p in distinct}
-        out = []
-        for text, s in zip(texts, split, strict=True):
-            if s is None:
-                out += self.lengths([text])
-            else:
-                out.append(s[1] + sum(n if (n := table.get(p)) is not None else here[p] for p in s[0]))
+            self.known.update(zip(part, self.lengths(part), strict=True))
+        get = self.known.__getitem__
+        out = [
+            self.lengths([text])[0] if s is None else s[1] + sum(map(get, s[0]))
+            for text, s in zip(texts, split, strict=True)
+        ]
         for p in missing:
             if len(p) > CACHE_CHARS:
-                del own[p]
+                del self.known[p]
         return out
 
 
@@ -178,10 +179,6 @@ def opened_table(table: tuple[bytes, np.ndarray, np.ndarray]) -> dict[str, int]:
     return {blob[a:b].decode(): n for a, b, n in cuts}
 
 
-#: The worker's opened table, by its name.
-_OPENED: dict[str, dict[str, int]] = {}
-
-
 def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", size: int = TABLE_SIZE) -> DataFrame:
     """``df`` without its text, with ``n_bytes`` and ``n_tokens`` (long)."""
     spark = df.sparkSession
@@ -197,18 +194,14 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
     schema = T.StructType([f for f in read.schema if f.name != "__in"] + [T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
         for batch in batches:
-            if known is None:
-                if name not in _OPENED:
-                    _OPENED.clear()
-                    _OPENED[name] = opened_table(table.value)
-                known = _OPENED[name]
             last = batch.num_columns - 1
             texts = [t or "" for t in batch.column(last).to_pylist()]
             own, counts = _counting(path, pattern), []
+            if own.table_name != name:
+                own.use(name, opened_table(table.value))
             for a, b in slices(texts):
-                counts += own.count(texts[a:b], known)
+                counts += own.count(texts[a:b])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:last], pa.array(counts, pa.int64())], names=[*rest, "n_bytes", "n_tokens"]
             )
