@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.bpe import bpe_round_trip
-from tidemark.llm.common import read
+from tidemark.llm.common import read, written
 from tidemark.llm.lines import line_dedup
+from tidemark.llm.mixing import mix_sources, word_count
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    out = mix_sources(written(docs), size="words")
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
@@ -52,6 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
