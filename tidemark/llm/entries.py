@@ -12,6 +12,7 @@ from tidemark.llm.common import read, written
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_sources, word_count
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
 
@@ -52,6 +53,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_documents(docs, shards=24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash_components(docs, words=3, radius=2)
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
 }
 
