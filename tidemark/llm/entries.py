@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read, written
+from tidemark.llm.langid import identify, train
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_sources, word_count
 from tidemark.llm.quality import quality_rules
@@ -53,6 +54,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    profiles = train(docs.where(part != 1).select("text", "lang"))
+    held_out = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
+    return identify(held_out, profiles)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs, shards=24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -70,6 +79,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
 }
