@@ -13,6 +13,7 @@ from tidemark.llm.langid import identify, train
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_sources, word_count
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.search import top_k
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
@@ -43,6 +44,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -78,6 +84,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_top_k_search": op5_top_k_search,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
@@ -87,4 +94,5 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": oracles.OP2,
     "op3_line_dedup": oracles.OP3,
+    "op5_top_k_search": oracles.OP5,
 }
