@@ -17,6 +17,7 @@ from tidemark.llm.search import top_k
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
+from tidemark.llm.warc import header_lines, records_of_pages, resolve_revisits
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(records_of_pages(read(spark, sf_dir, "pages")))
+    return out.select(
+        "record_id", "canonical", F.unix_timestamp("at").alias("revisit_at"), "status", "response_id",
+        header_lines("headers").alias("headers"),
+    )
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -89,10 +98,12 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_revisit_resolution": op10_revisit_resolution,
 }
 
 ORACLES = {
     "op2_quality_rules": oracles.OP2,
     "op3_line_dedup": oracles.OP3,
     "op5_top_k_search": oracles.OP5,
+    "op10_revisit_resolution": oracles.OP10,
 }

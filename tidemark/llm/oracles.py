@@ -83,3 +83,57 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+# DuckDB has no CRC-32, so the SQL computes it over the few digits of a page id, a bit at a time.
+OP10 = r"""
+WITH RECURSIVE bits AS (
+  SELECT page_id, 4294967295::BIGINT AS c, encode(page_id::VARCHAR) AS s, 0 AS i FROM pages
+  UNION ALL
+  SELECT page_id,
+    CASE WHEN i % 9 = 0 THEN xor(c, ('0x' || hex(s[i // 9 + 1:i // 9 + 1]))::BIGINT)
+      WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s, i + 1
+  FROM bits WHERE i < 9 * octet_length(s)
+),
+p AS (
+  SELECT pages.page_id, url, coalesce(html, '') AS html, xor(c, 4294967295) AS h, 1704067200 + pages.page_id * 60 AS first,
+    '"' || md5(coalesce(html, ''))[1:16] || '"' AS etag
+  FROM pages JOIN bits ON bits.page_id = pages.page_id AND i = 9 * octet_length(s)
+),
+r AS (
+  SELECT 'response-' || page_id AS record_id, true AS full_, url AS uri, first AS ts, etag, first - 3600 AS lm,
+    octet_length(encode(html)) AS len FROM p
+  UNION ALL
+  SELECT 'revisit-' || page_id, false, 'https://' || upper(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ||
+    regexp_replace(url, '^[a-z]+://[^/?#]*', ''), first + h % 93600 - 7200,
+    CASE WHEN h % 7 = 0 THEN '"changed"' ELSE etag END, NULL, NULL
+  FROM p WHERE h % 5 <> 0
+),
+u AS (SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u FROM r),
+parts AS (
+  SELECT *, regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]*)', 1)), '^www\.', '') AS host,
+    regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*:([0-9]+)(?:[/?]|$)', 1) AS port,
+    regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(/[^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=|$)'))) AS q
+  FROM u
+),
+c AS (
+  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path ||
+    CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END END AS canonical
+  FROM parts
+),
+j AS (
+  SELECT v.record_id, v.canonical, v.ts, v.etag, f.record_id AS response_id, f.etag AS old, f.lm, f.len,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS k
+  FROM c v LEFT JOIN c f ON f.full_ AND f.canonical = v.canonical AND f.ts < v.ts WHERE NOT v.full_
+)
+SELECT record_id, canonical, ts AS revisit_at,
+  CASE WHEN response_id IS NULL THEN 'no_earlier_response' WHEN etag = old THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+  response_id,
+  CASE WHEN etag = old THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || len || chr(10) ||
+      'content-type: text/html; charset=utf-8' || chr(10) || 'date: ' || ts || chr(10) || 'etag: W/' || etag || chr(10) ||
+      'last-modified: ' || lm
+    ELSE 'cache-control: max-age=600' || chr(10) || 'connection: close' || chr(10) || 'content-length: 0' || chr(10) ||
+      'date: ' || ts || chr(10) || 'etag: ' || CASE WHEN etag = '"changed"' THEN '' ELSE 'W/' END || etag END AS headers
+FROM j WHERE k = 1
+"""
