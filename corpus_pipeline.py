@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.common import read, shared_dir
+from tidemark.llm.lines import line_dedup
+from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import quality_filter
+from tidemark.llm.simhash import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +21,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line that ten documents or more hold stays in its first place only."""
+    out = line_dedup(docs, min_docs=10, keep_first=True)
+    fresh = {"n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[fresh.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 or more over shingles of five words stays."""
+    return simhash_dedup(docs, words=5, similarity=0.8)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) in the text's place, with digests of the ids and of the bytes
+    they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_decode(bpe_encode(docs, *ranks), *ranks)
+    return encoded.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
+        "ids",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("source_mix", mixing),
+    ("byte_bpe", tokens),
 ]
 
 #: SimHash components, Newton iterations and BPE are beyond SQL; tests hold the stages against brute force.

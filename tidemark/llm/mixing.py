@@ -131,13 +131,15 @@ def mix_sources(
         F.coalesce(src, F.lit("")).alias("__src"),
         F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("__h"),
     )
-    cells = durable(
-        sized.groupBy(F.col("__none").alias("none"), F.col("__src").alias("src"), F.col("__size").alias("size"))
-        .agg(F.count("*").alias("n"))
-    )
-    total, sources = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("none", "src")).first()
+    total = sized.count()
+    salt = F.pmod("__h", F.lit(max(MIN_SALTS, -(-total // SALT_ROWS))))
+    salted = durable(
+        sized.groupBy(F.col("__none").alias("none"), F.col("__src").alias("src"), F.col("__size").alias("size"), salt.alias("salt"))
+        .agg(F.count("*").alias("m"))
+    )
+    cells = durable(salted.groupBy("none", "src", "size").agg(F.sum("m").alias("n")))
+    sources = cells.agg(F.count_distinct("none", "src")).first()[0]
     few = sources <= BROADCAST_SOURCES
-    salts = max(MIN_SALTS, -(-total // SALT_ROWS))
     goals = targets(cells.groupBy("none", "src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
     dual = multipliers(cells, durable(goals), cap)
     # A rate for every size of a source, in fixed point, and the fractions' sum over all smaller sizes.
@@ -156,14 +158,10 @@ def mix_sources(
         .select("*", F.coalesce(F.sum(F.col("n") * F.col("part")).over(smaller), F.lit(0)).alias("below"))
     )
     # Where a salt of a size starts within its size.
-    salted = (
-        sized.groupBy(F.col("__none").alias("none"), F.col("__src").alias("src"), F.col("__size").alias("size"), F.pmod("__h", F.lit(salts)).alias("salt"))
-        .agg(F.count("*").alias("m"))
-    )
     ahead = W.partitionBy("none", "src", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = salted.select("*", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("ahead")).join(rated, ["none", "src", "size"])
     rank = F.row_number().over(W.partitionBy("__none", "__src", "__size", "__salt").orderBy("__h", F.col(f"`{doc_id}`")))
-    ranked = sized.withColumn("__salt", F.pmod("__h", F.lit(salts))).withColumn("__rank", rank)
+    ranked = sized.withColumn("__salt", salt).withColumn("__rank", rank)
     on = (
         (F.col("__none") == F.col("none")) & (F.col("__src") == F.col("src"))
         & (F.col("__size") == F.col("mixed.size")) & (F.col("__salt") == F.col("salt"))

@@ -125,7 +125,10 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     steps = F.zip_with(
         F.slice("__pos", F.lit(2), m - 1), F.slice("__pos", F.lit(1), m - 1), lambda b, a: F.least(F.lit(w), b - a)
     )
-    repeat = F.when(F.col("__pos").isNull(), 0).otherwise(w + F.aggregate(steps, F.lit(0), lambda s, x: s + x))
+    # A row number, always true here, keeps the optimizer from pushing a later filter below this projection and with it
+    # copies of the sorted windows into the functions that run for each of their elements.
+    once = F.monotonically_increasing_id() >= 0
+    repeat = F.when(once & F.col("__pos").isNotNull(), w + F.aggregate(steps, F.lit(0), lambda s, x: s + x)).otherwise(0)
     counted = placed.select(
         *[F.col(f"`{c}`") for c in rest],
         "n_words", "word_chars", "n_symbols",
