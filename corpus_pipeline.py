@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read, shared_dir
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mixed_documents
@@ -41,8 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) in the text's place, with digests of the ids and of the bytes
     they decode to."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_decode(bpe_encode(docs, *ranks), *ranks)
+    encoded = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
         "ids",

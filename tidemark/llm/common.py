@@ -85,7 +85,7 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
-def slices(texts: list, most: int = 4_000_000):
+def slices(texts: list, most: int = 2_000_000):
     """Ranges of rows of a batch holding about ``most`` characters or bytes each; no row is split."""
     start, held = 0, 0
     for k, t in enumerate(texts):
