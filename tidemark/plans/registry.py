@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import flagship
+from tidemark.plans import flagship, market  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES
 
-QUERIES = {"flagship_hourly_volatility": flagship.hourly_volatility}
-ORACLES = {"flagship_hourly_volatility": flagship.HOURLY_VOLATILITY_SQL}
+QUERIES["flagship_hourly_volatility"] = flagship.hourly_volatility
+ORACLES["flagship_hourly_volatility"] = flagship.HOURLY_VOLATILITY_SQL
