@@ -207,7 +207,7 @@ def ic_with_errors(months: DataFrame, lags: int = 3) -> DataFrame:
     keys = ["feature", "target"]
     n = F.col("n")
     pooled = sum_moments(months, keys).select(
-        *keys, n.alias("N"), (F.col("sx") / n).alias("mx"), (F.col("sy") / n).alias("my"),
+        *keys, n.alias("rows_all"), (F.col("sx") / n).alias("mx"), (F.col("sy") / n).alias("my"),
         F.sqrt(F.col("sxx") / n - (F.col("sx") / n) ** 2).alias("dx"), F.sqrt(F.col("syy") / n - (F.col("sy") / n) ** 2).alias("dy"), correlation_of_sums().alias("ic"),
     )
     m = months.join(pooled, keys)
@@ -218,14 +218,14 @@ def ic_with_errors(months: DataFrame, lags: int = 3) -> DataFrame:
     # Influence of a month on the correlation, to first order.
     m = m.withColumn("u", zxy - ic * (zxx + zyy) / 2)
     w = W.partitionBy(*keys).orderBy("month")
-    terms = m.select(*keys, "N", "ic", "u", *[(F.col("u") * F.lag("u", k).over(w)).alias(f"u{k}") for k in range(1, lags + 1)])
+    terms = m.select(*keys, "rows_all", "ic", "u", *[(F.col("u") * F.lag("u", k).over(w)).alias(f"u{k}") for k in range(1, lags + 1)])
     var = F.sum(F.col("u") ** 2)
     for k in range(1, lags + 1):
         var = var + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"u{k}"), F.lit(0.0))
-    out = terms.groupBy(*keys, "N", "ic").agg(F.count("*").alias("months"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("s"))
-    se = F.col("s") / F.col("N")
+    out = terms.groupBy(*keys, "rows_all", "ic").agg(F.count("*").alias("months"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("s"))
+    se = F.col("s") / F.col("rows_all")
     z = F.when(se > 0, F.col("ic") / se)
-    return out.select(*keys, F.col("N").alias("n"), "ic", "months", se.alias("se"), z.alias("z"), normal_two_sided(z).alias("p"), (F.col("ic") - 1.959963984540054 * se).alias("ci_low"), (F.col("ic") + 1.959963984540054 * se).alias("ci_high"))
+    return out.select(*keys, F.col("rows_all").alias("n"), "ic", "months", se.alias("se"), z.alias("z"), normal_two_sided(z).alias("p"), (F.col("ic") - 1.959963984540054 * se).alias("ci_low"), (F.col("ic") + 1.959963984540054 * se).alias("ci_high"))
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -264,7 +264,7 @@ def sign_consistency(yearly: DataFrame, pooled: DataFrame) -> DataFrame:
 
 
 def rank_bin(u: Column, bins: int) -> Column:
-    return F.least(F.floor(u * bins), F.lit(bins - 1)).cast("int")
+    return F.when(u.isNotNull(), F.least(F.floor(u * bins), F.lit(bins - 1)).cast("int"))
 
 
 def joint_counts(df: DataFrame, bx: str, by_: str, groups: list[str] = ()) -> DataFrame:
@@ -447,14 +447,14 @@ def regression_metrics(df: DataFrame, f: str, y: str, base: float = 0.0, by: lis
 
 def drawdown(df: DataFrame, equity: Column, w) -> dict[str, Column]:
     """Running peak and fall from it."""
-    peak = F.max(equity).over(w.rowsBetween(-(2**31), 0))
+    peak = F.max(equity).over(w.rowsBetween(W.unboundedPreceding, 0))
     return {"peak": peak, "drawdown": equity / peak - 1}
 
 
 def performance(df: DataFrame, r: str, w, periods_a_year: float) -> DataFrame:
     """Total and annual return, volatility, Sharpe ratio and the largest drawdown of one ordered series of simple returns."""
-    grown = df.withColumn("__e", F.exp(F.sum(F.log1p(r)).over(w.rowsBetween(-(2**31), 0))))
-    d = grown.withColumn("__d", F.col("__e") / F.greatest(F.lit(1.0), F.max("__e").over(w.rowsBetween(-(2**31), 0))) - 1)
+    grown = df.withColumn("__e", F.exp(F.sum(F.log1p(r)).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    d = grown.withColumn("__d", F.col("__e") / F.greatest(F.lit(1.0), F.max("__e").over(w.rowsBetween(W.unboundedPreceding, 0))) - 1)
     n = F.count(r)
     return d.agg(
         n.alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), (F.exp(F.sum(F.log1p(r)) * periods_a_year / n) - 1).alias("annual_return"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
@@ -296,8 +297,7 @@ def run_islands(label: Column, w) -> Column:
 
 def with_runs(df: DataFrame, label: str, w) -> DataFrame:
     """``df`` with ``run`` (number of the maximal constant run) and ``age`` (rows since it began, from 1)."""
-    marked = df.withColumn("__change", run_islands(F.col(label), w))
-    runs = marked.withColumn("run", F.sum("__change").over(w.rowsBetween(-(2**31), 0)))
-    started = F.max(F.when(F.col("__change") == 1, F.col("__pos"))).over(w.rowsBetween(-(2**31), 0))
-    numbered = runs.withColumn("__pos", F.row_number().over(w))
-    return numbered.withColumn("age", F.col("__pos") - started + 1).drop("__change", "__pos")
+    up = w.rowsBetween(W.unboundedPreceding, 0)
+    marked = df.select("*", run_islands(F.col(label), w).alias("__change"), F.row_number().over(w).alias("__pos"))
+    start = F.max(F.when(F.col("__change") == 1, F.col("__pos"))).over(up)
+    return marked.select("*", F.sum("__change").over(up).alias("run"), (F.col("__pos") - start + 1).alias("age")).drop("__change", "__pos")
