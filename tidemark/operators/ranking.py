@@ -92,3 +92,8 @@ def near_duplicates_out(df: DataFrame, pairs: DataFrame, key: str, rank: str) ->
     sides = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     worse = sides.join(r.withColumnsRenamed({key: "a", rank: "ra"}), "a").join(r.withColumnsRenamed({key: "b", rank: "rb"}), "b").where((F.col("ra") > F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") > F.col("b"))))
     return df.join(worse.select(F.col("a").alias(key)).distinct(), key, "left_anti")
+
+
+def ic_ranking_order(relevance: np.ndarray, k: int) -> list[int]:
+    """The k most relevant candidates, best first."""
+    return np.argsort(-relevance, kind="stable")[:k].tolist()

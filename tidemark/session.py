@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that decide results, not speed: all clocks are UTC.
@@ -31,3 +36,18 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per application; a zip file of its sources goes along."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidemark-src-")), "tidemark_src.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent).as_posix())
+        sc.addPyFile(path)
+    sc._tidemark_shipped = True
