@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship  # noqa: F401
+
 #: White space of every contract of this subpackage: space and U+0009 to U+000D.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -66,25 +68,6 @@ def strip_ws(col):
     return F.btrim(col, F.lit(WS_CHARS))
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per application; a zip file of its sources goes along."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.parent.is_dir():
-        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidemark-src-")), "tidemark_src.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent).as_posix())
-        sc.addPyFile(path)
-    sc._tidemark_shipped = True
-
-
 def slices(texts: list, most: int = 2_000_000):
     """Ranges of rows of a batch holding about ``most`` characters or bytes each; no row is split."""
     start, held = 0, 0
