@@ -19,6 +19,15 @@ def price_column(source: str, price: str) -> str:
     return PRICE_COLUMNS[source, price]
 
 
+def corr(x, y, over=None) -> Column:
+    """Pearson correlation over rows where both are present, null without variance (the built-in one raises there)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    cov, sa, sb = [p.over(over) for p in parts] if over is not None else parts
+    return F.try_divide(cov, sa * sb)
+
+
 def nan_null(c: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)

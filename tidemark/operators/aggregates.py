@@ -98,14 +98,14 @@ def yearly_stability(df: DataFrame, period: Column, r: str, lagged: str, extreme
     n = F.count(c)
     return df.where(c.isNotNull()).groupBy(period.alias("period")).agg(
         n.alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), corrected_skew(c, n).alias("skew"), corrected_kurtosis(c, n).alias("kurtosis"),
-        F.corr(c, F.col(lagged)).alias("acf1"), F.avg(extreme.cast("double")).alias("extreme_share"),
+        S.corr(c, F.col(lagged)).alias("acf1"), F.avg(extreme.cast("double")).alias("extreme_share"),
     )
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``a, b, n, corr`` over rows where both are present."""
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), S.nan_null(F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b)))).alias("corr")) for a, b in pairs]
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), S.nan_null(S.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b)))).alias("corr")) for a, b in pairs]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -413,7 +413,7 @@ def classification_metrics(df: DataFrame, p: str, y: str, base_rate: float, by:
     a = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(loss).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg(base).alias("base_loss"),
         F.avg((hit == pos).cast("double")).alias("accuracy"), F.try_divide(F.count_if(hit & pos), F.count_if(hit)).alias("precision"), F.try_divide(F.count_if(hit & pos), F.count_if(pos)).alias("recall"),
-        F.count_if(pos).alias("np"), F.sum(F.when(pos, F.col("u"))).alias("su"), S.nan_null(F.corr("u", "y")).alias("rank_ic"),
+        F.count_if(pos).alias("np"), F.sum(F.when(pos, F.col("u"))).alias("su"), S.nan_null(S.corr("u", "y")).alias("rank_ic"),
     )
     n, np_ = F.col("n"), F.col("np")
     auc = F.try_divide(F.col("su") * n + 0.5 * np_ - np_ * (np_ + 1) / 2, np_ * (n - np_))
@@ -438,7 +438,7 @@ def regression_metrics(df: DataFrame, f: str, y: str, base: float = 0.0, by: lis
     e = F.col("f") - F.col("y")
     a = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.var_pop("y").alias("vy"), F.avg(e * e).alias("mse"),
-        F.avg((F.col("y") - base) ** 2).alias("base_mse"), S.nan_null(F.corr("f", "y")).alias("pearson"), S.nan_null(F.corr("uf", "uy")).alias("spearman"),
+        F.avg((F.col("y") - base) ** 2).alias("base_mse"), S.nan_null(S.corr("f", "y")).alias("pearson"), S.nan_null(S.corr("uf", "uy")).alias("spearman"),
     )
     ok = F.col("n") >= least
     cols = {"mae": F.col("mae"), "rmse": F.col("rmse"), "bias": F.col("bias"), "r2": 1 - F.try_divide(F.col("mse"), F.col("vy")), "pearson": F.col("pearson"), "spearman": F.col("spearman"), "skill": 1 - F.try_divide(F.col("mse"), F.col("base_mse"))}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.session import ship
 
@@ -65,7 +66,7 @@ def pairwise_correlation(df: DataFrame, columns: list[str]) -> np.ndarray:
         for b in columns[i + 1 :]:
             ok = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = F.when(ok, F.col(a)), F.when(ok, F.col(b))
-            aggs.append(F.when(F.count_if(ok) > 2, F.corr(x, y)))
+            aggs.append(F.when(F.count_if(ok) > 2, S.corr(x, y)))
     row = df.agg(*[c.alias(f"c{k}") for k, c in enumerate(aggs)]).first() if aggs else ()
     out = np.eye(len(columns))
     values = iter(row)

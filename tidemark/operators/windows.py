@@ -61,14 +61,14 @@ def rolling_autocorrelation(x: Column, w, n: int, lag: int, min_periods: int | N
     y = F.lag(x, lag).over(w)
     f = w.rowsBetween(-(n - 1 - lag), 0)
     pair = F.when(x.isNotNull(), y)
-    return F.when(F.count(pair).over(f) >= (min_periods or n) - lag, S.nan_null(F.corr(x, y).over(f)))
+    return F.when(F.count(pair).over(f) >= (min_periods or n) - lag, S.nan_null(S.corr(x, y, f)))
 
 
 def rolling_corr(a: Column, b: Column, w, n: int) -> Column:
     """Correlation of n pairs."""
     f = frame(w, n)
     both = F.when(a.isNotNull(), b)
-    return F.when(F.count(both).over(f) >= n, S.nan_null(F.corr(a, b).over(f)))
+    return F.when(F.count(both).over(f) >= n, S.nan_null(S.corr(a, b, f)))
 
 
 def trailing_sum(x: Column, w, n: int) -> Column:

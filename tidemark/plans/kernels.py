@@ -16,6 +16,7 @@ from tidemark.functions import simulate as SM
 from tidemark.functions import spectral as SP
 from tidemark.operators import grouped as G
 from tidemark.operators import learning as L
+from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, with_
@@ -214,7 +215,7 @@ add("walk_forward_models", _walk, None, ["fold", "kind", "n"], ["brier", "mean_p
 
 def _ols_model(spark, sf_dir):
     d = design(spark, sf_dir)
-    return L.predict(L.fit(d, _FE, "y", "ols", "regression"), d, "regression").agg(F.count("*").alias("n"), F.corr("p", "y").alias("corr"), F.avg("p").alias("mean"))
+    return L.predict(L.fit(d, _FE, "y", "ols", "regression"), d, "regression").agg(F.count("*").alias("n"), S.corr("p", "y").alias("corr"), F.avg("p").alias("mean"))
 
 
 add("regression_model", _ols_model, None, ["n"], ["corr", "mean"])

@@ -220,7 +220,7 @@ def _decay_summary(spark, sf_dir):
     lagged = b.select("r", O.OWN, *[F.lag(F.abs("r"), k).over(BW()).alias(f"x{k}") for k in range(1, 7)])
     lags = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), C(f"x{k}").alias("x")) for k in range(1, 7)])).alias("l")
     own = lagged.where(O.OWN).select("r", lags).select("l.*", F.abs("r").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    ic = own.groupBy("k").agg(F.corr("x", "y").alias("ic"))
+    ic = own.groupBy("k").agg(S.corr("x", "y").alias("ic"))
     peak = ic.agg(F.max_by("k", F.abs("ic")).alias("peak"), F.regr_slope(F.ln(F.abs("ic")), "k").alias("slope"))
     return ic.crossJoin(F.broadcast(peak))
 

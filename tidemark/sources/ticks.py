@@ -105,17 +105,14 @@ def derived(bid: Column, ask: Column) -> dict[str, Column]:
 
 
 def read_raw(spark: SparkSession, path: str, fmt: TickFormat, headers: list[str]) -> DataFrame:
-    """All fields as strings with ``malformed`` for rows of the wrong width, and a source sequence: file, then offset of
-    the file's split, then row."""
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers] + [T.StructField("_corrupt", T.StringType())])
-    raw = (
-        spark.read.schema(schema).option("header", "true").option("sep", fmt.delimiter).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", "true").csv(path)
-    )
-    return raw.select(
-        "*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
-        F.monotonically_increasing_id().alias("src_row"), F.col("_corrupt").isNotNull().alias("malformed"),
-    ).drop("_corrupt")
+    """All fields as strings with ``malformed`` for rows of the wrong width, the file, and a source sequence that ascends
+    within it. Tick files have no quoted fields; header lines are left out."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("src_row"))
+    body = text.where(F.col("value") != fmt.delimiter.join(headers))
+    parts = F.split("value", re.escape(fmt.delimiter))
+    return body.select("src_file", "src_row", parts.alias("p")).select(
+        "src_file", "src_row", (F.size("p") != len(headers)).alias("malformed"), *[F.get("p", F.lit(k)).alias(h) for k, h in enumerate(headers)]
+    )
 
 
 def to_canonical(raw: DataFrame, fmt: TickFormat) -> DataFrame:
@@ -192,11 +189,9 @@ def convert(
     if known and known["plan"] == [list(p) for p in plan] and known["settings"] == settings:
         return known
     raw = read_raw(spark, source, fmt, headers)
-    seq = F.struct("src_file", "src_block", "src_row")
     parsed = to_canonical(raw, fmt).withColumn("src_seq", F.col("src_row"))
     flagged = flag_ticks(parsed.where(~F.col("malformed")), rules, series=["src_file"], ts="timestamp", seq="src_seq", raw_ts="timestamp_raw", volume="volume" if "volume" in fmt.columns else None)
     kept, audit = clean(flagged, enabled)
-    del seq
     write_ticks(kept.select(*canonical_schema(fmt).names), target)
     rows = {r["reason"]: r["rows"] for r in audit.collect()}
     malformed = raw.where("malformed").count()
