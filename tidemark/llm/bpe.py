@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship, slices
+from tidemark.llm.common import keep_columns, ship, slices
 
 #: Pieces up to this many bytes go through the matrices.
 MATRIX_BYTES = 256
@@ -212,7 +212,7 @@ def coder(path: str, pattern: str) -> ByteBpe:
 
 def _mapped(df: DataFrame, source: str, keep_source: bool, made: tuple[str, ...], step) -> DataFrame:
     ship(df.sparkSession)
-    rest = [c for c in df.columns if c not in made and (keep_source or c != source)]
+    rest = [c for c in keep_columns(df, made) if keep_source or c != source]
     read = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{source}`").alias("__in"))
     schema = T.StructType([f for f in read.schema if f.name != "__in"] + [T.StructField(k, T.BinaryType()) for k in made])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship, slices, written
+from tidemark.llm.common import keep_columns, ship, slices, written
 
 #: Bits of a filter and the number of slices it travels in.
 FILTER_BITS, SLICES = 1 << 25, 64
@@ -186,7 +186,7 @@ def line_dedup(
         .select("key", "at.id", "at.line")
     )
     made = ("n_lines", "n_dropped")
-    rest = [c for c in docs.columns if c not in made]
+    rest = keep_columns(docs, made)
     if confirmed.count() <= broadcast_keys:
         rows = confirmed.toPandas()  # at most broadcast_keys rows of 28 bytes
         keys = _words(rows["key"].tolist() or [b""])

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS_RUN, strip_ws
+from tidemark.llm.common import WS_RUN, keep_columns, strip_ws
 
 #: Characters the base rule counts as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -83,7 +83,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     The 8-word windows of one text are compared by 64-bit hashes.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
-    rest = [c for c in docs.columns if c.lower() not in own]
+    rest = keep_columns(docs, own)
     w = rules.window
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bare = strip_ws(body)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship, slices
+from tidemark.llm.common import keep_columns, ship, slices
 
 #: Entries of the broadcast table, of a task's summary, and of a task's counter before it is cut back to its summary.
 TABLE_SIZE, SUMMARY_SIZE, COUNTER_SIZE = 32_768, 8_192, 200_000
@@ -185,7 +185,7 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
     top = list(frequent_pieces(df, path, pattern, text, size))
     lengths = dict(zip(top, _counting(path, pattern).lengths(top), strict=True)) if top else {}
     table, name = spark.sparkContext.broadcast(compact_table(lengths)), uuid.uuid4().hex
-    rest = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens")]
+    rest = [c for c in keep_columns(df, ("n_bytes", "n_tokens")) if c != text]
     read = df.select(
         *[F.col(f"`{c}`") for c in rest],
         F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"),
