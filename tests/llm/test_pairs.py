@@ -148,3 +148,24 @@ def test_search_in_buckets_prunes_nothing_it_needs(spark, monkeypatch):
     for r in range(len(asked.ids)):
         want = sorted((-int(q[asked.ids[r]] @ q[j]), j) for j in range(600) if j != asked.ids[r])[:3]
         assert [(-int(s), int(j)) for s, j in zip(score[row == r], vec[row == r], strict=True)] == want
+
+
+def test_exact_similarities_of_many_pairs():
+    from tidemark.llm.simhash import ShingleSets
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint32)) for _ in range(40)]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    want = np.array([len(set(sets[i]) & set(sets[j])) >= 0.4 * len(set(sets[i]) | set(sets[j])) for i, j in zip(a, b, strict=True)])
+    own = ShingleSets(sets)
+    own.CELLS = 500
+    assert (own.similar(a, b, 0.4) == want).all()
+    assert (own.similar(a[:50], b[:50], 0.4) == want[:50]).all()
+
+
+def test_row_filter_misses_nothing(spark):
+    from tidemark.llm.common import in_key_filter, key_filter
+
+    packed = key_filter(spark.range(0, 3000, 3), "id", 1 << 16)
+    assert in_key_filter(packed, np.arange(0, 3000, 3)).all()
+    assert in_key_filter(packed, np.arange(10**6, 10**6 + 1000)).mean() < 0.05

@@ -78,3 +78,61 @@ def slices(texts: list, most: int = 2_000_000):
             start, held = k + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Bits of a filter of row numbers that is broadcast: 2 MB, whatever the table.
+KEY_FILTER_BITS, KEY_SLICES = 1 << 24, 16
+
+
+def _key_places(keys, bits: int):
+    import numpy as np
+
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)], 1).astype(np.int64)
+
+
+def key_filter(df: DataFrame, column: str, bits: int = KEY_FILTER_BITS) -> bytes:
+    """A Bloom filter of a long column, as packed bits, put together slice by slice on the executors."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["part", "bits"]
+
+    def emit(parts):
+        for k, part in parts:
+            cols = [pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    def mark(batches):
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_key_places(batch.column(0).to_numpy(), bits).ravel()] = True
+        if own.any():
+            yield from emit(enumerate(np.packbits(own).reshape(KEY_SLICES, -1)))
+
+    def merge(batches):
+        held = {}
+        for batch in batches:
+            for k, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(part), np.uint8)
+                held[k] = held[k] | part if k in held else part
+        yield from emit(held.items())
+
+    ship(df.sparkSession)
+    marks = df.select(F.col(column).cast("long").alias("k")).mapInArrow(mark, "part int, bits binary")
+    out = bytearray(bits // 8)
+    for k, part in marks.repartition(4, "part").mapInArrow(merge, "part int, bits binary").collect():
+        size = bits // 8 // KEY_SLICES
+        out[k * size : (k + 1) * size] = zlib.decompress(part)
+    return bytes(out)
+
+
+def in_key_filter(packed: bytes, keys):
+    """Which keys may be in a filter: all that are, and few others while it is sparse."""
+    import numpy as np
+
+    at, plane = _key_places(keys, len(packed) * 8), np.frombuffer(packed, np.uint8)
+    return ((plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)

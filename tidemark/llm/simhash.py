@@ -3,8 +3,9 @@
 Distinct fingerprints only are searched, in shards. Two 64-bit fingerprints within a small ``radius`` agree on at least
 one of ``radius + 1`` bit blocks, so each goes to the shard of each of its block values (`block_shards`). A similarity
 of 0.8 leaves far too many differing bits for that; there a text goes to the shards of its ``bottom`` smallest shingle
-hashes, of which two such texts share one but for 0.2 to the power ``bottom`` (`bottom_shards`). A shard holds one
-BK-tree per ``SHARD_NODES`` fingerprints: children are keyed by their integer Hamming distance to the parent, and a
+hashes, of which two such texts share one but for 0.2 to the power ``bottom`` (`bottom_shards`), and what the search
+finds is verified by the exact Jaccard similarity of the shingle sets, which only texts with a partner in a shard send
+along. A shard holds one BK-tree per ``SHARD_NODES`` fingerprints: children are keyed by their integer Hamming distance to the parent, and a
 search follows only the edges within the radius of the distance at hand. A shard's trees are sent to all query chunks
 of that shard and to no other task: all trees together have no size bound, so they do not pass through the driver.
 A task returns a spanning forest of the links it finds, at most one row a fingerprint, and never all pairs. Components
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import durable, keep_columns, ship, written
+from tidemark.llm.common import durable, in_key_filter, keep_columns, key_filter, ship, written
 
 #: Nodes of one BK-tree.
 SHARD_NODES = 8_192
@@ -63,8 +64,8 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
 
 
 def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bottom: int = 0, keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``fp`` (binary), ``node`` (long, stands for the fingerprint) and ``low`` (the ``bottom`` smallest
-    distinct shingle hashes); ``text`` goes unless kept."""
+    """``docs`` with ``fp`` (binary), ``node`` (long; stands for the fingerprint, or with more than one lane for the set of
+    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes); ``text`` goes unless kept."""
     ship(docs.sparkSession)
     rest = [c for c in keep_columns(docs, ("fp", "node", "low")) if keep_text or c != text]
     read = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("__in"))
@@ -76,13 +77,14 @@ def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bo
 
         for batch in batches:
             last = batch.num_columns - 1
-            fps, low = [], []
+            fps, low, names = [], [], []
             for t in batch.column(last).to_pylist():
                 hashes = shingle_hashes(t, words)
                 fps.append(fingerprint(hashes, lanes))
-                low.append(np.unique(hashes)[:bottom].view(np.int64).tolist() if bottom else None)
-            name = (lambda fp: fp) if lanes == 1 else xxhash.xxh3_64_digest
-            nodes = np.frombuffer(b"".join(map(name, fps)), ">i8").astype(np.int64)
+                own = np.unique(hashes) if bottom or lanes > 1 else hashes[:0]
+                low.append(own[:bottom].view(np.int64).tolist() if bottom else None)
+                names.append(fps[-1] if lanes == 1 else xxhash.xxh3_64_digest(own.tobytes()))
+            nodes = np.frombuffer(b"".join(names), ">i8").astype(np.int64)
             cols = [pa.array(fps, pa.binary()), pa.array(nodes, pa.int64()), pa.array(low, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *cols], names=schema.names)
 
@@ -149,13 +151,65 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class ShingleSets:
+    """Shingle sets of a shard's rows, for exact similarities. Shingles that one row only has count for sizes alone."""
+
+    #: Pairs up to which sets are held against each other one by one; cells of a dense part.
+    FEW, CELLS = 64, 1 << 24
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
+        self.shared = None
+
+    def _index(self) -> None:
+        flat = np.concatenate(self.sets)
+        row = np.repeat(np.arange(len(self.sets)), self.sizes)
+        values, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+        names = np.cumsum(n > 1) - 1
+        on = n[back] > 1
+        self.shared, self.width = (row[on], names[back[on]]), int((n > 1).sum())
+        self.by = np.argsort(self.shared[1], kind="stable")
+
+    def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs of rows are at least so similar."""
+        if len(a) <= self.FEW:
+            both = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+        else:
+            if self.shared is None:
+                self._index()
+            (left, la), (right, lb) = (np.unique(x, return_inverse=True) for x in (a, b))
+            total = np.zeros((len(left), len(right)), np.float32)
+            place = np.full(len(self.sets), -1)
+            rows, cols = self.shared[0][self.by], self.shared[1][self.by]
+            step = max(1, self.CELLS // (len(left) + len(right)))
+            for low in range(0, self.width, step):
+                span = slice(*np.searchsorted(cols, [low, low + step]))
+                parts = []
+                for own in (left, right):
+                    place[:] = -1
+                    place[own] = np.arange(len(own))
+                    at = place[rows[span]]
+                    m = np.zeros((len(own), min(step, self.width - low)), np.float32)
+                    m[at[at >= 0], cols[span][at >= 0] - low] = 1
+                    parts.append(m)
+                total += parts[0] @ parts[1].T
+            both = total[la, lb]
+        return both >= least * (self.sizes[a] + self.sizes[b] - both) - 1e-6
+
+
+def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int, sets: ShingleSets | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as index pairs over the tree's rows followed by the queries'; without queries, of the tree
-    with itself."""
+    with itself. ``sets`` (of the rows in that order) verify what the search finds."""
     n = len(tree)
     labels = np.arange(n + len(queries))
     for q, node in BkTree(tree).near(queries if len(queries) else tree, radius):
-        labels = joined(labels, q + n if len(queries) else q, node)
+        q = q + n if len(queries) else q
+        if sets is not None:
+            open_ = labels[q] != labels[node]
+            q, node = q[open_], node[open_]
+            yes = sets.similar(q, node, similarity) if len(q) else np.zeros(0, bool)
+            q, node = q[yes], node[yes]
+        labels = joined(labels, q, node)
     moved = np.flatnonzero(labels != np.arange(len(labels)))
     return moved, labels[moved]
 
@@ -175,15 +229,16 @@ def bottom_shards():
     return F.transform("low", lambda v: F.struct(F.lit(0).alias("k"), v.alias("v")))
 
 
-def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_NODES, similarity: float | None = None) -> DataFrame:
     """Links ``(a, b)`` between nodes (columns ``node, fp``, distinct) that put those of one shard within ``radius``
-    differing bits of each other into the same component."""
+    differing bits of each other, and (if given) of that similarity by their sets ``sh``, into the same component."""
     ship(nodes.sparkSession)
-    keyed = nodes.select("node", "fp", F.explode(shards).alias("s")).select("node", "fp", "s.k", "s.v")
+    sh = F.col("sh") if similarity is not None else F.lit(None).cast("binary")
+    keyed = nodes.select("node", "fp", sh.alias("sh"), F.explode(shards).alias("s")).select("node", "fp", "sh", "s.k", "s.v")
     sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     pieces = F.ceil(F.col("n") / shard_nodes).cast("int")
     placed = keyed.join(sizes, ["k", "v"]).select(
-        "k", "v", "node", "fp", pieces.alias("m"), F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int").alias("own")
+        "k", "v", "node", "fp", "sh", pieces.alias("m"), F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int").alias("own")
     )
     # Tree piece t meets query chunks q >= t, so that every two pieces of a shard meet once.
     sides = F.concat(
@@ -192,8 +247,8 @@ def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_N
         .otherwise(F.array().cast("array<struct<t:int,q:int,tree:boolean>>")),
     )
     ready = (
-        placed.select("k", "v", F.explode(sides).alias("x"), "node", "fp")
-        .select("k", "v", "x.t", "x.q", "x.tree", "node", "fp")
+        placed.select("k", "v", F.explode(sides).alias("x"), "node", "fp", "sh")
+        .select("k", "v", "x.t", "x.q", "x.tree", "node", "fp", "sh")
         .repartition("k", "v", "t", "q")
         .sortWithinPartitions("k", "v", "t", "q", "tree", "node")
     )
@@ -209,13 +264,14 @@ def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_N
                 new[1:] |= c[1:] != c[:-1]
             bounds = [0, *np.flatnonzero(new).tolist(), len(new)]
             for a, b in zip(bounds[:-1], bounds[1:] if last else bounds[1:-1], strict=False):
-                side, names, fps = cols[4][a:b], cols[5][a:b], cols[6][a:b]
-                if b - a == 2 and side.all():  # most shards
-                    if distances(fps[:1], fps[1:])[0] <= radius:
-                        found.append((names[1:], names[:1]))
-                elif b - a > 1:
-                    names = np.concatenate([names[side], names[~side]])
-                    x, y = shard_links(fps[side], fps[~side], radius)
+                side = cols[4][a:b]
+                if b - a > 1:
+                    order = np.r_[np.flatnonzero(side), np.flatnonzero(~side)] + a
+                    names, fps, n = cols[5][order], cols[6][order], int(side.sum())
+                    if b - a == 2 and distances(fps[:1], fps[1:])[0] > radius:  # most shards
+                        continue
+                    sets = None if similarity is None else ShingleSets([np.frombuffer(x, np.uint32) for x in cols[7][order]])
+                    x, y = shard_links(fps[:n], fps[n:], radius, sets, similarity or 0.0)
                     found.append((names[x], names[y]))
             return tuple(c[bounds[-2] :] for c in cols)
 
@@ -227,7 +283,9 @@ def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_N
         for batch in batches:
             if batch.num_rows:
                 cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-                cols = (*cols, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+                sets = np.empty(batch.num_rows, object)
+                sets[:] = batch.column(7).to_pylist()
+                cols = (*cols, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1), sets)
                 held = groups(cols if held is None else tuple(map(np.concatenate, zip(held, cols, strict=True))), False)
             if len(found) > 10_000:
                 yield out()
@@ -282,25 +340,51 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return thin.join(labels, "node").select(*[F.col(f"`{c}`") for c in rest], "fp", F.col("best").alias("component_id"))
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which SimHashes of ``bits`` bits differ at a Jaccard similarity of shingle sets: sets of one size at
-    Jaccard similarity s have the cosine 2 s / (1 + s), and a bit differs with probability angle / pi."""
-    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+def differing_bits(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Bits in which SimHashes of ``bits`` bits differ at a Jaccard similarity of shingle sets, with so many standard
+    deviations to spare: sets of one size at Jaccard similarity s have the cosine 2 s / (1 + s), and a bit differs with
+    probability angle / pi."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, row: str, text: str, words: int) -> DataFrame:
+    """``(row, sh)``: sorted distinct shingle hashes (32 bits each) of the texts whose row number ``wanted`` has. A filter of
+    those numbers is broadcast, so other texts cost a look-up; what passes it by chance is for the caller's join."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(key_filter(wanted, row))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            at = np.flatnonzero(in_key_filter(shared.value, rows))
+            own = batch.column(1).take(pa.array(at)).to_pylist()
+            made = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(made, pa.binary())], names=["row", "sh"])
+
+    return texts.select(row, F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "row long, sh binary")
 
 
 def simhash_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, lanes: int = 4, bottom: int = 8
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, lanes: int = 4, bottom: int = 6
 ) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id (nulls last; of equal ids the first read).
 
-    Shingles of ``words`` words; two texts link where SimHashes of ``64 * lanes`` bits differ in no more bits than texts
-    of that similarity do. Rows without words are one group."""
+    Two texts link where the sets of their shingles of ``words`` words have a Jaccard similarity of at least
+    ``similarity``; SimHashes of ``64 * lanes`` bits and four standard deviations of spare bits say which to look at.
+    Rows without words are one group."""
     names = docs.columns
-    made = with_fingerprints(docs.select("*", F.monotonically_increasing_id().alias("__row")), text, words, lanes, bottom, True)
-    full = written(made)
+    full = written(with_fingerprints(docs.select("*", F.monotonically_increasing_id().alias("__row")), text, words, lanes, bottom, True))
     key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
     thin = full.select("node", "fp", "low", key.alias("__at"))
     nodes = written(thin.groupBy("node").agg(F.min("fp").alias("fp"), F.max("low").alias("low"), F.min("__at").alias("__at")))
-    labels = _labelled(nodes, near_links(nodes, bottom_shards(), differing_bits(similarity, 64 * lanes)), "__at")
+    # Texts with a partner in some shard.
+    keyed = nodes.select(F.col("__at.row").alias("__row"), F.explode("low").alias("v"))
+    partners = keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    wanted = written(keyed.join(partners, "v", "left_semi").select("__row").distinct())
+    sets = shingle_sets(full, wanted, "__row", text, words).join(wanted, F.col("row") == F.col("__row"), "left_semi")
+    some = nodes.select("node", "fp", "low", F.col("__at.row").alias("row")).join(sets, "row")
+    links = near_links(some, bottom_shards(), differing_bits(similarity, 64 * lanes, 4.0), similarity=similarity)
+    labels = _labelled(nodes, links, "__at")
     gone = thin.join(labels, "node").where(F.col("__at.row") != F.col("best.row")).select(F.col("__at.row").alias("__row"))
     return full.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names])
