@@ -467,3 +467,66 @@ def concentration(trades: DataFrame, pnl: str, top: int = 10) -> DataFrame:
     best = trades.orderBy(F.col(pnl).desc()).limit(top).agg(F.sum(pnl).alias("best"))
     a = trades.agg(F.count("*").alias("trades"), F.sum(pnl).alias("total"), F.sum(F.when(F.col(pnl) > 0, F.col(pnl))).alias("gains"), (F.sum(F.col(pnl) ** 2) / F.sum(F.abs(pnl)) ** 2).alias("herfindahl"))
     return a.crossJoin(F.broadcast(best)).select("*", F.try_divide("best", "gains").alias("best_of_gains"), F.try_divide("best", "total").alias("best_of_total"))
+
+
+# Summaries and drift.
+
+
+def reversal_summary(analysis: DataFrame) -> DataFrame:
+    """Buckets of conditional returns condensed by side and horizon, weighted by rows."""
+    side = F.when(F.col("bucket").startswith("<"), "low").otherwise("high")
+    w = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    return analysis.groupBy(side.alias("side"), "horizon").agg(F.count("*").alias("buckets"), w("reversal").alias("reversal"), w("mean").alias("mean"))
+
+
+def half_life_summary(df: DataFrame, x: str, ceiling: float, by: list[str]) -> DataFrame:
+    """Half-lives with those above a ceiling counted as censored and left out of the figures."""
+    inside = F.when(F.col(x) <= ceiling, F.col(x))
+    return df.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(F.col(x) > ceiling).alias("censored"), F.percentile(inside, 0.5).alias("median"), F.avg(inside).alias("mean"))
+
+
+def phase_buckets(df: DataFrame, angle: str, outcome: str, sectors: int) -> DataFrame:
+    """Mean outcome by sector of an angle in [-pi, pi)."""
+    k = F.least(F.floor((F.col(angle) + math.pi) / (2 * math.pi) * sectors + 1e-9), F.lit(sectors - 1)).cast("int")
+    rows = df.where(F.col(angle).isNotNull() & F.col(outcome).isNotNull())
+    return rows.groupBy(k.alias("sector")).agg(F.count("*").alias("n"), F.avg(outcome).alias("mean"), F.stddev_samp(outcome).alias("std"))
+
+
+def expanding_quantiles(df: DataFrame, x: str, period: Column, probs: tuple[float, ...], least: int) -> DataFrame:
+    """``period, history, q``: quantiles of all values of earlier periods, where there are at least so many. Periods are
+    calendar blocks, so their table is small; exact quantiles need a period's values once for every later period."""
+    p = df.select(period.alias("period")).distinct()
+    v = df.where(F.col(x).isNotNull()).select(period.alias("earlier"), F.col(x).alias("v"))
+    j = v.join(F.broadcast(p), F.col("earlier") < F.col("period"))
+    return j.groupBy("period").agg(F.count("*").alias("history"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).where(F.col("history") >= least)
+
+
+def drift_by_period(df: DataFrame, period: Column, x: str, grid: int = 50) -> DataFrame:
+    """Distances of each period's quantile grid from that of all rows."""
+    q = F.array(*[F.lit((k + 0.5) / grid) for k in range(grid)])
+    own = df.groupBy(period.alias("period")).agg(F.count(x).alias("n"), F.percentile(x, q).alias("q"))
+    j = own.crossJoin(F.broadcast(df.agg(F.percentile(x, q).alias("g"))))  # one row
+    share = lambda c, v: F.size(F.filter(F.col(c), lambda e: e <= v)) / float(grid)
+    w1 = F.aggregate(F.zip_with("q", "g", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / grid
+    ks = F.array_max(F.transform(F.concat("q", "g"), lambda v: F.abs(share("q", v) - share("g", v))))
+    return j.select("period", "n", w1.alias("wasserstein"), ks.alias("ks"))
+
+
+def population_stability(reference: DataFrame, other: DataFrame, x: str, buckets: int = 10, floor: float = 1e-6) -> DataFrame:
+    """Population stability index of one sample against the quantile buckets of another."""
+    edges = reference.agg(F.percentile(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("e"))
+    both = reference.select(F.col(x).alias("x"), F.lit(0).alias("s")).union(other.select(F.col(x).alias("x"), F.lit(1).alias("s"))).where("x IS NOT NULL")
+    k = both.crossJoin(F.broadcast(edges)).select("s", S.edge_bucket(F.col("x"), F.col("e")).alias("k"))  # one row of edges
+    n = k.groupBy("k").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
+    all_ = W.partitionBy()
+    share = lambda c: F.greatest(F.col(c) / F.sum(c).over(all_), F.lit(floor))
+    p = n.select(share("a").alias("a"), share("b").alias("b"))
+    return p.agg(F.sum((F.col("b") - F.col("a")) * F.ln(F.col("b") / F.col("a"))).alias("psi"))
+
+
+def loss_comparison(df: DataFrame, candidate: str, baseline: str, by: list[str]) -> DataFrame:
+    """Matched loss differences of two models on the same rows, with a normal z."""
+    d = F.col(candidate) - F.col(baseline)
+    rows = df.where(F.col(candidate).isNotNull() & F.col(baseline).isNotNull())
+    a = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("sd"), F.avg((d < 0).cast("double")).alias("better_share"))
+    return a.withColumn("z", F.try_divide(F.col("mean_difference") * F.sqrt("n"), F.col("sd")))

@@ -147,3 +147,24 @@ def weekend_gap(ts: Column, previous: Column, hours: float) -> Column:
 def span_contains(flag: Column, horizon: int, window) -> Column:
     """Whether a flag is set in the rows t+1 to t+h."""
     return F.coalesce(F.max(flag.cast("int")).over(window.rowsBetween(1, horizon)) == 1, F.lit(False))
+
+
+def regular_grid(bars: DataFrame, timeframe: str, series: list[str], ts: str = "timestamp") -> DataFrame:
+    """Every slot between a series' first and last bar, with nulls where there is no bar; nothing is filled in."""
+    step = parse_timeframe(timeframe)
+    span = bars.groupBy(*series).agg(micros_of(F.min(ts)).alias("__a"), micros_of(F.max(ts)).alias("__b"))
+    slots = span.select(*series, F.explode(F.sequence("__a", "__b", F.lit(step))).alias("__m")).select(*series, F.timestamp_micros("__m").alias(ts))
+    return slots.join(bars, [*series, ts], "left")
+
+
+def build_bars(ticks: DataFrame, timeframe: str, path: str, **options) -> int:
+    """Bars by year in Parquet; their number after they were read back and held against what was to be written."""
+    bars = resample_ticks(ticks, timeframe, **options).withColumn("year", F.year("timestamp"))
+    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    back = ticks.sparkSession.read.parquet(path)
+    years = [r[0] for r in bars.select("year").distinct().collect()]
+    written = back.where(F.col("year").isin(years)).agg(F.sum("tick_count"), F.count("*")).first()
+    wanted = bars.agg(F.sum("tick_count"), F.count("*")).first()
+    if tuple(written) != tuple(wanted):
+        raise RuntimeError(f"bars do not read back as written: {tuple(written)}, {tuple(wanted)}")
+    return wanted[1]

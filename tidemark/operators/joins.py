@@ -112,3 +112,8 @@ def load_pair(parts: dict[str, DataFrame], keys: list[str], same: list[str]) ->
 def event_order(parts: list[DataFrame], ts: str, kind: str, seq: str) -> DataFrame:
     """Quotes, closes and signals as one stream in total order (time, kind, sequence)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("event_key", F.struct(ts, kind, seq))
+
+
+def forecasts_on_bars(forecasts: DataFrame, bars: DataFrame, by: list[str], at: str = "bar_open", ts: str = "timestamp") -> DataFrame:
+    """Forecasts on the bars whose open time is exactly theirs."""
+    return bars.join(forecasts.withColumnRenamed(at, ts), [*by, ts])

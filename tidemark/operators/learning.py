@@ -95,3 +95,36 @@ def principal_components(train: DataFrame, rows: DataFrame, features: list[str],
     """Components fitted on training rows."""
     m = Pipeline(stages=[*preprocessing(features, False), PCA(k=k, inputCol="x", outputCol="__pc")]).fit(train)
     return m.transform(rows).select(*rows.columns, *[vector_to_array("__pc")[j].alias(f"pc_{j + 1}") for j in range(k)])
+
+
+def leakage_check(df: DataFrame, features: list[str], target: str, most: float = 0.9) -> DataFrame:
+    """Rank correlation of every feature with the target; one above ``most`` is suspect."""
+    from tidemark.functions import scalar as S
+    from tidemark.operators.aggregates import rank_scores
+
+    out = df.select(*features, target)
+    for c in [*features, target]:
+        out = rank_scores(out, c, [], f"u_{c}")
+    parts = [F.struct(F.lit(f).alias("feature"), S.corr(f"u_{f}", f"u_{target}").alias("rank_corr")) for f in features]
+    rows = out.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return rows.withColumn("suspect", F.abs("rank_corr") > most)
+
+
+def stack(train: DataFrame, rows: DataFrame, constituents: list[str], label: str, task: str = "classification") -> DataFrame:
+    """A meta-model on constituents' earlier out-of-sample predictions."""
+    return predict(fit(train, constituents, label, "logistic_l2" if task == "classification" else "ridge", task), rows, task, "stacked")
+
+
+def derive_target(raw, kind: str, spread=None, sigma=None, floor: float = 1e-12):
+    """A target made of a raw outcome: as it is, its sign, beyond the spread, in units of volatility, or its log."""
+    if kind == "raw":
+        return raw
+    if kind == "sign":
+        return F.when(raw.isNotNull(), (raw > 0).cast("double"))
+    if kind == "beyond_spread":
+        return F.when(raw.isNotNull(), (F.abs(raw) > spread).cast("double"))
+    if kind == "scaled":
+        return F.try_divide(raw, sigma)
+    if kind == "log":
+        return F.when(raw.isNotNull(), F.ln(F.greatest(raw, F.lit(floor))))
+    raise ValueError(f"no target {kind!r}")

@@ -301,3 +301,15 @@ def with_runs(df: DataFrame, label: str, w) -> DataFrame:
     marked = df.select("*", run_islands(F.col(label), w).alias("__change"), F.row_number().over(w).alias("__pos"))
     start = F.max(F.when(F.col("__change") == 1, F.col("__pos"))).over(up)
     return marked.select("*", F.sum("__change").over(up).alias("run"), (F.col("__pos") - start + 1).alias("age")).drop("__change", "__pos")
+
+
+def scaling_variants(x: Column, w, n: int) -> dict[str, Column]:
+    """The value as it is, as a signed log, and against its trailing window in three ways."""
+    low, high = rolling_extreme(x, w, n, "min"), rolling_extreme(x, w, n, "max")
+    sd = F.nullif(rolling_std(x, w, n), F.lit(0.0))
+    return {"raw": x, "signed_log": S.signed_log(x), "zscore": rolling_zscore(x, w, n), "minmax": F.try_divide(x - low, high - low), "vol_scaled": x / sd}
+
+
+def phase_advance(phase: Column, period: Column, w, k: int) -> Column:
+    """Wrapped difference between the phase's real advance over k rows and the one its period implies."""
+    return S.wrap_phase(phase - F.lag(phase, k).over(w) - 2 * math.pi * k / period)

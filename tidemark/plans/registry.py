@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import flagship, kernels, market, research  # noqa: F401
+from tidemark.plans import flagship, kernels, market, more, research  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES
 
 QUERIES["flagship_hourly_volatility"] = flagship.hourly_volatility

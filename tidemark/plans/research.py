@@ -252,21 +252,9 @@ def _conditioned(spark, sf_dir):
     return A.sum_moments(m, ["cond"]).where("cond IS NOT NULL")
 
 
-# Expanding quantiles: of all values before the current period.
-
-
-def expanding_quantiles(df, x, period, probs, least):
-    """``period, q``: quantiles of all values of earlier periods. Periods are calendar blocks, so their table is small; the
-    values of a period are brought together once for every later period, as exact quantiles need."""
-    p = df.select(period.alias("period")).distinct()
-    v = df.where(C(x).isNotNull()).select(period.alias("earlier"), C(x).alias("v"))
-    j = v.join(F.broadcast(p), C("earlier") < C("period"))
-    return j.groupBy("period").agg(F.count("*").alias("history"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).where(C("history") >= least)
-
-
 def _expanding(spark, sf_dir):
     r = returns(spark, sf_dir).where("series = 'view'")
-    q = expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.05, 0.95), 20)
+    q = A.expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.05, 0.95), 20)
     j = r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period", "left")
     return j.select(T0(), S.clip(C("r"), C("q")[0], C("q")[1]).alias("clipped"), F.when(C("q").isNotNull(), C("r")).alias("r"))
 

@@ -137,3 +137,12 @@ def compare_runs(recorded: DataFrame, replayed: DataFrame) -> DataFrame:
 def chain_breaks(journal: DataFrame, order: str, digest: str, previous: str, w) -> DataFrame:
     """Entries of a hash-chained journal whose link does not match the entry before."""
     return journal.withColumn("__p", F.lag(digest).over(w)).where(F.col("__p").isNotNull() & ~F.col(previous).eqNullSafe(F.col("__p"))).drop("__p")
+
+
+def record(stream: DataFrame, path: str, checkpoint: str):
+    """Append every batch's events to a table as they come; a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
