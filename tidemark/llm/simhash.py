@@ -63,11 +63,11 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bottom: int = 0, keep_text: bool = False) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bottom: int = 0) -> DataFrame:
     """``docs`` with ``fp`` (binary), ``node`` (long; stands for the fingerprint, or with more than one lane for the set of
-    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes); ``text`` goes unless kept."""
+    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes), without its text."""
     ship(docs.sparkSession)
-    rest = [c for c in keep_columns(docs, ("fp", "node", "low")) if keep_text or c != text]
+    rest = [c for c in keep_columns(docs, ("fp", "node", "low")) if c != text]
     read = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("__in"))
     made = [T.StructField("fp", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))]
     schema = T.StructType([f for f in read.schema if f.name != "__in"] + made)
@@ -374,9 +374,9 @@ def simhash_dedup(
     ``similarity``; SimHashes of ``64 * lanes`` bits and four standard deviations of spare bits say which to look at.
     Rows without words are one group."""
     names = docs.columns
-    full = written(with_fingerprints(docs.select("*", F.monotonically_increasing_id().alias("__row")), text, words, lanes, bottom, True))
+    full = written(docs.select("*", F.monotonically_increasing_id().alias("__row")))
     key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
-    thin = full.select("node", "fp", "low", key.alias("__at"))
+    thin = written(with_fingerprints(full.select(key.alias("__at"), F.col(f"`{text}`").alias("__text")), "__text", words, lanes, bottom))
     nodes = written(thin.groupBy("node").agg(F.min("fp").alias("fp"), F.max("low").alias("low"), F.min("__at").alias("__at")))
     # Texts with a partner in some shard.
     keyed = nodes.select(F.col("__at.row").alias("__row"), F.explode("low").alias("v"))
