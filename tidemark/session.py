@@ -38,9 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Arrow batches between the JVM and Python hold so many bytes of rows, where the session has not set its own limit.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per application; a zip file of its sources goes along."""
+    """Make this package importable in the executors' Python, once per application (a zip file of its sources goes along),
+    and keep Arrow batches of long texts small."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if getattr(sc, "_tidemark_shipped", False):
         return
     root = Path(__file__).resolve().parent
