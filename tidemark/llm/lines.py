@@ -33,7 +33,7 @@ FILTER_BITS, SLICES = 1 << 25, 64
 #: Confirmed keys that may be broadcast: 32 bytes each.
 BROADCAST_KEYS = 1_000_000
 #: Suspected keys a task holds before it passes its sums on.
-HELD_KEYS = 200_000
+HELD_KEYS = 50_000
 _LAST_ID = 2**63 - 1
 
 
@@ -60,26 +60,27 @@ def bit_places(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 class TwoFilters:
-    """Once-seen and twice-seen Bloom filters."""
+    """Once-seen and twice-seen Bloom filters, as packed bits."""
 
     def __init__(self, bits: int):
-        self.bits, self.once, self.twice = bits, np.zeros(bits, bool), np.zeros(bits, bool)
+        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
     def add(self, digests: list[bytes]) -> None:
         if not digests:
             return
         distinct, n = np.unique(np.array(digests, "V16"), return_counts=True)
         at = bit_places(distinct.view("<u8").reshape(-1, 2), self.bits)
-        again = self.once[at].all(1) | (n > 1)
-        self.twice[at[again].ravel()] = True
-        self.once[at.ravel()] = True
+        byte, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+        again = ((self.once[byte] & bit) > 0).all(1) | (n > 1)
+        np.bitwise_or.at(self.twice, byte[again].ravel(), bit[again].ravel())
+        np.bitwise_or.at(self.once, byte.ravel(), bit.ravel())
 
     def parts(self) -> Iterator[tuple[int, bytes, bytes]]:
-        step = self.bits // SLICES
+        step = self.bits // 8 // SLICES
         for k in range(SLICES):
             part = slice(k * step, (k + 1) * step)
             if self.once[part].any():
-                yield k, *(zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (self.once, self.twice))
+                yield k, *(zlib.compress(x[part].tobytes(), 1) for x in (self.once, self.twice))
 
 
 def _binary(df: DataFrame, text: str, *more) -> DataFrame:
