@@ -178,7 +178,7 @@ f AS (
 u AS (
   SELECT series, t, timestamp, """ + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY series, {c} IS NULL ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY series, {c}) + 1) / 2.0 - 0.5) / count({c}) OVER (PARTITION BY series) END AS u_{c}" for c in ("mom", "vol", "y")) + """ FROM f
 ),
-long AS (SELECT series, week(timestamp)::INT AS month, 'mom' AS feature, u_mom AS x, u_y AS y FROM u UNION ALL SELECT series, week(timestamp), 'vol', u_vol, u_y FROM u),
+long AS (SELECT series, week(timestamp)::INT AS month, 'mom' AS feature, u_mom AS x, u_y AS y FROM u UNION ALL SELECT series, week(timestamp)::INT, 'vol', u_vol, u_y FROM u),
 mm AS (SELECT month, feature, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM long WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2)"""
 add("rank_scores", lambda s, d: scored(s, d).select("series", T0(), "u_mom", "u_vol", "u_y"), with_("SELECT series, t, u_mom, u_vol, u_y FROM u", SCORED_SQL), ["series", "t"], ["u_mom", "u_vol", "u_y"])
 
