@@ -103,11 +103,11 @@ def naive(vectors, k):
     out = []
     for i, v in sorted({(i, tuple(v)) for i, v in q if i % 50 == 0}):
         best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))[:k]
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        out += [(i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("case", ["random", "lengths", "ties", "edge"])
+@pytest.mark.parametrize("case", ["random", "lengths", "ties", "edge", "large"])
 def test_search_is_exact(spark, case):
     rng = np.random.default_rng(4)
     n = 260
@@ -117,6 +117,8 @@ def test_search_is_exact(spark, case):
     if case == "ties":
         v = np.round(v)
         v[50:200] = v[50]
+    if case == "large":
+        v *= np.float32(2.0**20)
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     if case == "edge":
         rows = rows[:55] + [(60, None), (61, [1.0, None]), (62, [float("nan")] * 8), (63, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (64, [1.0, 2.0]), (100, [3.0, -1.0]), (65, [0.0] * 8), (3, rows[3][1]), (50, rows[50][1]), (66, []), (150, [1e30] * 8)]

@@ -9,8 +9,8 @@ What is left is verified by its integer product. The first thresholds come from
 
 Queries go out in blocks of about ``BLOCK``, so each broadcast has a bound; a task returns k rows a query at most.
 
-Defined results: vectors that are null, or hold a null, NaN, infinite or over-large component (``2**18`` or more), and
-rows without an id take no part; only vectors of one dimension are compared; repeated candidate rows count each for
+Defined results: vectors that are null, or hold a null, NaN, infinite or over-large component (``2**54`` or more), and
+rows without an id take no part; a product beyond the range of a long is the nearest long; only vectors of one dimension are compared; repeated candidate rows count each for
 itself; repeated query rows count once if their vectors agree and are separate queries if not; a candidate with the
 query's own id is left out; an empty table gives an empty table; only the columns named are read.
 """
@@ -32,7 +32,8 @@ from tidemark.llm.common import ship, written
 BUCKET, BLOCK, SEEDS = 2_048, 4_096, 2_048
 #: Local cosine threshold from which coordinates are pruned, and how many of a query's.
 COORDINATE_FROM, FOCUS = 0.6, 5
-LARGEST = 1 << 18
+#: Components from here on have integers that no long holds.
+LARGEST = 1 << 54
 
 
 def scaled(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -50,7 +51,17 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     big = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if big < 2**53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if big < 2**62:
+        return a @ b.T
+    low, high = -(2**63), 2**63 - 1
+    whole = a.astype(object) @ b.T.astype(object)
+    return np.array([[min(max(int(v), low), high) for v in row] for row in whole], np.int64).reshape(len(a), len(b))
+
+
+def below(scores: np.ndarray) -> np.ndarray:
+    """Floats that no score of at least that height is under, also where floats are coarser than whole numbers."""
+    f = scores.astype(np.float64)
+    return np.where(np.abs(f) < 2**50, f, f - np.abs(f) * 1e-12)
 
 
 class Bucket:
@@ -92,14 +103,14 @@ class Asked:
         keep = np.arange(len(row)) - start < self.k
         self.best = row, score, vec = row[keep], score[keep], vec[keep]
         full = np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1
-        self.floor[row[full]] = np.maximum(self.floor[row[full]], score[full])
+        self.floor[row[full]] = np.maximum(self.floor[row[full]], below(score[full]))
 
     def scan(self, bucket: Bucket) -> None:
         if not len(bucket.ids):
             return
         longest = bucket.lengths[0]
-        # Scores are whole numbers: half a unit of slack covers all rounding below.
-        need = np.where(self.floor > 0, self.floor - 0.5, -np.inf)
+        # Scores are whole numbers: half a unit of slack, and a share of large ones, covers all rounding below.
+        need = np.where(self.floor > 0, self.floor * (1 - 1e-12) - 0.5, -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(need > 0, need / (self.lengths * longest), -1.0)
         open_ = ~(cosine > 1 + 1e-9)
