@@ -75,25 +75,26 @@ def innovation_variance(theta: Column, sigma: Column, dt: float = 1.0) -> Column
     return F.when(theta > 0, sigma * sigma * (1 - F.exp(-2 * theta * dt)) / (2 * theta))
 
 
-def ou_state(b: Column, innovation: Column, complete: Column, degenerate: Column, zero: float = 1e-18, near_unit: float = 1e-6) -> Column:
-    """One of eight states of an AR(1) fit; only ``mean_reverting`` has OU parameters."""
+def ou_state(b: Column, complete: Column, degenerate: Column, max_half_life: float = 10_000.0, tolerance: float = 1e-9, low: float = 0.0, high: float = 1.0) -> Column:
+    """One of eight states of an AR(1) fit; only ``valid`` has OU parameters."""
     return (
-        F.when(~complete, "incomplete").when(degenerate, "degenerate").when(b.isNull() | F.isnan(b), "undefined")
-        .when(innovation <= zero, "zero_innovation").when(b <= 0, "non_positive").when(b >= 1 + near_unit, "explosive")
-        .when(b > 1 - near_unit, "unit_root").otherwise("mean_reverting")
+        F.when(~complete, "insufficient_data").when(degenerate | b.isNull() | F.isnan(b), "degenerate").when(b <= 0, "non_positive")
+        .when(b > 1 + tolerance, "explosive").when(F.abs(b - 1) <= tolerance, "unit_root")
+        .when(~F.coalesce(half_life_bars(b) <= max_half_life, F.lit(False)), "near_unit_root")
+        .when((b > low) & (b < high), "valid").otherwise("outside_valid_range")
     )
 
 
-def map_ar1_to_ou(a: Column, b: Column, innovation: Column, complete: Column, degenerate: Column, dt: float = 1.0) -> dict[str, Column]:
-    """State and OU parameters (null unless the state is mean reverting) of an AR(1) fit."""
-    state = ou_state(b, innovation, complete, degenerate)
-    ok = state == "mean_reverting"
+def map_ar1_to_ou(a: Column, b: Column, innovation: Column, complete: Column, degenerate: Column, dt: float = 1.0, zero: float = 1e-12) -> dict[str, Column]:
+    """State and OU parameters (null unless the state is valid) of an AR(1) fit; an innovation variance at or below
+    ``zero`` counts as none."""
+    state = ou_state(b, complete, degenerate)
     theta = -F.ln(b) / dt
-    sigma = F.sqrt(innovation * 2 * theta / (1 - b * b))
-    pick = lambda c: F.when(ok, c)
+    spread = F.sqrt(F.when(innovation <= zero, 0.0).otherwise(innovation) / ((1 - b) * (1 + b)))
+    pick = lambda c: F.when(state == "valid", c)
     return {
-        "ou_state": state, "ou_theta": pick(theta), "ou_mu": pick(a / (1 - b)), "ou_sigma": pick(sigma),
-        "ou_half_life": pick(F.lit(math.log(2.0)) / theta), "ou_stationary_std": pick(sigma / F.sqrt(2 * theta)),
+        "ou_state": state, "ou_theta": pick(theta), "ou_mu": pick(a / (1 - b)), "ou_sigma": pick(spread * F.sqrt(2 * theta)),
+        "ou_half_life": pick(half_life_bars(b)), "ou_stationary_std": pick(spread),
     }
 
 
@@ -110,9 +111,9 @@ def time_features(ts: Column) -> dict[str, Column]:
 
 
 def effect_size(rho: Column) -> Column:
-    """Name of a correlation's magnitude."""
+    """Name of a correlation's magnitude; the bounds are fixed values."""
     r = F.abs(rho)
-    return F.when(rho.isNull(), "undefined").when(r < 0.01, "negligible").when(r < 0.05, "very small").when(r < 0.1, "small").when(r < 0.3, "moderate").otherwise("large")
+    return F.when(rho.isNull(), "undefined").when(r < 0.01, "negligible").when(r < 0.05, "very small").when(r < 0.1, "small").when(r < 0.2, "moderate").otherwise("large")
 
 
 def half_open_bin(x: Column, edges: list[float]) -> Column:

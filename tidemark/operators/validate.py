@@ -108,18 +108,44 @@ def iso_weekday(ts: Column) -> Column:
     return F.weekday(ts) + 1
 
 
-def classify_gap(start: Column, end: Column, daily_break_hours: float = 3.0) -> Column:
-    """Weekend, weekend with a holiday, daily break, or holiday or unknown."""
+@dataclass(frozen=True)
+class Schedule:
+    """Weekly close and open (ISO weekdays) and the daily break of an instrument's clock."""
+
+    close_day: int = 5
+    open_day: int = 1
+    break_start: str = "00:00"
+    break_end: str = "01:00"
+    #: Ticks never fall on the break's very edges.
+    tick_slack_minutes: int = 5
+
+
+def _minutes(clock: str) -> int:
+    return int(clock[:2]) * 60 + int(clock[3:5])
+
+
+def classify_gap(start: Column, end: Column, schedule: Schedule = Schedule(), ticks: bool = False) -> Column:
+    """``weekend`` (close day to open day, under four days), ``holiday_weekend`` (up to a week, over a Saturday, ending on
+    the open day), ``daily_break`` or ``holiday_or_unknown``. With ``ticks``, edges within some minutes of the break's
+    are the break too."""
+    s = schedule
     hours = (micros_of(end) - micros_of(start)) / 3_600_000_000
-    days = F.datediff(end, start)
-    spans = (iso_weekday(start) + days) >= 7
-    weekend = spans & (iso_weekday(start) <= 6)
+    opens = iso_weekday(end) == s.open_day
+    saturday = F.pmod(6 - iso_weekday(start), F.lit(7)) <= F.datediff(end, start)
+    seconds = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    first, last = _minutes(s.break_start), _minutes(s.break_end)
+    closed = F.lit(True) if first == 0 else seconds(start) >= (first - 1) * 60
+    daily = (hours <= 24) & closed & (seconds(end) <= last * 60)
+    if ticks:
+        slack = s.tick_slack_minutes * 60_000_000
+        length = ((last - first) % 1440 or 1440) * 60_000_000
+        for day in (start, end):
+            opening = micros_of(F.date_trunc("day", day)) + first * 60_000_000
+            daily = daily | ((F.abs(micros_of(start) - opening) <= slack) & (F.abs(micros_of(end) - opening - length) <= slack))
     return (
-        F.when(weekend & (hours <= 60), "weekend")
-        .when(weekend & (hours <= 110), "holiday_weekend")
-        .when(hours <= daily_break_hours, "daily_break")
-        .otherwise("holiday_or_unknown")
-    )
+        F.when((iso_weekday(start) == s.close_day) & opens & (hours < 96), "weekend")
+        .when(opens & (hours <= 168) & saturday, "holiday_weekend").when(daily, "daily_break").otherwise("holiday_or_unknown")
+    )
 
 
 def bar_gaps(bars: DataFrame, timeframe: str, *, series: list[str], ts: str = "timestamp") -> DataFrame:

@@ -137,13 +137,14 @@ def _reconciled(spark, sf_dir):
 
 
 add("reconciliation", _reconciled, with_(f"SELECT count(*) AS source, count(*) FILTER (WHERE {_CASE} = 'kept') AS written, count(*) FILTER (WHERE {_CASE} <> 'kept') AS dropped, 0::BIGINT AS difference FROM flags", DEFECTS_SQL), ["source", "written", "dropped", "difference"])
-add("tick_gaps", lambda s, d: V.tick_gaps(ticks(s, d), 7200, series=SERIES).select("series", F.unix_timestamp("gap_start").alias("start_t"), "seconds", V.classify_gap(C("gap_start"), C("gap_end")).alias("kind")),
-    with_("""SELECT series, epoch(date_trunc('second', p))::BIGINT AS start_t, (epoch_us(ts) - epoch_us(p)) / 1e6 AS seconds,
-      CASE WHEN isodow(p) + (ts::DATE - p::DATE) >= 7 AND isodow(p) <= 6 AND (epoch_us(ts) - epoch_us(p)) / 3.6e9 <= 60 THEN 'weekend'
-      WHEN isodow(p) + (ts::DATE - p::DATE) >= 7 AND isodow(p) <= 6 AND (epoch_us(ts) - epoch_us(p)) / 3.6e9 <= 110 THEN 'holiday_weekend'
-      WHEN (epoch_us(ts) - epoch_us(p)) / 3.6e9 <= 3 THEN 'daily_break' ELSE 'holiday_or_unknown' END AS kind
-      FROM (SELECT *, lag(ts) OVER (PARTITION BY series ORDER BY ts, seq) AS p FROM ticks) WHERE epoch_us(ts) - epoch_us(p) > 7200 * 1e6""", TICKS_SQL),
-    ["series", "start_t", "kind"], ["seconds"])
+_GAPS = TICKS_SQL + ",\ngaps AS (SELECT *, (epoch_us(ts) - epoch_us(p)) / 1e6 AS seconds, hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS e FROM (SELECT *, lag(ts) OVER (PARTITION BY series ORDER BY ts, seq) AS p FROM ticks) WHERE epoch_us(ts) - epoch_us(p) > {} * 1e6)"
+_KIND = """CASE WHEN isodow(p) = 5 AND isodow(ts) = 1 AND seconds < 96 * 3600 THEN 'weekend' WHEN isodow(ts) = 1 AND seconds <= 168 * 3600 AND (13 - isodow(p)) % 7 <= ts::DATE - p::DATE THEN 'holiday_weekend'
+  WHEN seconds <= 86400 AND e <= 3600 {more} THEN 'daily_break' ELSE 'holiday_or_unknown' END"""
+add("tick_gaps", lambda s, d: V.tick_gaps(ticks(s, d), 3600, series=SERIES).select("series", F.unix_timestamp("gap_start").alias("start_t"), "seconds", V.classify_gap(C("gap_start"), C("gap_end")).alias("kind")),
+    with_(f"SELECT series, epoch(date_trunc('second', p))::BIGINT AS start_t, seconds, {_KIND.format(more='')} AS kind FROM gaps", _GAPS.format(3600)), ["series", "start_t", "kind"], ["seconds"])
+add("tick_gaps_with_slack", lambda s, d: V.tick_gaps(ticks(s, d), 1800, series=SERIES).select("series", F.unix_timestamp("gap_start").alias("start_t"), V.classify_gap(C("gap_start"), C("gap_end"), V.Schedule(break_start="22:00", break_end="22:40", tick_slack_minutes=25), True).alias("kind")),
+    with_("""SELECT series, epoch(date_trunc('second', p))::BIGINT AS start_t, CASE WHEN isodow(p) = 5 AND isodow(ts) = 1 AND seconds < 96 * 3600 THEN 'weekend' WHEN isodow(ts) = 1 AND seconds <= 168 * 3600 AND (13 - isodow(p)) % 7 <= ts::DATE - p::DATE THEN 'holiday_weekend'
+      WHEN seconds <= 86400 AND hour(p) * 60 + minute(p) >= 1319 AND e <= 81600 OR list_bool_or([abs(epoch_us(p) - epoch_us(d) - 79200000000) <= 1500000000 AND abs(epoch_us(ts) - epoch_us(d) - 81600000000) <= 1500000000 for d in [date_trunc('day', p)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP]]) THEN 'daily_break' ELSE 'holiday_or_unknown' END AS kind FROM gaps""", _GAPS.format(1800)), ["series", "start_t", "kind"])
 add("bar_gaps", lambda s, d: V.bar_gaps(bars(s, d), "1h", series=SERIES).select("series", F.unix_timestamp("gap_start").alias("start_t"), "missing"),
     with_("SELECT series, p AS start_t, (t - p) // 3600 - 1 AS missing FROM (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t) AS p FROM bars) WHERE (t - p) // 3600 > 1", BARS_SQL), ["series", "start_t", "missing"])
 add("bar_coverage", lambda s, d: V.coverage(bars(s, d), "1h", series=SERIES),
@@ -248,7 +249,7 @@ def _ou_math(spark, sf_dir):
 
 add("scalar_ou_math", _ou_math, """SELECT event_id, theta, half_life, 0.3 / sqrt(2 * theta) AS stat_std, 1 + (x - 1) * exp(-theta * 3) AS expected, exp(-theta * 3) AS decay, 0.09 * (1 - exp(-2 * theta * 0.5)) / (2 * theta) AS innov,
   x * 7 + pi() - floor((x * 7 + pi()) / (2 * pi())) * 2 * pi() - pi() AS phase, sign(x - 2) * ln(1 + abs(x - 2)) AS slog,
-  CASE WHEN abs(b / 3) < 0.01 THEN 'negligible' WHEN abs(b / 3) < 0.05 THEN 'very small' WHEN abs(b / 3) < 0.1 THEN 'small' WHEN abs(b / 3) < 0.3 THEN 'moderate' ELSE 'large' END AS effect,
+  CASE WHEN abs(b / 3) < 0.01 THEN 'negligible' WHEN abs(b / 3) < 0.05 THEN 'very small' WHEN abs(b / 3) < 0.1 THEN 'small' WHEN abs(b / 3) < 0.2 THEN 'moderate' ELSE 'large' END AS effect,
   CASE WHEN x >= 0 AND x < 0.5 THEN 0 WHEN x >= 0.5 AND x < 1 THEN 1 WHEN x >= 1 AND x < 2 THEN 2 WHEN x >= 2 AND x < 4 THEN 3 END::INT AS bin
   FROM (SELECT event_id, b, x, CASE WHEN b > 0 AND b < 1 THEN -ln(b) / 0.5 END AS theta, CASE WHEN b > 0 AND b < 1 THEN -ln(2) / ln(b) END AS half_life FROM (SELECT event_id, value / 400 - 0.1 AS b, value / 100 AS x FROM events))""",
     ["event_id", "effect", "bin"], ["theta", "half_life", "stat_std", "expected", "decay", "innov", "phase", "slog"])
@@ -323,12 +324,12 @@ ar AS (
     FROM pairs WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 30 PRECEDING AND CURRENT ROW))
 ),
 ou AS (
-  SELECT *, CASE WHEN i < 31 THEN 'incomplete' WHEN ar_innovation <= 1e-18 THEN 'zero_innovation' WHEN ar_b <= 0 THEN 'non_positive' WHEN ar_b >= 1 + 1e-6 THEN 'explosive'
-    WHEN ar_b > 1 - 1e-6 THEN 'unit_root' ELSE 'mean_reverting' END AS ou_state FROM ar
+  SELECT *, CASE WHEN i < 31 THEN 'insufficient_data' WHEN ar_b <= 0 THEN 'non_positive' WHEN ar_b > 1 + 1e-9 THEN 'explosive' WHEN abs(ar_b - 1) <= 1e-9 THEN 'unit_root'
+    WHEN -ln(2) / ln(ar_b) > 10000 THEN 'near_unit_root' ELSE 'valid' END AS ou_state FROM ar
 )"""
 add("rolling_ar1_ou", ou_frame, with_("""SELECT series, t, ou_state, ar_a, ar_b, ar_innovation, th AS ou_theta, mu AS ou_mu, sg AS ou_sigma, (x - mu) / (sg / sqrt(2 * th)) AS ou_z,
-  x - (lag(ar_a) OVER w + lag(ar_b) OVER w * lag(x) OVER w) AS surprise FROM (SELECT *, sqrt(ar_innovation * 2 * th / (1 - ar_b * ar_b)) AS sg FROM (SELECT *, CASE WHEN ou_state = 'mean_reverting' THEN -ln(ar_b) END AS th,
-  CASE WHEN ou_state = 'mean_reverting' THEN ar_a / (1 - ar_b) END AS mu FROM ou)) WINDOW w AS (PARTITION BY series ORDER BY t)""", AR_SQL),
+  x - (lag(ar_a) OVER w + lag(ar_b) OVER w * lag(x) OVER w) AS surprise FROM (SELECT *, sqrt(ar_innovation * 2 * th / (1 - ar_b * ar_b)) AS sg FROM (SELECT *, CASE WHEN ou_state = 'valid' THEN -ln(ar_b) END AS th,
+  CASE WHEN ou_state = 'valid' THEN ar_a / (1 - ar_b) END AS mu FROM ou)) WINDOW w AS (PARTITION BY series ORDER BY t)""", AR_SQL),
     ["series", "t", "ou_state"], ["ar_a", "ar_b", "ar_innovation", "ou_theta", "ou_mu", "ou_sigma", "ou_z", "surprise"])
 
 # Features and outcomes.

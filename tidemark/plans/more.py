@@ -51,7 +51,7 @@ def _regressions(spark, sf_dir):
 
 
 add("half_life_summary", lambda s, d: A.half_life_summary(ou_frame(s, d), "ou_half_life", 50.0, SERIES),
-    with_("SELECT series, count(h) AS n, count(*) FILTER (WHERE h > 50) AS censored, median(CASE WHEN h <= 50 THEN h END) AS median, avg(CASE WHEN h <= 50 THEN h END) AS mean FROM (SELECT series, CASE WHEN ou_state = 'mean_reverting' THEN -ln(2) / ln(ar_b) END AS h FROM ou) GROUP BY 1", AR_SQL), ["series", "n", "censored"], ["median", "mean"])
+    with_("SELECT series, count(h) AS n, count(*) FILTER (WHERE h > 50) AS censored, median(CASE WHEN h <= 50 THEN h END) AS median, avg(CASE WHEN h <= 50 THEN h END) AS mean FROM (SELECT series, CASE WHEN ou_state = 'valid' THEN -ln(2) / ln(ar_b) END AS h FROM ou) GROUP BY 1", AR_SQL), ["series", "n", "censored"], ["median", "mean"])
 
 
 def _forecast(spark, sf_dir):
@@ -62,7 +62,7 @@ def _forecast(spark, sf_dir):
     return o.groupBy("series").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.sqrt(F.avg(n * n)).alias("naive_rmse"))
 
 
-add("ou_forecast_evaluation", _forecast, with_("SELECT series, count(*) AS n, avg(abs(f - y)) AS mae, sqrt(avg((f - y) ** 2)) AS rmse, avg(f - y) AS bias, sqrt(avg((x - y) ** 2)) AS naive_rmse FROM (SELECT series, x, y, mu + (x - mu) * exp(3 * ln(ar_b)) AS f FROM (SELECT *, lead(x, 3) OVER (PARTITION BY series ORDER BY t) AS y, ar_a / (1 - ar_b) AS mu FROM ou) WHERE ou_state = 'mean_reverting' AND y IS NOT NULL) GROUP BY 1", AR_SQL), ["series", "n"], ["mae", "rmse", "bias", "naive_rmse"])
+add("ou_forecast_evaluation", _forecast, with_("SELECT series, count(*) AS n, avg(abs(f - y)) AS mae, sqrt(avg((f - y) ** 2)) AS rmse, avg(f - y) AS bias, sqrt(avg((x - y) ** 2)) AS naive_rmse FROM (SELECT series, x, y, mu + (x - mu) * exp(3 * ln(ar_b)) AS f FROM (SELECT *, lead(x, 3) OVER (PARTITION BY series ORDER BY t) AS y, ar_a / (1 - ar_b) AS mu FROM ou) WHERE ou_state = 'valid' AND y IS NOT NULL) GROUP BY 1", AR_SQL), ["series", "n"], ["mae", "rmse", "bias", "naive_rmse"])
 
 
 def _phase(spark, sf_dir):

@@ -120,7 +120,7 @@ _Z = OLS_SQL + ",\nzs AS (SELECT * FROM (SELECT series, t, CASE WHEN count(resid
 add("residual_decay", _decay, with_("""SELECT floor(z + 3)::INT AS bin, horizon::INT AS horizon, count(*) AS n, avg(z) AS mean_z, avg(y) AS mean_later, avg((abs(y) < abs(z))::INT) AS toward FROM
   (SELECT *, lead(z, 1) OVER w AS z1, lead(z, 4) OVER w AS z4 FROM zs WINDOW w AS (PARTITION BY series ORDER BY t)), LATERAL (SELECT unnest([1, 4]) AS horizon, unnest([z1, z4]) AS y) WHERE y IS NOT NULL AND z >= -3 AND z < 3 GROUP BY 1, 2""", _Z), ["bin", "horizon", "n"], ["mean_z", "mean_later", "toward"])
 add("ou_classification", lambda s, d: ou_frame(s, d).groupBy("series", "ou_state").agg(F.count("*").alias("n"), F.percentile("ou_half_life", 0.5).alias("half_life")),
-    with_("SELECT series, ou_state, count(*) AS n, median(CASE WHEN ou_state = 'mean_reverting' THEN -ln(2) / ln(ar_b) END) AS half_life FROM ou GROUP BY 1, 2", AR_SQL), ["series", "ou_state", "n"], ["half_life"])
+    with_("SELECT series, ou_state, count(*) AS n, median(CASE WHEN ou_state = 'valid' THEN -ln(2) / ln(ar_b) END) AS half_life FROM ou GROUP BY 1, 2", AR_SQL), ["series", "ou_state", "n"], ["half_life"])
 
 
 def _segment_fits(spark, sf_dir):
