@@ -90,3 +90,15 @@ def test_table_and_summary():
     table = {"é": 3, " the": 1, "x" * 300: 9}
     assert opened_table(compact_table(table)) == table
     assert cut(Counter(a=5, b=3, c=1), 2) == Counter(a=4, b=2)
+
+
+def test_the_faster_splitter_gives_the_same_pieces():
+    import regex
+
+    from tidemark.llm.common import piece_splitter
+
+    fast, slow = piece_splitter(P.PATTERN), regex.compile(P.PATTERN).findall
+    for ch in map(chr, range(0x3100)):
+        for s in (f"a{ch}b 1{ch}2 {ch}{ch}", f"{ch}'s  {ch}\n{ch} _{ch}_", f"  {ch}"):
+            assert fast(s) == slow(s), hex(ord(ch))
+    assert piece_splitter(r"\s+|\S+")("a b") == ["a", " ", "b"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_columns, ship, slices
+from tidemark.llm.common import keep_columns, piece_splitter, ship, slices
 
 #: Pieces up to this many bytes go through the matrices.
 MATRIX_BYTES = 256
@@ -74,9 +74,7 @@ class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
-        self.split = regex.compile(pattern).findall
+        self.split = piece_splitter(pattern)
         self.ranks = ranks
         self.bytes_of = dict(map(reversed, ranks.items()))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)

@@ -80,6 +80,28 @@ def slices(texts: list, most: int = 2_000_000):
         yield start, len(texts)
 
 
+def piece_splitter(pattern: str):
+    """``findall`` of a pre-token pattern. For texts whose characters the standard library's ``re`` and the ``regex`` module
+    class alike (checked character by character, once), the faster of the two is taken; the pieces are the same."""
+    import re
+
+    import regex
+
+    slow = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    if r"\p" in plain or plain == pattern:
+        return slow
+    chars = "".join(map(chr, range(0x3000)))
+    kinds = [
+        (set(re.findall(a, chars)), set(regex.findall(b, chars)))
+        for a, b in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s"), (r"[^\s\w]|_", r"[^\s\p{L}\p{N}]"))
+    ]
+    alike = [c for c in chars if all((c in a) == (c in b) for a, b in kinds)]
+    other = re.compile("[^" + "".join(map(re.escape, alike)) + "]").search
+    fast = re.compile(plain).findall
+    return lambda text: slow(text) if other(text) else fast(text)
+
+
 #: Bits of a filter of row numbers that is broadcast: 2 MB, whatever the table.
 KEY_FILTER_BITS, KEY_SLICES = 1 << 24, 16
 

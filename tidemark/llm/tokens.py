@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_columns, ship, slices
+from tidemark.llm.common import keep_columns, piece_splitter, ship, slices
 
 #: Entries of the broadcast table, of a task's summary, and of a task's counter before it is cut back to its summary.
 TABLE_SIZE, SUMMARY_SIZE, COUNTER_SIZE = 32_768, 8_192, 200_000
@@ -50,7 +50,7 @@ class Counting:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces_of = regex.compile(pattern).findall
+        self.pieces_of = piece_splitter(pattern)
         self.odd = regex.compile(f"[^{PLAIN}]").search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)).split if special else None
@@ -200,7 +200,7 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
             own, counts = _counting(path, pattern), []
             if own.table_name != name:
                 own.use(name, opened_table(table.value))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 8_000_000):
                 counts += own.count(texts[a:b])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:last], pa.array(counts, pa.int64())], names=[*rest, "n_bytes", "n_tokens"]
