@@ -93,6 +93,14 @@ def test_dedup_keeps_one_of_each_group(docs, rows, nothing):
     assert simhash_dedup(nothing).count() == 0
 
 
+def test_pieces_bounded_by_bytes_lose_nothing(docs, monkeypatch):
+    import tidemark.llm.simhash as S
+
+    whole = sorted(str(r["doc_id"]) for r in simhash_dedup(docs).collect())
+    monkeypatch.setattr(S, "SHARD_BYTES", 3_000)
+    assert sorted(str(r["doc_id"]) for r in simhash_dedup(docs).collect()) == whole
+
+
 def test_bits_of_a_similarity():
     assert differing_bits(1.0, 64) == 0 and 36 <= differing_bits(0.8, 256) <= 40
 

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import durable, in_key_filter, keep_columns, key_filter, ship, written
 
-#: Nodes of one BK-tree.
-SHARD_NODES = 8_192
+#: Nodes of one BK-tree, and about so many bytes of their shingle sets.
+SHARD_NODES, SHARD_BYTES = 8_192, 16 << 20
 SEED = 42
 #: Odd constants that turn one shingle hash into the hashes of further lanes of 64 bits.
 LANE_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -155,7 +155,7 @@ class ShingleSets:
     """Shingle sets of a shard's rows, for exact similarities. Shingles that one row only has count for sizes alone."""
 
     #: Pairs up to which sets are held against each other one by one; cells of a dense part.
-    FEW, CELLS = 64, 1 << 24
+    FEW, CELLS = 64, 1 << 22
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets, self.sizes = sets, np.array([len(s) for s in sets])
@@ -235,8 +235,9 @@ def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_N
     ship(nodes.sparkSession)
     sh = F.col("sh") if similarity is not None else F.lit(None).cast("binary")
     keyed = nodes.select("node", "fp", sh.alias("sh"), F.explode(shards).alias("s")).select("node", "fp", "sh", "s.k", "s.v")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    pieces = F.ceil(F.col("n") / shard_nodes).cast("int")
+    held = F.sum(F.coalesce(F.octet_length("sh"), F.lit(0)))
+    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n"), held.alias("bytes")).where("n > 1")
+    pieces = F.greatest(F.ceil(F.col("n") / shard_nodes), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
     placed = keyed.join(sizes, ["k", "v"]).select(
         "k", "v", "node", "fp", "sh", pieces.alias("m"), F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int").alias("own")
     )
