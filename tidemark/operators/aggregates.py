@@ -179,6 +179,19 @@ def rank_scores(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
     return df.join(ranked, on, "left").select(*df.columns, name)
 
 
+def rank_scores_of(df: DataFrame, columns: list[str], by: list[str], key: list[str], prefix: str = "u_") -> DataFrame:
+    """`rank_scores` of several columns at once, in long form; ``key`` (which holds ``by``) tells rows apart and has no nulls."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in columns])).alias("__s")
+    long = df.select(*key, cells).select(*key, "__s.*").where(F.col("__x").isNotNull())
+    counts = long.groupBy(*by, "__col", "__x").agg(F.count("*").alias("__c"))
+    w = W.partitionBy(*by, "__col").orderBy("__x")
+    below = F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__c").over(W.partitionBy(*by, "__col"))
+    ranks = counts.select(*by, "__col", "__x", ((below + (F.col("__c") + 1) / 2.0 - 0.5) / total).alias("__score"))
+    wide = long.join(ranks, [*by, "__col", "__x"]).groupBy(*key).pivot("__col", columns).agg(F.first("__score"))
+    return df.join(wide.withColumnsRenamed({c: f"{prefix}{c}" for c in columns}), key, "left")
+
+
 def month_moments(df: DataFrame, ts: str, features: list[str], targets: list[str], extra: list[str] = ()) -> DataFrame:
     """Partial sums n, sx, sy, sxx, syy, sxy by month, feature and target (and other keys)."""
     f = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")

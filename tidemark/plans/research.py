@@ -165,9 +165,7 @@ def scored(spark, sf_dir):
     """Rank scores of two features and one outcome."""
     b = in_blocks(returns(spark, sf_dir), 24, 1)
     f = O.own_rows(b.select("series", "timestamp", O.INDEX, O.BLOCK, O.OWN, "r", WN.rolling_mean(C("r"), BW(), 6).alias("mom"), WN.rolling_std(C("r"), BW(), 24).alias("vol"), F.lead("r").over(BW()).alias("y")))
-    for c in ("mom", "vol", "y"):
-        f = A.rank_scores(f, c, SERIES, f"u_{c}")
-    return f
+    return A.rank_scores_of(f, ["mom", "vol", "y"], SERIES, ["series", "timestamp"])
 
 
 SCORED_SQL = RETURNS_SQL + """,
@@ -196,13 +194,13 @@ _SUM = "sum(n)::BIGINT AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(
 add("ic_month_moments", weekly_moments, with_("SELECT * FROM mm", SCORED_SQL), ["month", "feature", "n"], ["sx", "sy", "sxx", "syy", "sxy"])
 add("ic_pooled", lambda s, d: A.sum_moments(weekly_moments(s, d), ["feature"]).select("feature", "n", A.correlation_of_sums().alias("ic")), with_(f"SELECT feature, n, {_CORR} AS ic FROM (SELECT feature, {_SUM} FROM mm GROUP BY 1)", SCORED_SQL), ["feature", "n"], ["ic"])
 add("ic_by_period", lambda s, d: weekly_moments(s, d).select("feature", "month", "n", A.correlation_of_sums().alias("ic")), with_(f"SELECT feature, month, n, CASE WHEN n > 2 THEN {_CORR} END AS ic FROM mm", SCORED_SQL), ["feature", "month", "n"], ["ic"])
-add("ic_with_errors", lambda s, d: A.ic_with_errors(weekly_moments(s, d), 2), with_(f"""SELECT feature, N AS n, ic, months, sqrt(greatest(v, 0)) / N AS se, ic / (sqrt(greatest(v, 0)) / N) AS z FROM (
-  SELECT feature, N, ic, count(*) AS months, sum(u * u) + 2 * (2 / 3.0) * coalesce(sum(u * u1), 0) + 2 * (1 / 3.0) * coalesce(sum(u * u2), 0) AS v FROM (
+add("ic_with_errors", lambda s, d: A.ic_with_errors(weekly_moments(s, d), 2), with_(f"""SELECT feature, big AS n, ic, months, sqrt(greatest(v, 0)) / big AS se, ic / (sqrt(greatest(v, 0)) / big) AS z FROM (
+  SELECT feature, big, ic, count(*) AS months, sum(u * u) + 2 * (2 / 3.0) * coalesce(sum(u * u1), 0) + 2 * (1 / 3.0) * coalesce(sum(u * u2), 0) AS v FROM (
     SELECT *, lag(u) OVER w AS u1, lag(u, 2) OVER w AS u2 FROM (
-      SELECT mm.feature, month, N, ic, (sxy - mx * sy - my * sx + n * mx * my) / (dx * dy) - ic * ((sxx - 2 * mx * sx + n * mx * mx) / (dx * dx) + (syy - 2 * my * sy + n * my * my) / (dy * dy)) / 2 AS u
-      FROM mm JOIN (SELECT feature, n AS N, sx / n AS mx, sy / n AS my, sqrt(sxx / n - (sx / n) ** 2) AS dx, sqrt(syy / n - (sy / n) ** 2) AS dy, {_CORR} AS ic FROM (SELECT feature, {_SUM} FROM mm GROUP BY 1)) p USING (feature))
-    WINDOW w AS (PARTITION BY feature ORDER BY month)) GROUP BY 1, 2, 3)""", SCORED_SQL).replace(", N AS n,", ", big AS n,").replace("n AS N,", "n AS big,").replace(" N,", " big,").replace("/ N", "/ big"), ["feature", "n", "months"], ["ic", "se", "z"])
-add("ic_rolling", lambda s, d: A.rolling_ics(weekly_moments(s, d), 3, 2), with_(f"SELECT feature, month, held, n, {_CORR} AS ic FROM (SELECT feature, month, count(*) OVER w AS held, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")) + " FROM mm WINDOW w AS (PARTITION BY feature ORDER BY month RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE held >= 2", SCORED_SQL).replace("held, n,", "held, n::BIGINT AS n,"), ["feature", "month", "held", "n"], ["ic"])
+      SELECT mm.feature, month, big, ic, (sxy - mx * sy - my * sx + n * mx * my) / (dx * dy) - ic * ((sxx - 2 * mx * sx + n * mx * mx) / (dx * dx) + (syy - 2 * my * sy + n * my * my) / (dy * dy)) / 2 AS u
+      FROM mm JOIN (SELECT feature, n AS big, sx / n AS mx, sy / n AS my, sqrt(sxx / n - (sx / n) ** 2) AS dx, sqrt(syy / n - (sy / n) ** 2) AS dy, {_CORR} AS ic FROM (SELECT feature, {_SUM} FROM mm GROUP BY 1)) p USING (feature))
+    WINDOW w AS (PARTITION BY feature ORDER BY month)) GROUP BY 1, 2, 3)""", SCORED_SQL), ["feature", "n", "months"], ["ic", "se", "z"])
+add("ic_rolling", lambda s, d: A.rolling_ics(weekly_moments(s, d), 3, 2), with_(f"SELECT feature, month, held, n::BIGINT AS n, {_CORR} AS ic FROM (SELECT feature, month, count(*) OVER w AS held, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")) + " FROM mm WINDOW w AS (PARTITION BY feature ORDER BY month RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE held >= 2", SCORED_SQL), ["feature", "month", "held", "n"], ["ic"])
 add("ic_eras", lambda s, d: A.era_ics(weekly_moments(s, d), 2), with_(f"SELECT feature, era::INT AS era, n, {_CORR} AS ic FROM (SELECT feature, era, {_SUM} FROM (SELECT *, ntile(2) OVER (PARTITION BY feature ORDER BY month) AS era FROM mm) GROUP BY 1, 2)", SCORED_SQL), ["feature", "era", "n"], ["ic"])
 
 
