@@ -170,8 +170,8 @@ def return_features(close: Column, high: Column, low: Column, r: Column, w, hori
 
 def volatility_features(o: Column, h: Column, lo: Column, c: Column, r: Column, w, short: int = 12, long: int = 48) -> dict[str, Column]:
     """Log realised volatility, ratio of windows, Parkinson and Garman-Klass ranges."""
-    pk = (F.ln(h / lo) ** 2) / (4 * math.log(2))
-    gk = 0.5 * F.ln(h / lo) ** 2 - (2 * math.log(2) - 1) * F.ln(c / o) ** 2
+    pk = (S.log_return(h, lo) ** 2) / (4 * math.log(2))
+    gk = 0.5 * S.log_return(h, lo) ** 2 - (2 * math.log(2) - 1) * S.log_return(c, o) ** 2
     rv = {n: F.sqrt(trailing_sum(r * r, w, n) / n) for n in (short, long)}
     root = lambda v, n: F.sqrt(S.clip(trailing_sum(v, w, n) / n, 0.0, float("inf")))
     return {
@@ -217,11 +217,11 @@ def future_realized_vol(r: Column, w, h: int) -> Column:
 
 
 def future_max_up(close: Column, high: Column, w, h: int) -> Column:
-    return _ahead(F.ln(F.max(high).over(w.rowsBetween(1, h)) / close), high, w, h)
+    return _ahead(S.log_return(F.max(high).over(w.rowsBetween(1, h)), close), high, w, h)
 
 
 def future_max_down(close: Column, low: Column, w, h: int) -> Column:
-    return _ahead(F.ln(F.min(low).over(w.rowsBetween(1, h)) / close), low, w, h)
+    return _ahead(S.log_return(F.min(low).over(w.rowsBetween(1, h)), close), low, w, h)
 
 
 def residual_change(eps: Column, sigma: Column, w, h: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar as S
 from tidemark.operators import ordering
 from tidemark.operators.bars import resample_ticks
 from tidemark.session import table
@@ -74,7 +75,7 @@ def on_bars(columns: Callable[[], dict], back: int, ahead: int = 0, source: Call
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the log return ``r``, exact across blocks."""
     b = in_blocks(bars(spark, sf_dir), 1)
-    return ordering.own_rows(b.withColumn("r", F.ln(F.col("close") / F.lag("close").over(BW()))))
+    return ordering.own_rows(b.withColumn("r", S.log_return(F.col("close"), F.lag("close").over(BW()))))
 
 
 TICKS_SQL = """

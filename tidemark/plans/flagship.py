@@ -17,7 +17,7 @@ def hourly_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max_by("value", seq).alias("close"))
     )
     w = W.partitionBy("event_type").orderBy("bar")
-    r = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(w)))
+    r = bars.withColumn("r", F.ln(F.try_divide("close", F.lag("close").over(w))))
     back = w.rowsBetween(-11, 0)
     vol = r.withColumn("vol", F.when(F.count("r").over(back) == 12, F.stddev_samp("r").over(back)))
     return vol.groupBy(F.hour("bar").cast("long").alias("hour")).agg(

@@ -28,7 +28,7 @@ def _timeframes(spark, sf_dir):
     for frame in ("15m", "1h", "4h"):
         b = B.resample_ticks(ticks(spark, sf_dir), frame, series=SERIES)
         w = W.partitionBy("series").orderBy("timestamp")
-        r = b.withColumn("r", F.ln(C("close") / F.lag("close").over(w)))
+        r = b.withColumn("r", F.ln(F.try_divide("close", F.lag("close").over(w))))
         row = A.describe_distribution(r, "r", SERIES, (0.05, 0.95)).withColumn("timeframe", F.lit(frame))
         out = row if out is None else out.unionByName(row)
     return out
