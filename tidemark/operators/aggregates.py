@@ -398,7 +398,7 @@ def frequency_table(df: DataFrame, period: Column, label: str, labels: list[int]
     """Share of each label by period, one column a label."""
     g = df.groupBy(period.alias("period")).pivot(label, labels).count()
     total = sum((F.coalesce(F.col(str(k)), F.lit(0)) for k in labels), F.lit(0))
-    return g.select("period", total.alias("n"), *[(F.coalesce(F.col(str(k)), F.lit(0)) / total).alias(f"share_{k}") for k in labels])
+    return g.select("period", total.alias("n"), *[F.try_divide(F.coalesce(F.col(str(k)), F.lit(0)), total).alias(f"share_{k}") for k in labels])
 
 
 # Scoring of predictions.
