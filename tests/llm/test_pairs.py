@@ -93,6 +93,22 @@ def test_dedup_keeps_one_of_each_group(docs, rows, nothing):
     assert simhash_dedup(nothing).count() == 0
 
 
+def test_repeats_of_a_passage_do_not_part_near_duplicates(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, times in enumerate((10, 15, 20, 25)):
+        words = [f"w{k}x{x}" for x in rng.integers(0, 5_000, 700)]
+        said = [f"s{k}y{j}" for j in range(10)]
+        edited = list(words)
+        edited[350] = "edited"
+        rows += [(2 * k, " ".join([*words, *said])), (2 * k + 1, " ".join([*edited, *said * times]))]
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.95 * len(x | y)
+    kept = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+
+
 def test_pieces_bounded_by_bytes_lose_nothing(docs, monkeypatch):
     import tidemark.llm.simhash as S
 

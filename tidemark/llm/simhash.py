@@ -65,7 +65,8 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
 
 def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bottom: int = 0) -> DataFrame:
     """``docs`` with ``fp`` (binary), ``node`` (long; stands for the fingerprint, or with more than one lane for the set of
-    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes), without its text."""
+    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes), without its text. With more than one lane or
+    a ``bottom`` the fingerprint is of distinct shingles, as bounds from set similarities need; else repeats count."""
     ship(docs.sparkSession)
     rest = [c for c in keep_columns(docs, ("fp", "node", "low")) if c != text]
     read = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("__in"))
@@ -80,8 +81,8 @@ def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bo
             fps, low, names = [], [], []
             for t in batch.column(last).to_pylist():
                 hashes = shingle_hashes(t, words)
-                fps.append(fingerprint(hashes, lanes))
-                own = np.unique(hashes) if bottom or lanes > 1 else hashes[:0]
+                own = np.unique(hashes) if bottom or lanes > 1 else hashes
+                fps.append(fingerprint(own, lanes))
                 low.append(own[:bottom].view(np.int64).tolist() if bottom else None)
                 names.append(fps[-1] if lanes == 1 else xxhash.xxh3_64_digest(own.tobytes()))
             nodes = np.frombuffer(b"".join(names), ">i8").astype(np.int64)
