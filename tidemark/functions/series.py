@@ -84,9 +84,10 @@ def kpss(x: np.ndarray, regression: str = "c", lags: int | None = None) -> tuple
     return stat, kpss_p(stat, regression), lags
 
 
-def stationarity(x: np.ndarray, alpha: float = 0.05, most: int = 20_000) -> dict:
-    """Both tests and a verdict."""
-    x = thin(x[np.isfinite(x)], most)
+def stationarity(x: np.ndarray, alpha: float = 0.05, most: int | None = None) -> dict:
+    """Both tests and a verdict, on all finite values unless ``most`` asks for a thinner series."""
+    x = x[np.isfinite(x)]
+    x = x if most is None else thin(x, most)
     a, pa, la = adf(x)
     k, pk, lk = kpss(x)
     verdict = {(True, False): "stationary", (False, True): "unit_root", (True, True): "conflicting", (False, False): "inconclusive"}[pa < alpha, pk < alpha]

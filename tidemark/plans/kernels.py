@@ -58,7 +58,7 @@ add("autocorrelation_ljung_box", _acf, with_("""SELECT series, n, lag::INT AS la
   SELECT series, lag, any_value(n) AS n, sum(p) / any_value(ss) AS acf FROM (SELECT series, n, ss, unnest([1, 2, 3, 4, 5, 6]) AS lag, unnest([d * lag(d, 1) OVER w, d * lag(d, 2) OVER w, d * lag(d, 3) OVER w, d * lag(d, 4) OVER w, d * lag(d, 5) OVER w, d * lag(d, 6) OVER w]) AS p
   FROM (SELECT *, r - avg(r) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS n, var_pop(r) OVER (PARTITION BY series) * count(*) OVER (PARTITION BY series) AS ss FROM returns WHERE r IS NOT NULL) WINDOW w AS (PARTITION BY series ORDER BY t)) GROUP BY 1, 2)""", RETURNS_SQL),
     ["series", "n", "lag"], ["acf", "ljung_box", "band"])
-add("stationarity_tests", _kernel(lambda f: pd.DataFrame([SR.stationarity(np.log(f["close"].to_numpy()), most=500)]), "n long, adf double, adf_p double, adf_lags long, kpss double, kpss_p double, kpss_lags long, verdict string"), None, ["series", "n", "adf_lags", "kpss_lags", "verdict"], ["adf", "adf_p", "kpss", "kpss_p"])
+add("stationarity_tests", _kernel(lambda f: pd.DataFrame([SR.stationarity(np.log(f["close"].to_numpy()))]), "n long, adf double, adf_p double, adf_lags long, kpss double, kpss_p double, kpss_lags long, verdict string"), None, ["series", "n", "adf_lags", "kpss_lags", "verdict"], ["adf", "adf_p", "kpss", "kpss_p"])
 
 
 def _segmented(spark, sf_dir):
