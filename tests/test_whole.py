@@ -23,3 +23,14 @@ def test_stationarity_of_all_values(spark):
     want = counts(returns(spark, LARGER).where("r IS NOT NULL"))
     assert max(want.values()) > 500
     assert {r["series"]: r["n"] for r in QUERIES["stationarity_tests"](spark, LARGER).collect()} == want
+
+
+def test_bootstrap_of_all_values():
+    x = np.random.default_rng(2).lognormal(0, 2, 60_000)
+    mean, low, high = SR.bootstrap_mean(x, 200)
+    se = x.std() / np.sqrt(len(x))
+    assert mean == pytest.approx(x.mean(), rel=1e-12)
+    assert high - low == pytest.approx(2 * 1.96 * se, rel=0.25)
+    a, b, c = SR.bootstrap_mean(x, 200, chunk=7_000)
+    assert a == mean and c - b == pytest.approx(2 * 1.96 * se, rel=0.25)
+    assert np.isnan(SR.bootstrap_mean(np.array([np.nan]))).all()

@@ -134,12 +134,15 @@ def linear_variance(x: np.ndarray, omega: float, alpha: float, beta: float, firs
     return h
 
 
-def bootstrap_mean(x: np.ndarray, iterations: int = 500, level: float = 0.95, seed: int = 7, most: int = 50_000) -> tuple[float, float, float]:
-    """Mean with a seeded percentile interval; also for shares, as means of flags."""
+def bootstrap_mean(x: np.ndarray, iterations: int = 500, level: float = 0.95, seed: int = 7, chunk: int = 1 << 20) -> tuple[float, float, float]:
+    """Mean of all finite values with a seeded percentile interval; also for shares, as means of flags. Each replicate
+    draws as many values as there are, ``chunk`` at a time."""
     rng = np.random.default_rng(seed)
     x = x[np.isfinite(x)]
-    x = rng.choice(x, most, replace=False) if len(x) > most else x
-    means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(iterations)])
+    n = len(x)
+    if not n:
+        return math.nan, math.nan, math.nan
+    means = np.array([sum(x[rng.integers(0, n, min(chunk, n - k))].sum() for k in range(0, n, chunk)) / n for _ in range(iterations)])
     low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
     return float(x.mean()), float(low), float(high)
 
