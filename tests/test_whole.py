@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as SR
-from tidemark.plans.base import returns
+from tidemark.plans.base import returns, ticks
 from tidemark.plans.registry import QUERIES
 
 LARGER = "/root/testdata/sf0.01"
@@ -34,3 +34,11 @@ def test_bootstrap_of_all_values():
     a, b, c = SR.bootstrap_mean(x, 200, chunk=7_000)
     assert a == mean and c - b == pytest.approx(2 * 1.96 * se, rel=0.25)
     assert np.isnan(SR.bootstrap_mean(np.array([np.nan]))).all()
+
+
+def test_near_duplicates_of_all_ticks(spark, sf_dir):
+    seqs = {r["seq"] for r in ticks(spark, sf_dir).select("seq").collect()}
+    assert max(seqs) > 200
+    worse = {max((a % 7, a), ((a + 3) % 7, a + 3))[1] for a in seqs if a % 10 == 0 and a + 3 in seqs}
+    got = QUERIES["near_duplicates_out_all"](spark, sf_dir).collect()
+    assert sorted(r["seq"] for r in got) == sorted(seqs - worse)

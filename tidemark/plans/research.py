@@ -354,10 +354,12 @@ def _ids(spark, sf_dir):
 add("append_only_ids", _ids, with_("SELECT user_id, user_id + 1 AS id FROM (SELECT DISTINCT user_id FROM ticks WHERE user_id < 50) UNION ALL SELECT user_id, (SELECT max(user_id) + 1 FROM ticks WHERE user_id < 50) + row_number() OVER (ORDER BY user_id) FROM (SELECT DISTINCT user_id FROM ticks WHERE user_id >= 50)", TICKS_SQL), ["user_id", "id"])
 
 
-def _dups(spark, sf_dir):
-    t = ticks(spark, sf_dir).where("seq < 200").select("seq", (C("seq") % 7).alias("rk"))
+def _dups(t):
+    t = t.select("seq", (C("seq") % 7).alias("rk"))
     p = t.where("seq % 10 = 0").select(C("seq").alias("a"), (C("seq") + 3).alias("b"))
     return K.near_duplicates_out(t, p, "seq", "rk")
 
 
-add("near_duplicates_out", _dups, with_("SELECT seq, seq % 7 AS rk FROM ticks WHERE seq < 200 AND NOT (seq % 10 = 0 AND seq + 3 < 200 AND seq % 7 > (seq + 3) % 7) AND NOT (seq % 10 = 3 AND seq % 7 > (seq - 3) % 7)", TICKS_SQL), ["seq", "rk"])
+# The SQL of the first holds 200 ticks; the second takes all of them.
+add("near_duplicates_out", lambda s, d: _dups(ticks(s, d).where("seq < 200")), with_("SELECT seq, seq % 7 AS rk FROM ticks WHERE seq < 200 AND NOT (seq % 10 = 0 AND seq + 3 < 200 AND seq % 7 > (seq + 3) % 7) AND NOT (seq % 10 = 3 AND seq % 7 > (seq - 3) % 7)", TICKS_SQL), ["seq", "rk"])
+add("near_duplicates_out_all", lambda s, d: _dups(ticks(s, d)), None, ["seq", "rk"])
