@@ -25,6 +25,20 @@ def test_stationarity_of_all_values(spark):
     assert {r["series"]: r["n"] for r in QUERIES["stationarity_tests"](spark, LARGER).collect()} == want
 
 
+def test_theil_sen_of_all_windows(spark, sf_dir):
+    rows = returns(spark, sf_dir).where("r IS NOT NULL").orderBy("timestamp").select("series", F.unix_timestamp("timestamp").alias("t"), "close").collect()
+    want = {}
+    for s in {r["series"] for r in rows}:
+        own = [(r["t"], np.log(r["close"])) for r in rows if r["series"] == s]
+        for k, (t, _) in enumerate(own):
+            y = [v for _, v in own[max(0, k - 63) : k + 1]]
+            want[s, t] = np.median([(y[j] - y[i]) / (j - i) for i in range(64) for j in range(i + 1, 64)]) if len(y) == 64 else None
+    got = {(r["series"], r["t"]): r["slope"] for r in QUERIES["theil_sen_windows"](spark, sf_dir).collect()}
+    assert sum(v is not None for v in want.values()) > 5
+    assert got.keys() == want.keys()
+    assert all(v is None and got[k] is None or got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+
+
 def test_bootstrap_of_all_values():
     x = np.random.default_rng(2).lognormal(0, 2, 60_000)
     mean, low, high = SR.bootstrap_mean(x, 200)

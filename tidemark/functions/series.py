@@ -268,3 +268,11 @@ def theil_sen(y: np.ndarray) -> float:
     """Median of the slopes of all pairs of one window."""
     i, j = np.triu_indices(len(y), 1)
     return float(np.median((y[j] - y[i]) / (j - i)))
+
+
+def rolling_theil_sen(y: np.ndarray, window: int) -> np.ndarray:
+    """``theil_sen`` of the window that ends at each value; missing before the first whole window."""
+    out = np.full(len(y), np.nan)
+    for k in range(window, len(y) + 1):
+        out[k - 1] = theil_sen(y[k - window : k])
+    return out

@@ -120,6 +120,8 @@ def _hac(f):
 add("segmented_hac", _kernel(_hac, "slope double, ols_se double, hac_se double"), None, ["series"], ["slope", "ols_se", "hac_se"])
 add("theil_sen", _kernel(lambda f: pd.DataFrame({"slope": [SR.theil_sen(np.log(f["close"].to_numpy()[:64]))]}), "slope double"),
     with_("SELECT series, median((b.y - a.y) / (b.i - a.i)) AS slope FROM (SELECT series, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL) a JOIN (SELECT series, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL) b USING (series) WHERE a.i < b.i AND b.i <= 64 GROUP BY 1", RETURNS_SQL), ["series"], ["slope"])
+# The SQL holds the first window of 64 bars; this is every window, at its last bar.
+add("theil_sen_windows", _kernel(lambda f: pd.DataFrame({"slope": SR.rolling_theil_sen(np.log(f["close"].to_numpy()), 64)}), "slope double", 63), None, ["series", "t"], ["slope"])
 
 # Models.
 _FE = ["mom", "vol", "act"]
