@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.langid import Profiles, grams, identify, profile, train
+from tidemark.llm.langid import Profiles, blocks, grams, identify, learn, profile, train
 from tidemark.llm.warc import attach_payload, canonical_url, header_lines, resolve_revisits
 
 
@@ -41,15 +41,43 @@ def test_distance_against_plain_python():
 
 def test_edges(spark, docs, nothing):
     p = train(docs)
-    assert p.langs == ["en", "fr"]
+    assert [x.langs for x in p] == [["en", "fr"]]
     got = {r["doc_id"]: r for r in identify(docs, p).collect()}
     assert [got[i]["lang_pred"] for i in (100, 101, 102, 108)] == ["und"] * 4 and got[100]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in got.values())
     empty = train(nothing)
-    assert empty.langs == [] and {r["lang_pred"] for r in identify(docs, empty).collect()} == {"und"}
+    assert [x.langs for x in empty] == [[]] and {r["lang_pred"] for r in identify(docs, empty).collect()} == {"und"}
     assert identify(nothing, p).count() == 0
 
 
+def test_training_against_plain_python(docs, rows):
+    for lang in ("en", "fr"):
+        total = Counter()
+        for r in rows:
+            if r[2] == lang and r[1]:
+                s = "".join(c if c.isalpha() else " " for c in r[1].lower())
+                s = " " + " ".join(s.split()) + " "
+                if s.strip():
+                    total.update(s[k : k + w] for w in (1, 2, 3) for k in range(len(s) - w + 1))
+        total.pop(" ", None)
+        want = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))][:400]
+        own = {r["lang"]: r["grams"] for r in learn(docs).collect()}[lang]
+        assert [unpack(g) for g in own] == want
+
+
+def test_blocks_of_languages_leave_none_out(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, f"l{k:02d}", " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(60))) for k in range(23)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = learn(df)
+    one, many = list(blocks(learned)), list(blocks(learned, most=5))
+    assert len(one) == 1 and [len(p.langs) for p in many] == [5, 5, 5, 5, 3]
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, p).collect()} for p in (one, many))
+    assert a == b == {k: (lang, a[k][1]) for k, lang, _ in rows}
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -85,11 +86,35 @@ def test_groups_stay_together_as_far_as_quotas_allow(spark):
     for r in got:
         if r["doc_id"] < 150:
             where.setdefault(r["doc_id"] // 3, set()).add(r["shard"])
-    assert sum(len(s) > 1 for s in where.values()) <= 3
-    hot = [(i, "same" if i < 200 else f"alone {i}") for i in range(600)]
-    got = shard_documents(spark.createDataFrame(hot, "doc_id long, text string"), 6).collect()
-    per = sorted(sum(r["shard"] == s and r["doc_id"] < 200 for r in got) for s in range(6))
-    assert per[-1] >= 80
+    assert not any(len(s) > 1 for s in where.values())
+
+
+def cut_groups(spark, texts, shards):
+    got = shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), shards).collect()
+    where: dict = {}
+    for r in got:
+        where.setdefault(texts[r["doc_id"]], []).append(r["shard"])
+    counts = [sum(r["shard"] == s for r in got) for s in range(shards)]
+    assert len(got) == len(texts) and max(counts) - min(counts) <= 1
+    return {g: len(set(v)) for g, v in where.items() if len(v) > 1}
+
+
+def test_groups_stay_together_where_all_documents_are_linked(spark):
+    """Only edges of shards may cut a group: no more than one group a shard, and one a run of free places."""
+    even = cut_groups(spark, [f"t{i // 3}" for i in range(1800)], 24)
+    assert len(even) == 600 and sum(n > 1 for n in even.values()) < 60
+    rng = random.Random(1)
+    mixed = [f"g{g}" for g in range(400) for _ in range(rng.choice([2, 2, 2, 3, 4, 5, 9]))]
+    assert sum(n > 1 for n in cut_groups(spark, mixed, 12).values()) < 24
+
+
+def test_a_hot_group_fills_few_shards(spark):
+    """A third of all documents takes at least 4 of 12 shards; what cuts edges is how many more."""
+    hot = ["same"] * 400 + [f"alone {i}" for i in range(800)]
+    assert cut_groups(spark, hot, 12)["same"] <= 8
+    linked = ["same"] * 400 + [f"t{i // 4}" for i in range(800)]
+    found = cut_groups(spark, linked, 12)
+    assert found.pop("same") <= 10 and sum(n > 1 for n in found.values()) <= 24
 
 
 def test_no_documents(nothing):

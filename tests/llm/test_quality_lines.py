@@ -70,14 +70,15 @@ def dedup(rows, min_docs, keep_first):
 
 
 def test_line_dedup(docs, rows):
-    for min_docs, first, most in ((2, True, 10**6), (3, False, 10**6), (2, True, 0), (10, False, 0)):
-        got = line_dedup(docs, min_docs=min_docs, keep_first=first, broadcast_keys=most, filter_bits=1 << 16)
+    cases = ((2, True, 10**6, None), (3, False, 10**6, (1 << 12, 3)), (2, True, 0, (1 << 16, 1)), (10, False, 0, None), (2, True, 2, (1 << 12, 3)))
+    for min_docs, first, most, filters in cases:
+        got = line_dedup(docs, min_docs=min_docs, keep_first=first, broadcast_keys=most, filters=filters)
         cols = got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256))
         assert sorted(str(tuple(r)) for r in cols.collect()) == dedup(rows, min_docs, first)
 
 
 def test_a_full_filter_still_gives_whole_results(docs, rows):
-    got = line_dedup(docs, min_docs=2, keep_first=True, filter_bits=512)
+    got = line_dedup(docs, min_docs=2, keep_first=True, filters=(512, 1))
     cols = got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256))
     assert sorted(str(tuple(r)) for r in cols.collect()) == dedup(rows, 2, True)
 
@@ -89,3 +90,48 @@ def test_filters_miss_no_repeat():
     f.add(keys[:50])
     from tidemark.llm.lines import _suspects
     assert _suspects(f.twice.tobytes(), 1 << 12, keys[:50]).all() and not _suspects(f.twice.tobytes(), 1 << 12, keys[50:]).all()
+
+
+def test_filters_grow_with_the_lines():
+    """Few keys that occur once are suspected, also at ten times the lines and where keys are dealt into ranges."""
+    from tidemark.llm.lines import RANGE_BITS, _suspects, filter_plan, in_range
+
+    assert filter_plan(0)[1] == 1 and filter_plan(10**12) == (RANGE_BITS, 16)
+    bits, ranges = filter_plan(60_000_000)
+    assert bits == RANGE_BITS and bits * ranges >= 16 * 60_000_000
+    for n in (70_000, 700_000):
+        keys = [hashlib.md5(str(k).encode()).digest() for k in range(n)]
+        bits, _ = filter_plan(n)
+        whole = TwoFilters(bits)
+        for k in range(0, n, 50_000):
+            whole.add(keys[k : k + 50_000])
+        assert _suspects(whole.twice.tobytes(), bits, keys).mean() < 0.02
+    dealt = [sum(in_range(k, part, 3) for k in keys[:3000]) for part in range(3)]
+    assert sum(dealt) == 3000 and min(dealt) > 900
+
+
+def test_line_rules_by_kind(spark):
+    good = "This is a sentence that says a good deal about nothing at all, and it ends."
+    bad = [
+        "Home > Products > Lamps > Desk lamps.", "News · Sport · Weather · Travel.", "Shop » Men » Shoes.", "Home / Blog / About us.",
+        "About Our Company And What Our Customers Say About All Our Services", "THIS IS A LINE OF NOTHING BUT SHOUTS THAT GOES ON.",
+        "Click here to log in to the site.", "We use cookies to make this site better for all.", "two  words",
+    ]
+    menu = "Home:\nNews:\nSport:\nWeather."
+    df = spark.createDataFrame([(k, f"{good}\n{good} Again.\n{x}") for k, x in enumerate([*bad, menu])], "doc_id long, text string")
+    assert {r["clean_text"] for r in quality_rules(df).collect()} == {f"{good}\n{good} Again."}
+    fine = ["Es war Abend, und der Hund lief durch die Stadt.", "He said: read more books!", "Yes.\nNo.\nYes.", "From 3 - 4 we slept > 2 hours, and that was well over what we had been told."]
+    df = spark.createDataFrame([(k, f"{good}\n{x}") for k, x in enumerate(fine)], "doc_id long, text string")
+    assert {r["clean_text"] for r in quality_rules(df).collect()} == {f"{good}\n{x}" for x in fine}
+
+
+def test_very_many_lines_take_no_longer_each(spark):
+    import time
+
+    took = []
+    for n in (2_000, 2_000, 40_000):
+        df = spark.createDataFrame([(1, "\n".join(f"Line {k} of a long text is here." for k in range(n)))], "doc_id long, text string")
+        start = time.perf_counter()
+        assert quality_rules(df).collect()[0]["n_words"] == 8 * n
+        took.append(time.perf_counter() - start)
+    assert took[2] < 60 * took[1] + 10

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_columns, piece_splitter, ship, slices
+from tidemark.llm.common import Passed, piece_splitter, ship, slices
 
 #: Pieces up to this many bytes go through the matrices.
 MATRIX_BYTES = 256
@@ -210,9 +210,9 @@ def coder(path: str, pattern: str) -> ByteBpe:
 
 def _mapped(df: DataFrame, source: str, keep_source: bool, made: tuple[str, ...], step) -> DataFrame:
     ship(df.sparkSession)
-    rest = [c for c in keep_columns(df, made) if keep_source or c != source]
-    read = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{source}`").alias("__in"))
-    schema = T.StructType([f for f in read.schema if f.name != "__in"] + [T.StructField(k, T.BinaryType()) for k in made])
+    p = Passed(df, made, () if keep_source else (source,))
+    read = p.frame.select(*p.kept, p[source].alias("source"))
+    schema = T.StructType([*read.schema[:-1], *[T.StructField(k, T.BinaryType()) for k in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +222,9 @@ def _mapped(df: DataFrame, source: str, keep_source: bool, made: tuple[str, ...]
             for a, b in slices(values):
                 cols = [batch.column(k).slice(a, b - a) for k in range(last)]
                 cols += [pa.array(x, pa.binary()) for x in step(values[a:b])]
-                yield pa.RecordBatch.from_arrays(cols, names=[*rest, *made])
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select(*p.back, *made)
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:

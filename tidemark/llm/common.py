@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -45,22 +48,46 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def fresh(df: DataFrame, *stems: str) -> list[str]:
-    """For each stem a column name that ``df`` does not have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for stem in stems:
-        name = stem
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+class Passed:
+    """Columns that an operator passes through, whatever they are called.
 
+    ``frame`` holds the columns by position under names of their own (``__kept0`` and so on), so no name inside an operator
+    can clash with them; an operator's own columns may have any other name. ``passed["text"]`` is the column of that name
+    (in that spelling if there is one). ``kept`` are the columns that pass through, which are all but those ``dropped`` and
+    those that the names ``made`` replace in any case; ``back`` gives them their names again."""
 
-def keep_columns(df: DataFrame, made: tuple[str, ...]) -> list[str]:
-    """Columns of ``df`` but those that the names of ``made`` replace, whatever the case."""
-    return [c for c in df.columns if c.lower() not in made]
+    def __init__(self, df: DataFrame, made: tuple[str, ...] = (), dropped: tuple[str, ...] = ()):
+        self.names = df.columns
+        self.frame = df.toDF(*(f"__kept{k}" for k in range(len(self.names))))
+        gone = {self._place(c) for c in dropped}
+        low = {c.lower() for c in made}
+        self._on = [k for k, c in enumerate(self.names) if c.lower() not in low and k not in gone]
+
+    def _place(self, name: str) -> int:
+        found = [k for k, c in enumerate(self.names) if c == name] or [k for k, c in enumerate(self.names) if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name} among {self.names}")
+        return found[0]
+
+    def __getitem__(self, name: str):
+        return F.col(f"__kept{self._place(name)}")
+
+    def inner(self) -> tuple[DataFrame, Callable[[str], str]]:
+        """All columns under names that another operator's cannot clash with, and how to find a column's name."""
+        return self.frame.toDF(*(f"__doc{k}" for k in range(len(self.names)))), lambda name: f"__doc{self._place(name)}"
+
+    @property
+    def kept(self) -> list:
+        return [F.col(f"__kept{k}") for k in self._on]
+
+    @property
+    def back(self) -> list:
+        return [F.col(f"__kept{k}").alias(self.names[k]) for k in self._on]
+
+    def back_with(self, name: str, column) -> list:
+        """``back`` with another column in one's place."""
+        at = self._place(name)
+        return [(column if k == at else F.col(f"__kept{k}")).alias(self.names[k]) for k in self._on]
 
 
 def strip_ws(col):

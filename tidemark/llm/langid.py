@@ -7,8 +7,9 @@ difference of ranks, or ``profile_size`` for an n-gram the language does not hav
 the first language in code point order. The score is 1 - distance / largest possible distance.
 
 Training counts n-grams in the task first (bounded, then passed on), sums them by a shuffle, and keeps the most
-frequent per language through per-slice top lists, so no language's n-grams meet in one task. The profiles are broadcast:
-languages times ``profile_size`` entries, for at most ``MAX_LANGUAGES`` languages.
+frequent per language through per-slice top lists, so no language's n-grams meet in one task. Profiles are broadcast in
+blocks of at most ``BLOCK_LANGUAGES`` languages, ``profile_size`` entries each; a text keeps the best of all blocks, so no
+language is left out however many there are.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was
 learned; rows with a null language or a null id are not learned from; a null id is not held out; texts are whole;
@@ -26,9 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_columns, ship
+from tidemark.llm.common import Passed, durable, ship
 
-PROFILE_SIZE, MAX_N, MAX_LANGUAGES = 400, 3, 1_000
+PROFILE_SIZE, MAX_N = 400, 3
+#: Languages of one broadcast: about 6 KB each.
+BLOCK_LANGUAGES = 4_096
 #: Distinct n-grams a training task holds for all languages before it passes its counts on.
 HELD_GRAMS = 500_000
 UNKNOWN = "und"
@@ -84,34 +87,44 @@ def profile(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 class Profiles:
-    """Language profiles as a sorted table of n-grams by languages, holding ranks."""
+    """Language profiles as a sorted list of n-grams, each with the languages that have it and its ranks there."""
 
     def __init__(self, ranked: dict[str, list[int]], size: int):
         self.size, self.langs = size, sorted(ranked)
-        self.keys = np.unique(np.array([g for v in ranked.values() for g in v], np.int64))
-        self.ranks = np.full((len(self.keys) + 1, len(self.langs)), -1, np.int64)
-        for k, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.keys, np.array(ranked[lang], np.int64)), k] = np.arange(len(ranked[lang]))
+        gram = np.array([g for k in self.langs for g in ranked[k]], np.int64)
+        lang = np.repeat(np.arange(len(self.langs), dtype=np.int32), [len(ranked[k]) for k in self.langs])
+        rank = np.array([r for k in self.langs for r in range(len(ranked[k]))], np.int32)
+        by = np.argsort(gram, kind="stable")
+        self.lang, self.rank = lang[by], rank[by]
+        self.keys, starts = np.unique(gram[by], return_index=True)
+        self.ends = np.append(starts, len(gram))
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """The out-of-place distance of a document's profile to every language."""
+        total = np.full(len(self.langs), self.size * len(own), np.int64)
+        if len(self.keys) and len(own):
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            mine = np.flatnonzero(self.keys[at] == own)
+            first, n = self.ends[at[mine]], self.ends[at[mine] + 1] - self.ends[at[mine]]
+            entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            nearer = self.size - np.abs(self.rank[entry] - np.repeat(mine, n))
+            total -= np.bincount(self.lang[entry], nearer, len(self.langs)).astype(np.int64)
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = profile(*grams(text), self.size) if text else np.zeros(0, np.int64)
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.keys, own)
-        at[at == len(self.keys)] = 0
-        at = np.where(self.keys[at] == own, at, len(self.keys))
-        ranks = self.ranks[at]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))[:, None]))
-        total = away.sum(0)
+        total = self.distances(own)
         best = int(total.argmin())
         return self.langs[best], float(1.0 - total[best] / (self.size * len(own)))
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> Profiles:
-    """Profiles of all rows whose language is not null."""
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
+    """``lang, grams``: the profiles, best first, of all rows whose language is not null."""
     ship(df.sparkSession)
-    known = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    read = known.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t"))
+    p = Passed(df)
+    read = p.frame.select(p[lang].cast("string").alias("lang"), p[text].alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -146,29 +159,54 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
     slices = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*best)
     few = counts.withColumn("r", F.row_number().over(slices)).where(F.col("r") <= size)
     top = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*best))).where(F.col("r") <= size)
-    # A language needs more texts than others to be one of the MAX_LANGUAGES that may be broadcast.
-    rows = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "gram"))).alias("g"), F.sum("n").alias("n"))
-    found = rows.orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    return Profiles({row["lang"]: [g["gram"] for g in row["g"]] for row in found}, size)
+    listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "gram"))).alias("g"))
+    return durable(listed.select("lang", F.col("g.gram").alias("grams")))
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``."""
+def blocks(learned: DataFrame, size: int = PROFILE_SIZE, most: int = BLOCK_LANGUAGES) -> Iterator[Profiles]:
+    """The learned profiles in blocks of at most ``most`` languages, in code point order; at least one block."""
+    last = None
+    while True:
+        rest = learned if last is None else learned.where(F.col("lang") > F.lit(last))
+        rows = rest.orderBy("lang").limit(most).collect()
+        if rows or last is None:
+            yield Profiles({row["lang"]: list(row["grams"]) for row in rows}, size)
+        if len(rows) < most:
+            return
+        last = rows[-1]["lang"]
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> list[Profiles]:
+    """Profiles of all rows whose language is not null, in blocks."""
+    return list(blocks(learn(df, text, lang, size), size))
+
+
+def identify(docs: DataFrame, profiles: list[Profiles], text: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``lang_pred`` and ``score``. Blocks are scored one after another in the same pass."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((profiles.langs, profiles.keys, profiles.ranks, profiles.size))
-    rest = [c for c in keep_columns(docs, ("lang_pred", "score")) if c != text]
-    read = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__in"))
+    shared = [spark.sparkContext.broadcast(p) for p in profiles]
+    p = Passed(docs, ("lang_pred", "score"), (text,))
+    read = p.frame.select(*p.kept, p[text].alias("text"))
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    schema = T.StructType([f for f in read.schema if f.name != "__in"] + made)
+    schema = T.StructType([*read.schema[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles.__new__(Profiles)
-        own.langs, own.keys, own.ranks, own.size = shared.value
         for batch in batches:
             last = batch.num_columns - 1
-            found = [own.predict(t) for t in batch.column(last).to_pylist()]
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            owns = [profile(*grams(t), PROFILE_SIZE if not shared else shared[0].value.size) if t else () for t in batch.column(last).to_pylist()]
+            best: list = [None] * len(owns)
+            for block in shared:
+                own = block.value
+                for k, mine in enumerate(owns):
+                    if len(mine) and own.langs:
+                        total = own.distances(mine)
+                        at = int(total.argmin())
+                        score = float(1.0 - total[at] / (own.size * len(mine)))
+                        if best[k] is None or score > best[k][1]:  # of ties the earlier block, so the first language
+                            best[k] = own.langs[at], score
+            best = [b or (UNKNOWN, 0.0) for b in best]
+            cols = [pa.array([f[0] for f in best], pa.string()), pa.array([f[1] for f in best], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *cols], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select(*p.back, "lang_pred", "score")

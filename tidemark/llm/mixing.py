@@ -12,8 +12,8 @@ or less. All sums are of integers, so reruns agree.
 
 Work is spread by size and salt, never by source alone. Defined results: a null or empty text has size 0, and its
 copies take no words; a null source is a source of its own, last in order; sources without words get target 0 and
-stay once; null or repeated ids: a document is a row, and rows that agree in id, source and size are interchangeable;
-an empty table gives an empty table; extra columns pass through and columns of the output's names are replaced.
+stay once; null or repeated ids: a document is a row, and rows that agree in id, source, size and (if there is such a
+column) text are interchangeable; an empty table gives an empty table; extra columns pass through and columns of the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS_RUN, durable, keep_columns, strip_ws
+from tidemark.llm.common import WS_RUN, Passed, durable, strip_ws
 
 MADE = ("size", "source_size", "target", "rate", "copies", "taken")
 #: Fixed point of rates and of word sums, and Newton's limits.
@@ -121,15 +121,17 @@ def mix_sources(
     """``docs`` with ``size, source_size, target, rate, copies, taken``. ``size`` names a column of word counts; without
     it the words of ``text`` are counted. Weights go round the sources in code point order, null last."""
     spark = docs.sparkSession
-    rest = [c for c in keep_columns(docs, MADE)]
-    words = F.col(f"`{size}`").cast("long") if size else word_count(F.col(f"`{text}`"))
-    src = F.col(f"`{source}`").cast("string")
-    sized = docs.select(
-        *[F.col(f"`{c}`") for c in rest],
+    p = Passed(docs, MADE)
+    words = p[size].cast("long") if size else word_count(p[text])
+    src = p[source].cast("string")
+    known = [p[doc_id].cast("string"), *([p[text]] if text.lower() in map(str.lower, docs.columns) else [])]
+    sized = p.frame.select(
+        *p.kept,
         F.coalesce(words, F.lit(0)).alias("__size"),
         src.isNull().alias("__none"),
         F.coalesce(src, F.lit("")).alias("__src"),
-        F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("__h"),
+        p[doc_id].cast("string").alias("__id"),
+        F.xxhash64(*known).alias("__h"),
     )
     total = sized.count()
     salt = F.pmod("__h", F.lit(max(MIN_SALTS, -(-total // SALT_ROWS))))
@@ -160,7 +162,7 @@ def mix_sources(
     # Where a salt of a size starts within its size.
     ahead = W.partitionBy("none", "src", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = salted.select("*", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("ahead")).join(rated, ["none", "src", "size"])
-    rank = F.row_number().over(W.partitionBy("__none", "__src", "__size", "__salt").orderBy("__h", F.col(f"`{doc_id}`")))
+    rank = F.row_number().over(W.partitionBy("__none", "__src", "__size", "__salt").orderBy("__h", "__id"))
     ranked = sized.withColumn("__salt", salt).withColumn("__rank", rank)
     on = (
         (F.col("__none") == F.col("none")) & (F.col("__src") == F.col("src"))
@@ -196,16 +198,18 @@ def mix_sources(
         (F.col("__none") == F.col("fix_none")) & (F.col("__src") == F.col("fix_src")) & (F.col("__size") == F.col("fix_size"))
         & (F.col("__salt") == F.col("fix_salt")) & (F.col("__rank") == F.col("fix_rank"))
     )
-    kept = [F.col(f"`{c}`") for c in rest]
     return (
-        placed.select(*kept, "__none", "__src", "__size", "__salt", "__rank", "source_size", "target", (F.col("fixed") / RATE_UNIT).alias("rate"), copies.alias("__copies"))
+        placed.select(*p.kept, "__none", "__src", "__size", "__salt", "__rank", "source_size", "target", (F.col("fixed") / RATE_UNIT).alias("rate"), copies.alias("__copies"))
         .join(F.broadcast(fixes) if few else fixes, mended, "left")
-        .select(*kept, F.col("__size").alias("size"), "source_size", "target", "rate", (F.col("__copies") + F.coalesce("delta", F.lit(0))).alias("copies"))
-        .select("*", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(*p.kept, F.col("__size").alias("size"), "source_size", "target", "rate", (F.col("__copies") + F.coalesce("delta", F.lit(0))).alias("copies"))
+        .select(*p.back, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as its copies say, with the columns of ``docs``."""
-    out = mix_sources(docs, **options)
-    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, name = Passed(docs).inner()
+    columns = {"text": "text", "source": "source", "doc_id": "doc_id"} | {k: v for k, v in options.items() if k in ("text", "source", "doc_id", "size")}
+    out = mix_sources(own, **{**options, **{k: name(v) for k, v in columns.items()}})
+    often = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return often.select([F.col(f"__doc{k}").alias(c) for k, c in enumerate(docs.columns)])

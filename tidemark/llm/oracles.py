@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality import BOILERPLATE, SYMBOLS, TERMINAL, QualityRules
+from tidemark.llm.quality import BOILERPLATE, CALLS, LOWER, MENU_RUN, SEPARATORS, SPACED_SEPARATORS, SYMBOLS, TERMINAL, UPPER, QualityRules
 
 _R = QualityRules()
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _TERMINAL = ", ".join("'" + t.replace("'", "''") + "'" for t in TERMINAL)
 _BOILER = " OR ".join(f"contains(lower(l), '{b}')" for b in BOILERPLATE)
-_SYMBOLS = " + ".join(f"(length(l) - length(replace(l, '{s}', '')))" for s in SYMBOLS if s != "|")
-_BARS = "(length(l) - length(replace(l, '|', '')))"
-_NW = "(length(l) - length(replace(l, ' ', '')) + 1)"
+_CALLS = " + ".join(f"contains(lower(l), '{c}')::INTEGER" for c in CALLS)
+_AMONG = lambda chars: f"(length(l) - length(translate(l, '{chars}', '')))"
+_PARTS = " + ".join([_AMONG(SEPARATORS), *(f"(length(l) - length(replace(l, '{x}', ''))) / {len(x)}.0" for x in SPACED_SEPARATORS)])
+_RUN = " OR ".join(
+    "(" + " AND ".join(f"coalesce({'lag' if d < 0 else 'lead'}(short, {abs(d)}) OVER (PARTITION BY r ORDER BY k), false)" if d else "short" for d in range(-b, MENU_RUN - b)) + ")"
+    for b in range(MENU_RUN)
+)
 
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
@@ -25,17 +29,27 @@ rep AS (
   FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM hit) GROUP BY r
 ),
 ln AS (
-  SELECT r, k, l, trim(l, {_WS}) AS b FROM (SELECT r, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM w)
+  SELECT r, k, l, trim(l, {_WS}) AS b, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw
+  FROM (SELECT r, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM w)
 ),
-judged AS (
-  SELECT r, k, l, b = '' OR (
-    (right(b, 1) IN ({_TERMINAL}) OR {_NW} >= {_R.min_open_words})
-    AND ({_SYMBOLS}) <= {_R.symbol_share}::DOUBLE * {_NW}
-    AND (length(l) - length(replace(l, '!!', ''))) / 2.0 <= {_R.symbol_share}::DOUBLE * {_NW}
-    AND NOT ({_BARS} >= {_R.nav_min_separators} AND {_BARS} >= {_R.nav_share}::DOUBLE * {_NW})
-    AND NOT (length(l) <= {_R.boilerplate_max_chars} AND ({_BOILER}))) AS ok
+seen AS (
+  SELECT *, right(b, 1) IN ({_TERMINAL}) AS ended, {_AMONG(LOWER)} AS small, {_AMONG(UPPER)} AS capital, {_PARTS} AS parts,
+    len(regexp_extract_all(l, '(^|[\x20\x09-\x0D])[A-Z]')) AS titles, nw > 0 AND nw <= {_R.menu_words} AS short
   FROM ln
 ),
+runs AS (SELECT *, {_RUN} AS menu FROM seen),
+judged AS (
+  SELECT r, k, l, nw = 0 OR (
+    (ended OR nw >= {_R.min_open_words})
+    AND {_AMONG(SYMBOLS.replace("|", ""))} <= {_R.symbol_share}::DOUBLE * nw
+    AND (length(l) - length(replace(l, '!!', ''))) / 2.0 <= {_R.symbol_share}::DOUBLE * nw
+    AND (small + capital < {_R.shout_letters} OR small >= {_R.min_small_share}::DOUBLE * (small + capital))
+    AND NOT (parts >= {_R.nav_min_separators} AND parts >= {_R.nav_share}::DOUBLE * nw)
+    AND NOT (NOT ended AND titles >= {_R.title_share}::DOUBLE * nw)
+    AND NOT menu
+    AND NOT (length(l) <= {_R.boilerplate_max_chars} AND ({_BOILER} OR ({_CALLS}) >= 2))) AS ok
+  FROM runs
+),
 per AS (
   SELECT r, count(*) FILTER (WHERE trim(l, {_WS}) <> '')
     - count(DISTINCT CASE WHEN trim(l, {_WS}) <> '' THEN l END) AS dup,

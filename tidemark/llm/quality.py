@@ -15,26 +15,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS_RUN, keep_columns, strip_ws
+from tidemark.llm.common import WS_RUN, Passed, strip_ws
 
 #: Characters the base rule counts as symbols.
 SYMBOLS = "#*$%&|<>"
 #: How a sentence may end.
 TERMINAL = (".", "!", "?", "…", "。", "！", "？", '"', "”", "»", "'", "’", ")", ":", ";")
-#: Phrases of boilerplate lines, lower case.
-BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "powered by",
-    "privacy policy",
-    "sign up for our newsletter",
-    "skip to content",
-    "terms of service",
-    "terms of use",
-)
+#: What parts the entries of a menu, as single characters and as strings.
+SEPARATORS, SPACED_SEPARATORS = "|·•›→»", (" > ", " / ", " :: ", " - ")
+#: Phrases of boilerplate, lower case. One of the first groups condemns a line.
+LEGAL = ("all rights reserved", "privacy policy", "terms of service", "terms of use", "terms and conditions")
+CONSENT = ("accept cookies", "cookie policy", "we use cookies", "uses cookies", "cookie settings")
+TECHNICAL = ("enable javascript", "javascript is disabled", "skip to content", "skip to main content", "powered by", "404 not found")
+FILLER = ("lorem ipsum", "sign up for our newsletter", "subscribe to our newsletter")
+BOILERPLATE = (*LEGAL, *CONSENT, *TECHNICAL, *FILLER)
+#: What alone may be prose; two different ones condemn a line.
+CALLS = ("click here", "read more", "learn more", "log in", "sign in", "sign up", "contact us", "about us", "follow us", "share this", "subscribe", "back to top", "leave a comment")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -44,36 +41,67 @@ class QualityRules:
     min_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
-    #: Navigation: at least so many separators, and so many a word.
+    #: Navigation: at least so many separators, and so many a word; or a run of at least ``MENU_RUN`` lines of at most so
+    #: many words each; or an open line of which this share of words begins with a capital (A-Z).
     nav_min_separators: int = 2
     nav_share: float = 0.2
+    menu_words: int = 3
+    title_share: float = 0.8
     #: Punctuation: a line without an ending needs this many words, and a word may not carry more than this many
-    #: symbols or shouts on average.
+    #: symbols or shouts on average; of the letters A to Z, a line of ``shout_letters`` or more must have this share small.
     min_open_words: int = 10
     symbol_share: float = 0.3
+    shout_letters: int = 20
+    min_small_share: float = 0.3
     #: Boilerplate phrases condemn a line of up to this many characters.
     boilerplate_max_chars: int = 300
     #: A document is rejected if the lines it keeps hold less than this share of its characters.
     min_kept_share: float = 0.4
 
 
+#: Lines of a run that make a menu.
+MENU_RUN = 4
+
+
 def _occurrences(line: Column, what: str) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(what), F.lit("")))) / len(what)
 
 
-def line_passes(line: Column, rules: QualityRules) -> Column:
-    """Whether a line with a word in it passes the three line rules."""
-    words = _occurrences(line, " ") + 1
-    ends = F.right(strip_ws(line), F.lit(1)).isin(*TERMINAL) | (words >= rules.min_open_words)
-    symbols = sum((_occurrences(line, s) for s in SYMBOLS if s != "|"), F.lit(0.0))
-    punctuation = ends & (symbols <= rules.symbol_share * words) & (_occurrences(line, "!!") <= rules.symbol_share * words)
-    bars = _occurrences(line, "|")
-    navigation = (bars >= rules.nav_min_separators) & (bars >= rules.nav_share * words)
+def _among(line: Column, chars: str) -> Column:
+    """How many characters of a line are among ``chars``."""
+    return F.length(line) - F.length(F.translate(line, chars, ""))
+
+
+def _count_words(line: Column) -> Column:
+    return F.size(F.split(strip_ws(line), WS_RUN))
+
+
+def _any(line: Column, phrases: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(line, F.lit(phrase))
+    return found
+
+
+def line_passes(line: Column, words: Column, rules: QualityRules) -> Column:
+    """Whether a line with so many words passes the punctuation, navigation and boilerplate rules."""
+    ended = F.right(strip_ws(line), F.lit(1)).isin(*TERMINAL)
+    small, capital = _among(line, LOWER), _among(line, UPPER)
+    punctuation = (
+        (ended | (words >= rules.min_open_words))
+        & (_among(line, SYMBOLS.replace("|", "")) <= rules.symbol_share * words)
+        & (_occurrences(line, "!!") <= rules.symbol_share * words)
+        & ((small + capital < rules.shout_letters) | (small >= rules.min_small_share * (small + capital)))
+    )
+    parts = _among(line, SEPARATORS) + sum((_occurrences(line, x) for x in SPACED_SEPARATORS), F.lit(0.0))
+    titles = F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[A-Z]"))
+    navigation = ((parts >= rules.nav_min_separators) & (parts >= rules.nav_share * words)) | (
+        ~ended & (titles >= rules.title_share * words)
+    )
     low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(low, F.lit(phrase))
-    return punctuation & ~navigation & ~((F.length(line) <= rules.boilerplate_max_chars) & boiler)
+    calls = sum((F.contains(low, F.lit(c)).cast("int") for c in CALLS), F.lit(0))
+    boiler = (F.length(line) <= rules.boilerplate_max_chars) & (_any(low, BOILERPLATE) | (calls >= 2))
+    return punctuation & ~navigation & ~boiler
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -83,12 +111,12 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     The 8-word windows of one text are compared by 64-bit hashes.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
-    rest = keep_columns(docs, own)
+    p = Passed(docs, own)
     w = rules.window
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    body = F.coalesce(p[text], F.lit(""))
     bare = strip_ws(body)
-    base = docs.select(
-        *[F.col(f"`{c}`") for c in rest],
+    base = p.frame.select(
+        *p.kept,
         body.alias("__body"),
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_RUN)).alias("__words"),
         F.split(body, "\n").alias("__lines"),
@@ -98,15 +126,34 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
         n >= w, F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i: F.xxhash64(F.slice("__words", i, w)))
     ).otherwise(F.array().cast("array<bigint>"))
     full = F.filter("__lines", lambda x: strip_ws(x) != "")
+    # Words of every line (0: a blank one), and whether it is short; a run of short lines is a menu.
+    base = base.withColumn("__nw", F.transform("__lines", lambda x: F.when(strip_ws(x) == "", 0).otherwise(_count_words(x))))
+    base = base.withColumn("__short", F.transform("__nw", lambda k: (k > 0) & (k <= rules.menu_words)))
+    short = lambda i, d: F.coalesce(F.get(F.col("__short"), i + d), F.lit(False)) if d else F.get(F.col("__short"), i)
+
+    def menu(i: Column) -> Column:
+        """Whether line ``i`` is in a run: with it, ``MENU_RUN`` short lines that begin so many lines before it."""
+        runs = F.lit(False)
+        for back in range(MENU_RUN):
+            run = F.lit(True)
+            for d in range(-back, MENU_RUN - back):
+                run = run & short(i, d)
+            runs = runs | run
+        return short(i, 0) & runs
+
+    def stays(x: Column, i: Column) -> Column:
+        words = F.get(F.col("__nw"), i)
+        return (words == 0) | (line_passes(x, words, rules) & ~menu(i))
+
     marked = base.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *p.kept,
         "__body",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__body", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         windows.alias("__win"),
         full.alias("__full"),
-        F.filter("__lines", lambda x: (strip_ws(x) == "") | line_passes(x, rules)).alias("__passed"),
+        F.filter("__lines", stays).alias("__passed"),
     )
     # Only a text with a window found twice pays for the sort.
     twice = F.size(F.array_distinct("__win")) < F.size("__win")
@@ -130,7 +177,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     once = F.monotonically_increasing_id() >= 0
     repeat = F.when(once & F.col("__pos").isNotNull(), w + F.aggregate(steps, F.lit(0), lambda s, x: s + x)).otherwise(0)
     counted = placed.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *p.kept,
         "n_words", "word_chars", "n_symbols",
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         repeat.cast("long").alias("n_repeat_words"),
@@ -139,7 +186,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return counted.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *p.back,
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.length("clean_text") >= rules.min_kept_share * F.col("__chars"))).alias("kept"),
@@ -149,6 +196,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
 
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Kept documents with their failing lines removed; the columns of ``docs``, ``n_chars`` (if there) brought up to date."""
-    out = quality_rules(docs, rules=rules).where("kept")
-    cols = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    own, name = Passed(docs).inner()
+    out = quality_rules(own, name("text"), rules).where("kept")
+    made = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return out.select([made.get(c, F.col(f"__doc{k}")).alias(c) for k, c in enumerate(docs.columns)])

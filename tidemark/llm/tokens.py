@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_columns, piece_splitter, ship, slices
+from tidemark.llm.common import Passed, piece_splitter, ship, slices
 
 #: Entries of the broadcast table, of a task's summary, and of a task's counter before it is cut back to its summary.
 TABLE_SIZE, SUMMARY_SIZE, COUNTER_SIZE = 32_768, 8_192, 200_000
@@ -185,13 +185,9 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
     top = list(frequent_pieces(df, path, pattern, text, size))
     lengths = dict(zip(top, _counting(path, pattern).lengths(top), strict=True)) if top else {}
     table, name = spark.sparkContext.broadcast(compact_table(lengths)), uuid.uuid4().hex
-    rest = [c for c in keep_columns(df, ("n_bytes", "n_tokens")) if c != text]
-    read = df.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"),
-        F.col(f"`{text}`").alias("__in"),
-    )
-    schema = T.StructType([f for f in read.schema if f.name != "__in"] + [T.StructField("n_tokens", T.LongType())])
+    p = Passed(df, ("n_bytes", "n_tokens"), (text,))
+    read = p.frame.select(*p.kept, F.coalesce(F.octet_length(p[text]), F.lit(0)).cast("long").alias("n_bytes"), p[text].alias("text"))
+    schema = T.StructType([*read.schema[:-1], T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,8 +198,6 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
                 own.use(name, opened_table(table.value))
             for a, b in slices(texts, 8_000_000):
                 counts += own.count(texts[a:b])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:last], pa.array(counts, pa.int64())], names=[*rest, "n_bytes", "n_tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(counts, pa.int64())], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select(*p.back, "n_bytes", "n_tokens")
