@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm.search import LARGEST, top_k
+from tidemark.llm.search import top_k
 from tidemark.llm.simhash import BkTree, components, differing_bits, distances, simhash_components, simhash_dedup
 
 
@@ -55,14 +55,16 @@ def test_tree_children_are_keyed_by_distance():
         assert distances(x[k : k + 1], x[e // 1024 : e // 1024 + 1])[0] == e % 1024
 
 
-def test_small_pieces_lose_no_link(spark):
+def test_small_pieces_lose_no_link(spark, monkeypatch):
+    from tidemark.llm import simhash
     from tidemark.llm.simhash import block_shards, near_links
 
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**62))
     names = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 40, (60, 2))})
     df = spark.createDataFrame([(n, bytearray(n.to_bytes(8, "big"))) for n in names], "node long, fp binary")
-    for size in (4, 1000):
+    for size, marks in ((4, 64), (4, 2), (4, 0), (1000, 64)):
+        monkeypatch.setattr(simhash, "LANDMARKS", marks)
         links = near_links(df, block_shards(2), 2, size)
         roots = {r["node"]: r["root"] for r in components(links).collect()}
         group = {n: n for n in names}
@@ -117,21 +119,39 @@ def test_pieces_bounded_by_bytes_lose_nothing(docs, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in simhash_dedup(docs).collect()) == whole
 
 
+def test_passages_in_common_rarely_share_a_band():
+    from tidemark.llm.simhash import BANDS, band_keys
+
+    rng = np.random.default_rng(12)
+    passage = rng.integers(0, 2**63, 46, dtype=np.uint64)
+    texts = [np.unique(np.r_[passage, rng.integers(0, 2**63, 300, dtype=np.uint64)]) for _ in range(200)]
+    keys = [band_keys(t) for t in texts]
+    assert all(len(k) == BANDS for k in keys) and band_keys(texts[0][:0]) == []
+    met = sum(bool(set(keys[i]) & set(keys[j])) for i in range(200) for j in range(i))
+    assert met < 0.1 * 200 * 199 / 2
+    lost = 0
+    for _ in range(500):
+        every = rng.integers(0, 2**63, 1_000, dtype=np.uint64)
+        lost += not set(band_keys(every[:900])) & set(band_keys(every[100:]))  # similarity 0.8
+    assert lost <= 2
+
+
 def test_bits_of_a_similarity():
     assert differing_bits(1.0, 64) == 0 and 36 <= differing_bits(0.8, 256) <= 40
 
 
 def naive(vectors, k):
-    ok = [(i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < LARGEST for x in v)]
+    ok = [(i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     q = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in ok]
     out = []
     for i, v in sorted({(i, tuple(v)) for i, v in q if i % 50 == 0}):
-        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))[:k]
-        out += [(i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(best)]
+        score = lambda w: min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        best = sorted((-score(w), j) for j, w in q if j != i and len(w) == len(v))[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("case", ["random", "lengths", "ties", "edge", "large"])
+@pytest.mark.parametrize("case", ["random", "lengths", "ties", "edge", "large", "huge"])
 def test_search_is_exact(spark, case):
     rng = np.random.default_rng(4)
     n = 260
@@ -143,11 +163,15 @@ def test_search_is_exact(spark, case):
         v[50:200] = v[50]
     if case == "large":
         v *= np.float32(2.0**20)
+    if case == "huge":  # components from 2**54 on, and products beyond a long
+        v[::7] *= np.float32(2.0**53)
+        v[3] = np.float32(2.0**54)
+        v[11] *= np.float32(2.0**90)
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     if case == "edge":
         rows = rows[:55] + [(60, None), (61, [1.0, None]), (62, [float("nan")] * 8), (63, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (64, [1.0, 2.0]), (100, [3.0, -1.0]), (65, [0.0] * 8), (3, rows[3][1]), (50, rows[50][1]), (66, []), (150, [1e30] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = top_k(df, F.col("vec_id") % 50 == 0, k=5, tasks=3)
+    got = top_k(df, F.col("vec_id") % 50 == 0, k=5, range_rows=60)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == naive(rows, 5)
 
 
@@ -163,8 +187,8 @@ def test_search_in_buckets_prunes_nothing_it_needs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(600, 6)).astype(np.float32)
     v[300:] = v[:300] + rng.normal(scale=0.05, size=(300, 6)).astype(np.float32)
-    asked = S.Asked(np.arange(600)[::50], np.floor(256 * v.astype(float)).astype(np.int64)[::50], 3)
-    q = np.floor(256 * v.astype(float)).astype(np.int64)
+    asked = S.Asked(np.arange(600)[::50], np.floor(256 * v.astype(float))[::50], 3)
+    q = np.floor(256 * v.astype(float))
     length = np.sqrt((q.astype(float) ** 2).sum(1))
     by = np.argsort(-length)
     for s in range(0, 600, 40):

@@ -2,14 +2,21 @@
 
 Distinct fingerprints only are searched, in shards. Two 64-bit fingerprints within a small ``radius`` agree on at least
 one of ``radius + 1`` bit blocks, so each goes to the shard of each of its block values (`block_shards`). A similarity
-of 0.8 leaves far too many differing bits for that; there a text goes to the shards of its ``bottom`` smallest shingle
-hashes, of which two such texts share one but for 0.2 to the power ``bottom`` (`bottom_shards`), and what the search
-finds is verified by the exact Jaccard similarity of the shingle sets, which only texts with a partner in a shard send
-along. A shard holds one BK-tree per ``SHARD_NODES`` fingerprints: children are keyed by their integer Hamming distance to the parent, and a
-search follows only the edges within the radius of the distance at hand. A shard's trees are sent to all query chunks
-of that shard and to no other task: all trees together have no size bound, so they do not pass through the driver.
-A task returns a spanning forest of the links it finds, at most one row a fingerprint, and never all pairs. Components
-come from alternating large-star and small-star rounds on those rows, cut by checkpoints in the shared folder.
+of 0.8 leaves far too many differing bits for that; there a text goes to the shards of its min-hash bands, of which two
+such texts share one but for 1 pair in ten thousand, while texts that only have a passage in common rarely do
+(`band_shards`). A shard is searched by a BK-tree: children are keyed by their integer Hamming distance to the parent,
+and a search follows only the edges within the radius of the distance at hand. A shard's trees are sent to all query
+chunks of that shard and to no other task: all trees together have no size bound, so they do not pass through the
+driver. A task returns a spanning forest of the links it finds, at most one row a fingerprint, and never all pairs.
+
+A shard of more than ``SHARD_NODES`` fingerprints is first held against some ``LANDMARKS`` of its own, chunk by chunk.
+What these links put into one component needs no further links within; only the rest meets all pieces of the shard. So
+a large group of near copies costs time in proportion to its size, and no link is lost.
+
+Components come from alternating large-star and small-star rounds on those rows, cut by checkpoints in the shared folder.
+For a similarity the components of fingerprint links are candidates only: the shingle sets of such texts, and of no
+others, are sent once to the task of their candidate component, where a tree again says which to compare, and links
+need an exact Jaccard similarity.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle of the whole; equal fingerprints are one node, so copies never make pairs; a null id
@@ -27,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import durable, in_key_filter, keep_columns, key_filter, ship, written
+from tidemark.llm.common import Passed, durable, in_key_filter, key_filter, ship, written
 
 #: Nodes of one BK-tree, and about so many bytes of their shingle sets.
 SHARD_NODES, SHARD_BYTES = 8_192, 16 << 20
+#: Fingerprints (about) of a large shard that all others are held against first, and salts of a join by shard.
+LANDMARKS, JOIN_SALTS = 64, 8
+#: Min-hash bands and rows: two sets of similarity 0.8 share no band with probability (1 - 0.8^3)^13 = 0.0001.
+BANDS, ROWS = 13, 3
 SEED = 42
 #: Odd constants that turn one shingle hash into the hashes of further lanes of 64 bits.
 LANE_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -63,33 +74,55 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bottom: int = 0) -> DataFrame:
-    """``docs`` with ``fp`` (binary), ``node`` (long; stands for the fingerprint, or with more than one lane for the set of
-    shingles) and ``low`` (the ``bottom`` smallest distinct shingle hashes), without its text. With more than one lane or
-    a ``bottom`` the fingerprint is of distinct shingles, as bounds from set similarities need; else repeats count."""
+def band_keys(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    """Min-hash band keys of distinct shingle hashes: for each band a hash of its number and of ``rows`` minima, each under
+    an own multiplication of the hashes. Without shingles there are none."""
+    import xxhash
+
+    if not len(own):
+        return []
+    rng = np.random.default_rng(SEED)
+    times = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.uint64(2**64 - 1))
+    for k in range(0, len(own), 16_384):
+        mixed = own[k : k + 16_384] ^ (own[k : k + 16_384] >> np.uint64(31))
+        least = np.minimum(least, (mixed[None, :] * times[:, None]).min(1))
+    found = least.reshape(bands, rows)
+    return [xxhash.xxh64_intdigest(found[k].tobytes(), k) - 2**63 for k in range(bands)]
+
+
+def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, bands: int = 0) -> DataFrame:
+    """``docs`` without its text, with ``fp`` (binary). With ``bands`` the fingerprint is of distinct shingles, as bounds from
+    set similarities need, and there are ``set_id`` (a 128-bit digest of the set), ``bands`` (keys) and ``bytes`` (of the
+    set as 32-bit hashes); else repeats count."""
     ship(docs.sparkSession)
-    rest = [c for c in keep_columns(docs, ("fp", "node", "low")) if c != text]
-    read = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("__in"))
-    made = [T.StructField("fp", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))]
-    schema = T.StructType([f for f in read.schema if f.name != "__in"] + made)
+    p = Passed(docs, ("fp", "set_id", "bands", "bytes") if bands else ("fp",), (text,))
+    read = p.frame.select(*p.kept, p[text].cast("binary").alias("text"))
+    made = [T.StructField("fp", T.BinaryType())]
+    if bands:
+        made += [T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]
+    schema = T.StructType([*read.schema[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             last = batch.num_columns - 1
-            fps, low, names = [], [], []
+            fps, ids, keys, held = [], [], [], []
             for t in batch.column(last).to_pylist():
                 hashes = shingle_hashes(t, words)
-                own = np.unique(hashes) if bottom or lanes > 1 else hashes
-                fps.append(fingerprint(own, lanes))
-                low.append(own[:bottom].view(np.int64).tolist() if bottom else None)
-                names.append(fps[-1] if lanes == 1 else xxhash.xxh3_64_digest(own.tobytes()))
-            nodes = np.frombuffer(b"".join(names), ">i8").astype(np.int64)
-            cols = [pa.array(fps, pa.binary()), pa.array(nodes, pa.int64()), pa.array(low, pa.list_(pa.int64()))]
+                if bands:
+                    hashes = np.unique(hashes)
+                    ids.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    keys.append(band_keys(hashes, bands))
+                    held.append(4 * len(hashes))
+                fps.append(fingerprint(hashes, lanes))
+            cols = [pa.array(fps, pa.binary())]
+            if bands:
+                cols += [pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(held, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *cols], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).select(*p.back, *[f.name for f in made])
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,42 +258,68 @@ def block_shards(radius: int):
     return F.array(*out)
 
 
-def bottom_shards():
-    """Shards of a text: its smallest shingle hashes."""
-    return F.transform("low", lambda v: F.struct(F.lit(0).alias("k"), v.alias("v")))
+def band_shards():
+    """Shards of a text: its min-hash bands."""
+    return F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+
+
+def _number(of: int):
+    return F.pmod(F.xxhash64("node", F.lit(of)), F.lit(1 << 40))
 
 
-def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int = SHARD_NODES, similarity: float | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, shards, radius: int, shard_nodes: int | None = None, similarity: float | None = None) -> DataFrame:
     """Links ``(a, b)`` between nodes (columns ``node, fp``, distinct) that put those of one shard within ``radius``
     differing bits of each other, and (if given) of that similarity by their sets ``sh``, into the same component."""
-    ship(nodes.sparkSession)
+    most = shard_nodes or SHARD_NODES
     sh = F.col("sh") if similarity is not None else F.lit(None).cast("binary")
-    keyed = nodes.select("node", "fp", sh.alias("sh"), F.explode(shards).alias("s")).select("node", "fp", "sh", "s.k", "s.v")
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(JOIN_SALTS)).cast("int")
+    keyed = nodes.select("node", "fp", sh.alias("sh"), F.explode(shards).alias("s")).select("node", "fp", "sh", "s.k", "s.v", salt.alias("salt"))
     held = F.sum(F.coalesce(F.octet_length("sh"), F.lit(0)))
     sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n"), held.alias("bytes")).where("n > 1")
-    pieces = F.greatest(F.ceil(F.col("n") / shard_nodes), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
-    placed = keyed.join(sizes, ["k", "v"]).select(
-        "k", "v", "node", "fp", "sh", pieces.alias("m"), F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int").alias("own")
-    )
-    # Tree piece t meets query chunks q >= t, so that every two pieces of a shard meet once.
-    sides = F.concat(
-        F.transform(F.sequence("own", F.col("m") - 1), lambda q: F.struct(F.col("own").alias("t"), q.alias("q"), F.lit(True).alias("tree"))),
-        F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda t: F.struct(t.alias("t"), F.col("own").alias("q"), F.lit(False).alias("tree"))))
-        .otherwise(F.array().cast("array<struct<t:int,q:int,tree:boolean>>")),
-    )
-    ready = (
-        placed.select("k", "v", F.explode(sides).alias("x"), "node", "fp", "sh")
-        .select("k", "v", "x.t", "x.q", "x.tree", "node", "fp", "sh")
-        .repartition("k", "v", "t", "q")
-        .sortWithinPartitions("k", "v", "t", "q", "tree", "node")
+    m = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int").alias("m")
+    # A shard's rows meet its size in several tasks.
+    sizes = durable(sizes.select("k", "v", "n", m, F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")))
+    placed = keyed.join(sizes, ["k", "v", "salt"]).drop("salt")
+    cells = ["k", "v", "t", "q"]
+
+    def cell(rows: DataFrame, t, q, tree: bool) -> DataFrame:
+        return rows.select("k", "v", t.cast("int").alias("t"), q.cast("int").alias("q"), F.lit(tree).alias("tree"), "node", "fp", "sh")
+
+    zero = F.lit(0)
+    small = tree_links(cell(placed.where("m = 1"), zero, zero, True), cells, radius, similarity)
+    if not sizes.where("m > 1").limit(1).count():
+        return small
+    large = written(placed.where("m > 1"))
+    every = F.explode(F.sequence(zero, F.col("m") - 1)).alias("q")
+    marks = large.where(F.pmod(F.xxhash64("node", F.lit(4)), F.col("n")) < LANDMARKS).select("*", every)
+    first = durable(
+        tree_links(cell(marks, zero, F.col("q"), True).union(cell(large, zero, F.pmod(_number(1), F.col("m")), False)), cells, radius, similarity)
     )
+    # The largest component of a shard is done with itself; all others meet the whole shard.
+    rooted = large.select("k", "v", "node").join(components(first), "node", "left").select("k", "v", "node", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("k", "v", "root").agg(F.count("*").alias("c"))
+    done = groups.groupBy("k", "v").agg(F.max_by("root", F.struct("c", "root")).alias("done"))
+    rest = durable(rooted.join(F.broadcast(done) if sizes.where("m > 1").count() <= 100_000 else done, ["k", "v"]).where("root <> done").select("k", "v", "node"))
+    counts = rest.groupBy("k", "v").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    few = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    left = large.join(rest, ["k", "v", "node"], "left_semi").join(few, ["k", "v"])
+    trees = large.join(few, ["k", "v"]).select("*", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("q"))
+    pieces = left.select("*", F.explode(F.sequence(zero, F.col("m") - 1)).alias("t"))
+    meet = cell(trees, F.pmod(_number(2), F.col("m")), F.col("q"), True).union(cell(pieces, F.col("t"), F.pmod(_number(1), F.col("chunks")), False))
+    return small.union(first).union(tree_links(meet, cells, radius, similarity))
+
+
+def tree_links(rows: DataFrame, cells: list[str], radius: int, similarity: float | None) -> DataFrame:
+    """Links within cells: of the rows marked ``tree`` with the others, or with themselves in a cell that has no others."""
+    ship(rows.sparkSession)
+    ready = rows.repartition(*cells).sortWithinPartitions(*cells, "tree", "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def groups(cols: tuple[np.ndarray, ...], last: bool) -> tuple[np.ndarray, ...]:
-            """Works off whole groups; the last one waits for more rows and is returned."""
+            """Works off whole cells; the last one waits for more rows and is returned."""
             new = np.zeros(len(cols[0]), bool)
             for c in cols[:4]:
                 new[1:] |= c[1:] != c[:-1]
@@ -325,21 +384,17 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _labelled(nodes: DataFrame, links: DataFrame, first: str) -> DataFrame:
-    """``(node, best)``: for every node the smallest ``first`` of its component."""
-    rooted = nodes.join(components(links), "node", "left").select("node", first, F.coalesce("root", "node").alias("__root"))
-    best = rooted.groupBy("__root").agg(F.min(first).alias("best"))
-    return rooted.join(best, "__root").select("node", "best")
-
-
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` without its text, with ``fp`` (8 bytes) and ``component_id``: the smallest id that links reach, where
     64-bit fingerprints link at ``radius`` or fewer differing bits."""
-    rest = [c for c in keep_columns(docs, ("fp", "node", "low", "component_id")) if c != text]
-    thin = written(with_fingerprints(docs.select(*[F.col(f"`{c}`") for c in [*rest, text]]), text, words).drop("low"))
-    nodes = written(thin.groupBy("node", "fp").agg(F.min(F.col(f"`{doc_id}`")).alias("__least")))
-    labels = _labelled(nodes, near_links(nodes, block_shards(radius), radius), "__least")
-    return thin.join(labels, "node").select(*[F.col(f"`{c}`") for c in rest], "fp", F.col("best").alias("component_id"))
+    p = Passed(docs, ("fp", "component_id"), (text,))
+    thin = with_fingerprints(p.frame.select(*p.kept, p[doc_id].alias("id"), p[text].alias("text")), "text", words)
+    thin = written(thin.withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")))
+    nodes = written(thin.groupBy("node", "fp").agg(F.min("id").alias("least")))
+    rooted = nodes.join(components(near_links(nodes, block_shards(radius), radius)), "node", "left")
+    rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
+    labels = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("best")), "root").select("node", "best")
+    return thin.join(labels, "node").select(*p.back, "fp", F.col("best").alias("component_id"))
 
 
 def differing_bits(similarity: float, bits: int, deviations: float = 0.0) -> int:
@@ -368,25 +423,27 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, row: str, text: str, words
 
 
 def simhash_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, lanes: int = 4, bottom: int = 6
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, lanes: int = 4, bands: int = BANDS
 ) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id (nulls last; of equal ids the first read).
 
     Two texts link where the sets of their shingles of ``words`` words have a Jaccard similarity of at least
     ``similarity``; SimHashes of ``64 * lanes`` bits and four standard deviations of spare bits say which to look at.
     Rows without words are one group."""
-    names = docs.columns
-    full = written(docs.select("*", F.monotonically_increasing_id().alias("__row")))
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
-    thin = written(with_fingerprints(full.select(key.alias("__at"), F.col(f"`{text}`").alias("__text")), "__text", words, lanes, bottom))
-    nodes = written(thin.groupBy("node").agg(F.min("fp").alias("fp"), F.max("low").alias("low"), F.min("__at").alias("__at")))
-    # Texts with a partner in some shard.
-    keyed = nodes.select(F.col("__at.row").alias("__row"), F.explode("low").alias("v"))
-    partners = keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    wanted = written(keyed.join(partners, "v", "left_semi").select("__row").distinct())
-    sets = shingle_sets(full, wanted, "__row", text, words).join(wanted, F.col("row") == F.col("__row"), "left_semi")
-    some = nodes.select("node", "fp", "low", F.col("__at.row").alias("row")).join(sets, "row")
-    links = near_links(some, bottom_shards(), differing_bits(similarity, 64 * lanes, 4.0), similarity=similarity)
-    labels = _labelled(nodes, links, "__at")
-    gone = thin.join(labels, "node").where(F.col("__at.row") != F.col("best.row")).select(F.col("__at.row").alias("__row"))
-    return full.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    p = Passed(docs)
+    radius = differing_bits(similarity, 64 * lanes, 4.0)
+    full = written(p.frame.withColumn("row", F.monotonically_increasing_id()))
+    key = F.struct(p[doc_id].isNull().alias("none"), p[doc_id].alias("id"), F.col("row"))
+    thin = written(with_fingerprints(full.select(key.alias("at"), p[text].alias("text")), "text", words, lanes, bands))
+    same = thin.groupBy("set_id").agg(F.min("at").alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = written(same.select(F.col("at.row").alias("node"), "at", "fp", "bands"))
+    candidates = components(near_links(nodes.select("node", "fp", "bands"), band_shards(), radius))
+    members = written(candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct()))
+    names = p.frame.columns
+    sets = shingle_sets(full.select("row", F.col(names[p._place(text)]).alias("text")), members.select(F.col("node").alias("row")), "row", "text", words)
+    some = members.join(nodes.select("node", "fp"), "node").join(sets.withColumnRenamed("row", "node"), "node")
+    own = F.array(F.struct(F.lit(0).alias("k"), F.col("root").alias("v")))
+    rooted = nodes.select("node", "at").join(components(near_links(some, own, radius, similarity=similarity)), "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("at").alias("at")).select(F.col("at.row").alias("row"))
+    gone = thin.select(F.col("at.row").alias("row")).join(kept, "row", "left_anti")
+    return full.join(gone, "row", "left_anti").select(*p.back)
