@@ -179,7 +179,8 @@ def shard_documents(
     alone = running(numbered.where("shard IS NULL").select("row"), [], _bucket(4 * buckets, "row"), ["row"], F.lit(1), "nth")
     fill = alone.join(F.broadcast(spans), (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("end"))).select("row", "shard")
     done = numbered.where("shard IS NOT NULL").union(fill)
-    slots = running(done, ["shard"], _bucket(4 * buckets, "row"), ["row"], F.lit(1), "slot")
+    # Another hash than the one that filled free places in order, or a shard's documents would all be of one bucket.
+    slots = running(done, ["shard"], _bucket(4 * buckets, "row", F.lit(1)), ["row"], F.lit(1), "slot")
     return thin.join(slots, "row").select(
         *p.back, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
