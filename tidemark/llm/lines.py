@@ -229,7 +229,7 @@ def line_dedup(
     order = F.coalesce(p[doc_id].cast("long"), F.lit(_LAST_ID)).alias("id")
     if filters is None:
         whole = F.coalesce(p[text], F.lit(""))
-        counted = p.frame.agg(F.sum(1 + F.length(whole) - F.length(F.translate(whole, "\n", ""))))
+        counted = p.frame.agg(F.sum(1 + F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit("")))))
         filters = filter_plan(counted.first()[0] or 0)
     bits, ranges = filters
     sums, planes = None, []
