@@ -59,3 +59,62 @@ def test_near_copies_of_the_pipeline_against_brute_force(spark, sf_dir):
                 low, high = sorted((group[a], group[b]))
                 group = {d: low if g == high else g for d, g in group.items()}
     assert kept == set(group.values())
+
+
+def test_pipeline_of_odd_tables(spark, docs, nothing, tmp_path):
+    """Nulls in every column, ties, repeated rows, clashing extra columns, and an empty table go through all stages."""
+    import corpus_pipeline as cp
+
+    odd = docs.withColumnsRenamed({"IDS": "row", "Kept": "node", "fp": "src", "size": "IDS"})
+    for label, now in (("odd", odd), ("none", nothing)):
+        start = now.columns
+        for k, (_, stage) in enumerate(cp.STAGES):
+            stage(spark, now, "").write.parquet(f"{tmp_path}/{label}{k}")
+            now = spark.read.parquet(f"{tmp_path}/{label}{k}")
+            assert k == 4 or now.columns == start
+        assert [c for c in start if c not in ("text", "IDS")] == now.columns[:-4]
+        if label == "none":
+            assert now.count() == 0
+        else:
+            assert now.where("row = 'mine' AND node = 'mine' AND src IS NULL").count() == now.count() > 0
+
+
+CLASHES = [
+    "src", "n", "none", "part", "delta", "fixed", "__h", "__words", "__body", "__in", "__id", "best", "__row", "row", "key", "grp", "node", "low",
+    "id", "k", "v", "t", "q", "at", "root", "salt", "body", "gone", "nth", "first", "end", "__b", "__kept0", "__kept1", "__kept9", "__doc0", "bands", "source_", "TEXT", "Doc_ID",
+]
+
+
+def test_any_extra_column_passes_through(spark):
+    """Extra columns of any internal name keep their values through the eight text operators."""
+    import public_tokenizers as tok
+
+    from tidemark.llm.bpe import bpe_encode, bpe_round_trip
+    from tidemark.llm.langid import identify, train
+    from tidemark.llm.lines import line_dedup
+    from tidemark.llm.mixing import mix_sources, mixed_documents
+    from tidemark.llm.quality import quality_filter, quality_rules
+    from tidemark.llm.sharding import shard_documents
+    from tidemark.llm.simhash import simhash_components, simhash_dedup
+    from tidemark.llm.tokens import token_counts
+
+    text = " ".join(f"word{j} of a sentence" for j in range(12)) + "."
+    rows = [(i, f"{text} Number {i // 2}." if i % 5 else None, "en", f"s{i % 2}", *[f"{c}{i}" for c in CLASHES]) for i in range(12)]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *CLASHES])
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    ranks, whole = tok.path("byte_bpe_50k.tiktoken"), tok.path("byte_bpe_50k.json")
+    outs = {
+        "op1": mix_sources(df), "op1 copies": mixed_documents(df), "op2": quality_rules(df), "op2 filter": quality_filter(df), "op3": line_dedup(df),
+        "op4": token_counts(df, whole, tok.PATTERN), "op6": bpe_encode(df, ranks, tok.PATTERN), "op6 both": bpe_round_trip(df, ranks, tok.PATTERN),
+        "op7": identify(df, train(df)), "op8": shard_documents(df, 3), "op9": simhash_components(df), "dedup": simhash_dedup(df),
+    }
+    for label, out in outs.items():
+        at = [out.columns.index(c) for c in CLASHES]
+        got = out.collect()
+        assert got or label == "op2 filter", label
+        for r in got:
+            i = r[out.columns.index("doc_id")]
+            assert [r[k] for k in at] == [f"{c}{i}" for c in CLASHES], label

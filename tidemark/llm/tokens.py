@@ -159,7 +159,8 @@ def frequent_pieces(df: DataFrame, path: str, pattern: str, text: str = "text",
 
         return run
 
-    tasks = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(summarise, _SUMMARY)
+    p = Passed(df)
+    tasks = p.frame.select(p[text].alias("t")).mapInArrow(summarise, _SUMMARY)
     groups = max(1, math.isqrt(tasks.rdd.getNumPartitions()))
     first = tasks.repartition(groups, "part").mapInArrow(merge(SUMMARY_SIZE * 2), _SUMMARY)
     rows = first.repartition(1).mapInArrow(merge(size), _SUMMARY).collect()  # one row of a bounded size
