@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, byte-level BPE."""
+"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, byte-level BPE.
+
+Defined results: a document without words (a null, empty or blank text) fails the base rules and goes in the first stage;
+null ids, languages and sources stay, a null source being a source of its own in the mix; repeated rows are one group of
+copies, of which the first read stays; of documents with equal ids the first read stays; texts are whole at any length in
+every stage; an empty table gives an empty table; extra columns pass through all stages, but in the last one columns of
+the names it makes (in any case) are replaced.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_round_trip
-from tidemark.llm.common import read, shared_dir
+from tidemark.llm.common import Passed, read, shared_dir
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import quality_filter
@@ -23,9 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line that ten documents or more hold stays in its first place only."""
-    out = line_dedup(docs, min_docs=10, keep_first=True)
-    fresh = {"n_chars": F.length("text").cast("long").alias("n_chars")}
-    return out.select(*[fresh.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    own, name = Passed(docs).inner()
+    out = line_dedup(own, text=name("text"), doc_id=name("doc_id"), min_docs=10, keep_first=True)
+    fresh = {"n_chars": F.length(F.col(name("text"))).cast("long")}
+    return out.select([fresh.get(c, F.col(f"__doc{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +49,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) in the text's place, with digests of the ids and of the bytes
     they decode to."""
-    encoded = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    own, name = Passed(docs).inner()
+    text = name("text")
+    encoded = bpe_round_trip(own, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, text=text)
+    made = {
+        "ids": F.col("ids"),
+        "n_tokens": (F.octet_length("ids") / 4).cast("long"),
+        "ids_sha256": F.sha2("ids", 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    }
+    kept = [(f"__doc{k}", c) for k, c in enumerate(docs.columns) if f"__doc{k}" != text and c.lower() not in made]
+    return encoded.select([F.col(k).alias(c) for k, c in kept] + [v.alias(c) for c, v in made.items()])
 
 
 STAGES = [
