@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality import BOILERPLATE, CALLS, LOWER, MENU_RUN, SEPARATORS, SPACED_SEPARATORS, SYMBOLS, TERMINAL, UPPER, QualityRules
+from tidemark.llm.quality import BOILERPLATE, CALLS, MENU_RUN, SEPARATORS, SPACED_SEPARATORS, SYMBOLS, TERMINAL, UPPER, QualityRules
 
 _R = QualityRules()
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -33,7 +33,7 @@ ln AS (
   FROM (SELECT r, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM w)
 ),
 seen AS (
-  SELECT *, right(b, 1) IN ({_TERMINAL}) AS ended, {_AMONG(LOWER)} AS small, {_AMONG(UPPER)} AS capital, {_PARTS} AS parts,
+  SELECT *, right(b, 1) IN ({_TERMINAL}) AS ended, {_AMONG(UPPER)} AS capital, {_PARTS} AS parts,
     len(regexp_extract_all(l, '(^|[\x20\x09-\x0D])[A-Z]')) AS titles, nw > 0 AND nw <= {_R.menu_words} AS short
   FROM ln
 ),
@@ -43,7 +43,7 @@ judged AS (
     (ended OR nw >= {_R.min_open_words})
     AND {_AMONG(SYMBOLS.replace("|", ""))} <= {_R.symbol_share}::DOUBLE * nw
     AND (length(l) - length(replace(l, '!!', ''))) / 2.0 <= {_R.symbol_share}::DOUBLE * nw
-    AND (small + capital < {_R.shout_letters} OR small >= {_R.min_small_share}::DOUBLE * (small + capital))
+    AND NOT (NOT regexp_matches(l, '[a-z]') AND capital >= {_R.shout_letters})
     AND NOT (parts >= {_R.nav_min_separators} AND parts >= {_R.nav_share}::DOUBLE * nw)
     AND NOT (NOT ended AND titles >= {_R.title_share}::DOUBLE * nw)
     AND NOT menu

@@ -31,7 +31,7 @@ FILLER = ("lorem ipsum", "sign up for our newsletter", "subscribe to our newslet
 BOILERPLATE = (*LEGAL, *CONSENT, *TECHNICAL, *FILLER)
 #: What alone may be prose; two different ones condemn a line.
 CALLS = ("click here", "read more", "learn more", "log in", "sign in", "sign up", "contact us", "about us", "follow us", "share this", "subscribe", "back to top", "leave a comment")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -48,11 +48,10 @@ class QualityRules:
     menu_words: int = 3
     title_share: float = 0.8
     #: Punctuation: a line without an ending needs this many words, and a word may not carry more than this many
-    #: symbols or shouts on average; of the letters A to Z, a line of ``shout_letters`` or more must have this share small.
+    #: symbols or shouts on average; a line of this many capitals (A-Z) must have a small letter too.
     min_open_words: int = 10
     symbol_share: float = 0.3
     shout_letters: int = 20
-    min_small_share: float = 0.3
     #: Boilerplate phrases condemn a line of up to this many characters.
     boilerplate_max_chars: int = 300
     #: A document is rejected if the lines it keeps hold less than this share of its characters.
@@ -64,12 +63,12 @@ MENU_RUN = 4
 
 
 def _occurrences(line: Column, what: str) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit(what), F.lit("")))) / len(what)
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(what), F.lit("")))) / len(what.encode())
 
 
 def _among(line: Column, chars: str) -> Column:
     """How many characters of a line are among ``chars``."""
-    return F.length(line) - F.length(F.translate(line, chars, ""))
+    return sum((_occurrences(line, c) for c in chars), F.lit(0.0))
 
 
 def _count_words(line: Column) -> Column:
@@ -83,22 +82,21 @@ def _any(line: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
-def line_passes(line: Column, words: Column, rules: QualityRules) -> Column:
-    """Whether a line with so many words passes the punctuation, navigation and boilerplate rules."""
+def line_passes(line: Column, low: Column, words: Column, rules: QualityRules) -> Column:
+    """Whether a line, also given in lower case, with so many words passes the punctuation, navigation and boilerplate
+    rules. Cheap conditions come first, as the rest is left out where they fail."""
     ended = F.right(strip_ws(line), F.lit(1)).isin(*TERMINAL)
-    small, capital = _among(line, LOWER), _among(line, UPPER)
+    shouts = ~line.rlike("[a-z]") & (F.length(line) - F.length(F.translate(line, UPPER, "")) >= rules.shout_letters)
     punctuation = (
         (ended | (words >= rules.min_open_words))
-        & (_among(line, SYMBOLS.replace("|", "")) <= rules.symbol_share * words)
         & (_occurrences(line, "!!") <= rules.symbol_share * words)
-        & ((small + capital < rules.shout_letters) | (small >= rules.min_small_share * (small + capital)))
+        & (_among(line, SYMBOLS.replace("|", "")) <= rules.symbol_share * words)
+        & ~shouts
     )
     parts = _among(line, SEPARATORS) + sum((_occurrences(line, x) for x in SPACED_SEPARATORS), F.lit(0.0))
     titles = F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[A-Z]"))
-    navigation = ((parts >= rules.nav_min_separators) & (parts >= rules.nav_share * words)) | (
-        ~ended & (titles >= rules.title_share * words)
-    )
-    low = F.lower(line)
+    menu = (parts >= rules.nav_min_separators) & (parts >= rules.nav_share * words)
+    navigation = (~ended & (titles >= rules.title_share * words)) | menu
     calls = sum((F.contains(low, F.lit(c)).cast("int") for c in CALLS), F.lit(0))
     boiler = (F.length(line) <= rules.boilerplate_max_chars) & (_any(low, BOILERPLATE) | (calls >= 2))
     return punctuation & ~navigation & ~boiler
@@ -120,6 +118,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
         body.alias("__body"),
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_RUN)).alias("__words"),
         F.split(body, "\n").alias("__lines"),
+        F.split(F.lower(body), "\n").alias("__lows"),
     )
     n = F.size("__words")
     windows = F.when(
@@ -143,7 +142,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
 
     def stays(x: Column, i: Column) -> Column:
         words = F.get(F.col("__nw"), i)
-        return (words == 0) | (line_passes(x, words, rules) & ~menu(i))
+        return (words == 0) | (line_passes(x, F.get(F.col("__lows"), i), words, rules) & ~menu(i))
 
     marked = base.select(
         *p.kept,
