@@ -33,7 +33,7 @@ def test_theil_sen_of_all_windows(spark, sf_dir):
         for k, (t, _) in enumerate(own):
             y = [v for _, v in own[max(0, k - 63) : k + 1]]
             want[s, t] = np.median([(y[j] - y[i]) / (j - i) for i in range(64) for j in range(i + 1, 64)]) if len(y) == 64 else None
-    got = {(r["series"], r["t"]): r["slope"] for r in QUERIES["theil_sen_windows"](spark, sf_dir).collect()}
+    got = {(r["series"], r["t"]): r["slope"] for r in QUERIES["theil_sen"](spark, sf_dir).collect()}
     assert sum(v is not None for v in want.values()) > 5
     assert got.keys() == want.keys()
     assert all(v is None and got[k] is None or got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
@@ -54,5 +54,22 @@ def test_near_duplicates_of_all_ticks(spark, sf_dir):
     seqs = {r["seq"] for r in ticks(spark, sf_dir).select("seq").collect()}
     assert max(seqs) > 200
     worse = {max((a % 7, a), ((a + 3) % 7, a + 3))[1] for a in seqs if a % 10 == 0 and a + 3 in seqs}
-    got = QUERIES["near_duplicates_out_all"](spark, sf_dir).collect()
+    got = QUERIES["near_duplicates_out"](spark, sf_dir).collect()
     assert sorted(r["seq"] for r in got) == sorted(seqs - worse)
+
+
+def test_every_series_takes_part(spark, sf_dir):
+    from tidemark.plans.kernels import design
+
+    held = counts(design(spark, sf_dir))
+    assert len(held) == len(counts(ticks(spark, sf_dir))) > 1
+    assert counts(QUERIES["principal_components"](spark, sf_dir)) == held
+
+
+def test_index_sees_repeated_lines_change(spark):
+    from tidemark.sources.ticks import source_index
+
+    def index(lines):
+        return source_index(spark.createDataFrame([(x,) for x in lines], "value string"), F.substring("value", 1, 1)).collect()
+
+    assert index(["1a", "1a", "1b"]) != index(["1b", "1b", "1b"]) and index(["1a", "1b"]) == index(["1b", "1a"])

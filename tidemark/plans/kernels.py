@@ -30,13 +30,13 @@ def _rows(spark, sf_dir):
     return returns(spark, sf_dir).where("r IS NOT NULL").select("series", "timestamp", "close", "r")
 
 
-def _kernel(fn, schema, back=None, source=_rows):
+def _kernel(fn, schema, back=None, source=_rows, order=("timestamp",)):
     """A query that runs a kernel over series, or over blocks of them if it looks back a fixed number of rows."""
 
     def run(spark, sf_dir):
         df = source(spark, sf_dir)
         if back is None:
-            return G.per_series(df, SERIES, ["timestamp"], fn, schema)
+            return G.per_series(df, SERIES, list(order), fn, schema)
         return G.per_block(df, SERIES, ["timestamp"], F.to_date("timestamp"), back, fn, schema, 512).withColumn("t", F.unix_timestamp("timestamp"))
 
     return run
@@ -118,18 +118,17 @@ def _hac(f):
 
 
 add("segmented_hac", _kernel(_hac, "slope double, ols_se double, hac_se double"), None, ["series"], ["slope", "ols_se", "hac_se"])
-add("theil_sen", _kernel(lambda f: pd.DataFrame({"slope": [SR.theil_sen(np.log(f["close"].to_numpy()[:64]))]}), "slope double"),
-    with_("SELECT series, median((b.y - a.y) / (b.i - a.i)) AS slope FROM (SELECT series, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL) a JOIN (SELECT series, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL) b USING (series) WHERE a.i < b.i AND b.i <= 64 GROUP BY 1", RETURNS_SQL), ["series"], ["slope"])
-# The SQL holds the first window of 64 bars; this is every window, at its last bar.
-add("theil_sen_windows", _kernel(lambda f: pd.DataFrame({"slope": SR.rolling_theil_sen(np.log(f["close"].to_numpy()), 64)}), "slope double", 63), None, ["series", "t"], ["slope"])
+add("theil_sen", _kernel(lambda f: pd.DataFrame({"slope": SR.rolling_theil_sen(np.log(f["close"].to_numpy()), 64)}), "slope double", 63),
+    with_("""SELECT w.series, w.t, CASE WHEN any_value(w.i) >= 64 THEN median((b.y - a.y) / (b.i - a.i)) END AS slope FROM s w LEFT JOIN s a ON a.series = w.series AND a.i BETWEEN w.i - 63 AND w.i AND w.i >= 64
+  LEFT JOIN s b ON b.series = w.series AND b.i > a.i AND b.i <= w.i GROUP BY ALL""", RETURNS_SQL + ",\ns AS (SELECT series, t, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL)"), ["series", "t"], ["slope"])
 
 # Models.
 _FE = ["mom", "vol", "act"]
 
 
-def design(spark, sf_dir, series="view"):
-    """Features, outcome and row number of one series."""
-    r = in_blocks(returns(spark, sf_dir).where(C("series") == series), 24, 1)
+def design(spark, sf_dir):
+    """Features, outcome and row number within the series, of all series."""
+    r = in_blocks(returns(spark, sf_dir), 24, 1)
     f = r.select("series", "timestamp", O.INDEX, O.BLOCK, O.OWN, "r", WN.rolling_mean(C("r"), BW(), 6).alias("mom"), WN.rolling_std(C("r"), BW(), 24).alias("vol"), F.ln("tick_count").alias("act"), F.lead("r").over(BW()).alias("y"))
     return f.where(O.OWN).withColumn("i", C(O.INDEX)).drop(O.INDEX, O.BLOCK, O.OWN).where("vol IS NOT NULL AND y IS NOT NULL").withColumn("up", (C("y") > 0).cast("double"))
 
@@ -158,7 +157,7 @@ def _viterbi(f):
 
 add("kmeans_states", lambda s, d: L.kmeans_states(design(s, d), _FE, 3).groupBy("state").agg(F.count("*").alias("n"), F.avg("vol").alias("vol")), None, ["state", "n"], ["vol"])
 add("mixture_states", lambda s, d: L.mixture_states(design(s, d), _FE, 2).groupBy("state").agg(F.count("*").alias("n"), F.avg(C("posterior")[0]).alias("p0")), None, ["state", "n"], ["p0"])
-add("principal_components", lambda s, d: L.principal_components(design(s, d).where("i < 400"), design(s, d), _FE, 2).select("i", F.abs("pc_1").alias("a1"), F.abs("pc_2").alias("a2")), None, ["i"], ["a1", "a2"])
+add("principal_components", lambda s, d: L.principal_components(design(s, d), design(s, d), _FE, 2).select("series", "i", F.abs("pc_1").alias("a1"), F.abs("pc_2").alias("a2")), None, ["series", "i"], ["a1", "a2"])
 
 
 def _linear(spark, sf_dir):
@@ -187,8 +186,8 @@ def _selection(spark, sf_dir):
 
 add("feature_selection", _selection, None, ["feature", "mrmr", "ic_rank", "cluster"], ["relevance"])
 _DES = RETURNS_SQL + """,
-des AS (SELECT * FROM (SELECT t, i, CASE WHEN count(r) OVER a = 6 THEN avg(r) OVER a END AS mom, CASE WHEN count(r) OVER b = 24 THEN stddev_samp(r) OVER b END AS vol, ln(tick_count) AS act, lead(r) OVER (ORDER BY t) AS y
-  FROM returns WHERE series = 'view' WINDOW a AS (ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE vol IS NOT NULL AND y IS NOT NULL)"""
+des AS (SELECT * FROM (SELECT t, i, CASE WHEN count(r) OVER a = 6 THEN avg(r) OVER a END AS mom, CASE WHEN count(r) OVER b = 24 THEN stddev_samp(r) OVER b END AS vol, ln(tick_count) AS act, lead(r) OVER (PARTITION BY series ORDER BY t) AS y
+  FROM returns WINDOW a AS (PARTITION BY series ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE vol IS NOT NULL AND y IS NOT NULL)"""
 
 
 def _pairwise(spark, sf_dir):
@@ -282,10 +281,10 @@ def _sim_ticks(spark, sf_dir):
 
 
 _FILL = "ts double, kind string, order long, side long, price double"
-add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks), None, ["series", "kind", "order", "side"], ["ts", "price"])
-add("execution_marks", _kernel(lambda f: pd.DataFrame(_orders(f)[1]), "ts double, equity double, drawdown double, position long", source=_sim_ticks), None, ["series", "position"], ["ts", "equity", "drawdown"])
+add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "kind", "order", "side"], ["ts", "price"])
+add("execution_marks", _kernel(lambda f: pd.DataFrame(_orders(f)[1]), "ts double, equity double, drawdown double, position long", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "position"], ["ts", "equity", "drawdown"])
 _STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Scenario(latency=600.0), "outage": SM.Scenario(outage=(1704500000.0, 1704800000.0)), "missed": SM.Scenario(missed=0.3)}
-add("execution_stress", _kernel(lambda f: pd.DataFrame([(k, len(x := _orders(f, s)[0]), x and sum(y["kind"] == "open" for y in x), _orders(f, s)[1][-1]["equity"]) for k, s in _STRESS.items()], columns=["scenario", "events", "opened", "equity"]), "scenario string, events long, opened long, equity double", source=_sim_ticks), None, ["series", "scenario", "events", "opened"], ["equity"])
+add("execution_stress", _kernel(lambda f: pd.DataFrame([(k, len(x := _orders(f, s)[0]), x and sum(y["kind"] == "open" for y in x), _orders(f, s)[1][-1]["equity"]) for k, s in _STRESS.items()], columns=["scenario", "events", "opened", "equity"]), "scenario string, events long, opened long, equity double", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "scenario", "events", "opened"], ["equity"])
 
 
 def _risk(f):
@@ -299,7 +298,7 @@ def _risk(f):
     return pd.DataFrame(out, columns=["seq", "ok", "reason"])
 
 
-add("risk_decisions", _kernel(_risk, "seq long, ok boolean, reason string", source=_sim_ticks), None, ["series", "seq", "ok", "reason"])
+add("risk_decisions", _kernel(_risk, "seq long, ok boolean, reason string", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "seq", "ok", "reason"])
 add("intent_states", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "state": SM.intent_states(np.where(np.abs(f["r"]) > 1, f["r"], 0), 3, 2)}), "t long, state string"), None, ["series", "t", "state"])
 
 

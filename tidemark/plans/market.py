@@ -172,8 +172,8 @@ def _store(spark, sf_dir):
     return ST.DataStore(spark, {"ticks_view": t, "bars_1h": bars(spark, sf_dir)}, max_rows=1_000_000_000)
 
 
-add("range_load", lambda s, d: _store(s, d).load("ticks_view", _A, _Z, ["series", "seq", "timestamp", "mid"], limit=500, order=["timestamp", "seq"]).select("series", "seq", "mid"),
-    with_("SELECT series, seq, mid FROM ticks WHERE ts >= '2024-01-05' AND ts < '2024-01-12 06:00' ORDER BY ts, seq LIMIT 500", TICKS_SQL), ["series", "seq"], ["mid"])
+add("range_load", lambda s, d: _store(s, d).load("ticks_view", _A, _Z, ["series", "seq", "timestamp", "mid"], order=["timestamp", "seq"]).select("series", "seq", "mid"),
+    with_("SELECT series, seq, mid FROM ticks WHERE ts >= '2024-01-05' AND ts < '2024-01-12 06:00'", TICKS_SQL), ["series", "seq"], ["mid"])
 add("tick_span", lambda s, d: _store(s, d).span("ticks_view").select(F.unix_timestamp("first").alias("first_t"), F.unix_timestamp("last").alias("last_t")),
     with_("SELECT epoch(date_trunc('second', min(ts)))::BIGINT AS first_t, epoch(date_trunc('second', max(ts)))::BIGINT AS last_t FROM ticks", TICKS_SQL), ["first_t", "last_t"])
 _CUBE = "SELECT series, hour(timestamp) AS hour, GROUPING(series) AS gs, count(*) AS n, avg(close) AS mean_close FROM {} WHERE tick_count >= {} GROUP BY GROUPING SETS ((series, hour(timestamp)), (series), ())"
@@ -409,12 +409,12 @@ add("join_asof", _asof, with_("SELECT l.seq, r.cseq AS asof_cseq, r.cmid AS asof
 
 def _first_after(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    e = t.where("seq % 20 = 0").select("series", C("seq").alias("order_id"), C("ts").alias("arrival"), (C("ts") + F.expr("INTERVAL 45 MINUTES")).alias("expiry"))
+    e = t.select("series", C("seq").alias("order_id"), C("ts").alias("arrival"), (C("ts") + F.expr("INTERVAL 45 MINUTES")).alias("expiry"))
     return J.first_after(e, t.select("series", "ts", "bid", "ask"), "arrival", "expiry", "ts", SERIES, "order_id", 3600).select("series", "order_id", F.unix_timestamp("fill_ts").alias("fill_t"), "fill_bid", "fill_ask")
 
 
 add("join_first_quote_after", _first_after, with_("""SELECT e.series, e.seq AS order_id, epoch(date_trunc('second', min(q.ts)))::BIGINT AS fill_t, arg_min(q.bid, row(q.ts, q.bid)) AS fill_bid, arg_min(q.ask, row(q.ts, q.bid)) AS fill_ask
-  FROM (SELECT * FROM ticks WHERE seq % 20 = 0) e LEFT JOIN ticks q ON q.series = e.series AND q.ts > e.ts AND q.ts < e.ts + INTERVAL 45 MINUTE GROUP BY 1, 2""", TICKS_SQL), ["series", "order_id", "fill_t"], ["fill_bid", "fill_ask"])
+  FROM ticks e LEFT JOIN ticks q ON q.series = e.series AND q.ts > e.ts AND q.ts < e.ts + INTERVAL 45 MINUTE GROUP BY 1, 2""", TICKS_SQL), ["series", "order_id", "fill_t"], ["fill_bid", "fill_ask"])
 add("join_purge", lambda s, d: J.purge(ticks(s, d).select("seq", (C("ts") + F.expr("INTERVAL 6 HOURS")).alias("label_end"), (C("ts") + F.expr("INTERVAL 1 HOURS") * (C("seq") % 9)).alias("published")), "label_end", "published", F.lit(dt.datetime(2024, 1, 10))).select("seq"),
     with_("SELECT seq FROM ticks WHERE ts + INTERVAL 6 HOUR < '2024-01-10' AND ts + INTERVAL 1 HOUR * (seq % 9) < '2024-01-10'", TICKS_SQL), ["seq"])
 

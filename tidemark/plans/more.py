@@ -78,16 +78,16 @@ add("population_stability", lambda s, d: A.population_stability(returns(s, d).wh
     with_("SELECT sum((b - a) * ln(b / a)) AS psi FROM (SELECT k, greatest(count(*) FILTER (WHERE s = 'view') / sum(count(*) FILTER (WHERE s = 'view')) OVER (), 1e-6) AS a, greatest(count(*) FILTER (WHERE s = 'click') / sum(count(*) FILTER (WHERE s = 'click')) OVER (), 1e-6) AS b FROM (SELECT series AS s, len(list_filter((SELECT quantile_cont(r, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM returns WHERE series = 'view'), lambda e: e <= r)) AS k FROM returns WHERE r IS NOT NULL AND series IN ('view', 'click')) GROUP BY 1)", RETURNS_SQL), [], ["psi"])
 add("loss_comparison", lambda s, d: A.loss_comparison(predictions(s, d).select("series", "t", ((C("p") - C("up")) ** 2).alias("a"), F.lit(0.25).alias("b")), "a", "b", SERIES),
     with_("SELECT series, count(*) AS n, avg((1 / (1 + exp(-close / 100 + 1)) - (r > 0)::INT) ** 2 - 0.25) AS mean_difference, avg(((1 / (1 + exp(-close / 100 + 1)) - (r > 0)::INT) ** 2 < 0.25)::INT) AS better_share FROM returns WHERE r IS NOT NULL GROUP BY 1", RETURNS_SQL), ["series", "n"], ["mean_difference", "better_share"])
-add("causal_quantile_buckets", lambda s, d: _causal_buckets(s, d), with_("""SELECT t, (v > q[1] OR v = q[1])::INT + (v >= q[2])::INT + (v >= q[3])::INT AS bucket FROM (SELECT t, r AS v, week(timestamp) AS p FROM returns WHERE series = 'view' AND r IS NOT NULL) JOIN
-  (SELECT p.p, count(*) AS h, quantile_cont(v.r, [0.25, 0.5, 0.75]) AS q FROM (SELECT DISTINCT week(timestamp) AS p FROM returns) p JOIN (SELECT week(timestamp) AS p, r FROM returns WHERE series = 'view' AND r IS NOT NULL) v ON v.p < p.p GROUP BY 1) USING (p) WHERE h >= 20""", RETURNS_SQL), ["t", "bucket"])
+add("causal_quantile_buckets", lambda s, d: _causal_buckets(s, d), with_("""SELECT series, t, (v > q[1] OR v = q[1])::INT + (v >= q[2])::INT + (v >= q[3])::INT AS bucket FROM (SELECT series, t, r AS v, week(timestamp) AS p FROM returns WHERE r IS NOT NULL) JOIN
+  (SELECT p.p, count(*) AS h, quantile_cont(v.r, [0.25, 0.5, 0.75]) AS q FROM (SELECT DISTINCT week(timestamp) AS p FROM returns) p JOIN (SELECT week(timestamp) AS p, r FROM returns WHERE r IS NOT NULL) v ON v.p < p.p GROUP BY 1) USING (p) WHERE h >= 20""", RETURNS_SQL), ["series", "t", "bucket"])
 
 
 def _causal_buckets(spark, sf_dir):
     from tidemark.functions import scalar as S
 
-    r = returns(spark, sf_dir).where("series = 'view' AND r IS NOT NULL")
+    r = returns(spark, sf_dir).where("r IS NOT NULL")
     q = A.expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.25, 0.5, 0.75), 20)
-    return r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period").select(T0(), S.edge_bucket(C("r"), C("q")).alias("bucket"))
+    return r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period").select("series", T0(), S.edge_bucket(C("r"), C("q")).alias("bucket"))
 
 
 def _scaled(spark, sf_dir):

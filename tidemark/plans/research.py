@@ -86,7 +86,7 @@ add("period_stability", _stability, with_("SELECT week(timestamp)::BIGINT AS per
 
 
 def _conditional(spark, sf_dir):
-    r = returns(spark, sf_dir).where("series = 'view' AND r IS NOT NULL").select("series", "timestamp", "r")
+    r = returns(spark, sf_dir).where("r IS NOT NULL").select("series", "timestamp", "r")
     b = in_blocks(r, 0, 4)
     up = {h: F.sum("r").over(BW().rowsBetween(1, h)) for h in (1, 4)}
     o = O.own_rows(b.select("*", *[F.when(WN.has_future(BW(), h), c).alias(f"f{h}") for h, c in up.items()]))
@@ -96,7 +96,7 @@ def _conditional(spark, sf_dir):
 add("conditional_returns", _conditional, with_("""SELECT bucket, horizon::INT AS horizon, count(y) AS n, avg(y) AS mean, median(y) AS median, stddev_samp(y) AS std, avg((y > 0)::INT) AS p_up, avg((y * turn > 0)::INT) AS reversal, stddev_samp(y) / sqrt(count(y)) AS se
   FROM (SELECT *, CASE WHEN bucket LIKE '<%' THEN 1 ELSE -1 END AS turn FROM (SELECT r, unnest(['<=q0.05', '<=q0.1', '>=q0.9', '>=q0.95']) AS bucket, unnest([r <= a, r <= b, r >= c, r >= e]) AS hit, f1, f4 FROM (
     SELECT *, quantile_cont(r, 0.05) OVER () AS a, quantile_cont(r, 0.1) OVER () AS b, quantile_cont(r, 0.9) OVER () AS c, quantile_cont(r, 0.95) OVER () AS e FROM (
-      SELECT r, lead(r) OVER (ORDER BY t) AS f1, CASE WHEN count(*) OVER w = 4 THEN sum(r) OVER w END AS f4 FROM returns WHERE series = 'view' AND r IS NOT NULL WINDOW w AS (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)))) WHERE hit),
+      SELECT r, lead(r) OVER (PARTITION BY series ORDER BY t) AS f1, CASE WHEN count(*) OVER w = 4 THEN sum(r) OVER w END AS f4 FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)))) WHERE hit),
   LATERAL (SELECT unnest([1, 4]) AS horizon, unnest([f1, f4]) AS y) WHERE y IS NOT NULL GROUP BY 1, 2""", RETURNS_SQL), ["bucket", "horizon", "n"], ["mean", "median", "std", "p_up", "reversal", "se"])
 
 
@@ -251,15 +251,15 @@ def _conditioned(spark, sf_dir):
 
 
 def _expanding(spark, sf_dir):
-    r = returns(spark, sf_dir).where("series = 'view'")
+    r = returns(spark, sf_dir)
     q = A.expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.05, 0.95), 20)
     j = r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period", "left")
-    return j.select(T0(), S.clip(C("r"), C("q")[0], C("q")[1]).alias("clipped"), F.when(C("q").isNotNull(), C("r")).alias("r"))
+    return j.select("series", T0(), S.clip(C("r"), C("q")[0], C("q")[1]).alias("clipped"), F.when(C("q").isNotNull(), C("r")).alias("r"))
 
 
-add("winsorize_causal", lambda s, d: _expanding(s, d).where("r IS NOT NULL").select("t", "clipped"), with_("""SELECT t, greatest(least(r, hi), lo) AS clipped FROM (SELECT *, week(timestamp) AS p FROM returns WHERE series = 'view') JOIN
-  (SELECT p.p, count(v.r) AS h, quantile_cont(v.r, 0.05) AS lo, quantile_cont(v.r, 0.95) AS hi FROM (SELECT DISTINCT week(timestamp) AS p FROM returns WHERE series = 'view') p JOIN (SELECT week(timestamp) AS p, r FROM returns WHERE series = 'view' AND r IS NOT NULL) v ON v.p < p.p GROUP BY 1) USING (p)
-  WHERE h >= 20 AND r IS NOT NULL""", RETURNS_SQL), ["t"], ["clipped"])
+add("winsorize_causal", lambda s, d: _expanding(s, d).where("r IS NOT NULL").select("series", "t", "clipped"), with_("""SELECT series, t, greatest(least(r, hi), lo) AS clipped FROM (SELECT *, week(timestamp) AS p FROM returns) JOIN
+  (SELECT p.p, count(v.r) AS h, quantile_cont(v.r, 0.05) AS lo, quantile_cont(v.r, 0.95) AS hi FROM (SELECT DISTINCT week(timestamp) AS p FROM returns) p JOIN (SELECT week(timestamp) AS p, r FROM returns WHERE r IS NOT NULL) v ON v.p < p.p GROUP BY 1) USING (p)
+  WHERE h >= 20 AND r IS NOT NULL""", RETURNS_SQL), ["series", "t"], ["clipped"])
 
 # Quality, drift, agreement, runs.
 add("missing_shares", lambda s, d: A.missing_shares(scored(s, d).withColumn("week", F.weekofyear("timestamp")), ["mom", "vol"], [[], ["series"], ["week"]]),
@@ -320,12 +320,12 @@ add("regression_metrics", lambda s, d: A.regression_metrics(predictions(s, d), "
 
 
 def _performance(spark, sf_dir):
-    d = returns(spark, sf_dir).where("series = 'view' AND r IS NOT NULL").withColumn("s", F.tanh("r") / 50)
+    d = returns(spark, sf_dir).where("r IS NOT NULL").groupBy("timestamp").agg(F.avg(F.tanh("r") / 50).alias("s"))  # all series alike
     return A.performance(d, "s", W.orderBy("timestamp"), 24 * 365)
 
 
 add("performance", _performance, with_("""SELECT count(*) AS n, exp(sum(ln(1 + s))) - 1 AS total_return, stddev_samp(s) * sqrt(8760) AS volatility, avg(s) * sqrt(8760) / stddev_samp(s) AS sharpe, min(e / greatest(1, pk) - 1) AS max_drawdown FROM
-  (SELECT *, max(e) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT t, s, exp(sum(ln(1 + s)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS e FROM (SELECT t, (exp(2 * r) - 1) / (exp(2 * r) + 1) / 50 AS s FROM returns WHERE series = 'view' AND r IS NOT NULL)))""", RETURNS_SQL), ["n"], ["total_return", "volatility", "sharpe", "max_drawdown"])
+  (SELECT *, max(e) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT t, s, exp(sum(ln(1 + s)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS e FROM (SELECT t, avg((exp(2 * r) - 1) / (exp(2 * r) + 1) / 50) AS s FROM returns WHERE r IS NOT NULL GROUP BY t)))""", RETURNS_SQL), ["n"], ["total_return", "volatility", "sharpe", "max_drawdown"])
 add("pnl_concentration", lambda s, d: A.concentration(returns(s, d).where("r IS NOT NULL"), "r", 20), with_("SELECT count(*) AS trades, sum(r) AS total, sum(CASE WHEN r > 0 THEN r END) AS gains, sum(r * r) / sum(abs(r)) ** 2 AS herfindahl, (SELECT sum(r) FROM (SELECT r FROM returns WHERE r IS NOT NULL ORDER BY r DESC LIMIT 20)) AS best FROM returns WHERE r IS NOT NULL", RETURNS_SQL), ["trades"], ["total", "gains", "herfindahl", "best"])
 
 # Ordering, thinning, multiple testing.
@@ -360,6 +360,4 @@ def _dups(t):
     return K.near_duplicates_out(t, p, "seq", "rk")
 
 
-# The SQL of the first holds 200 ticks; the second takes all of them.
-add("near_duplicates_out", lambda s, d: _dups(ticks(s, d).where("seq < 200")), with_("SELECT seq, seq % 7 AS rk FROM ticks WHERE seq < 200 AND NOT (seq % 10 = 0 AND seq + 3 < 200 AND seq % 7 > (seq + 3) % 7) AND NOT (seq % 10 = 3 AND seq % 7 > (seq - 3) % 7)", TICKS_SQL), ["seq", "rk"])
-add("near_duplicates_out_all", lambda s, d: _dups(ticks(s, d)), None, ["seq", "rk"])
+add("near_duplicates_out", lambda s, d: _dups(ticks(s, d)), with_("SELECT seq, seq % 7 AS rk FROM ticks WHERE NOT (seq % 10 = 0 AND seq + 3 IN (SELECT seq FROM ticks) AND seq % 7 > (seq + 3) % 7) AND NOT (seq % 10 = 3 AND seq - 3 IN (SELECT seq FROM ticks) AND seq % 7 > (seq - 3) % 7)", TICKS_SQL), ["seq", "rk"])

@@ -130,9 +130,10 @@ def to_canonical(raw: DataFrame, fmt: TickFormat) -> DataFrame:
 
 
 def source_index(lines: DataFrame, key: Column) -> DataFrame:
-    """``key, lines, content``: lines of every partition key and an order-free content hash; lines without a key count
-    under null."""
-    return lines.groupBy(key.alias("key")).agg(F.count("*").alias("lines"), F.bit_xor(F.xxhash64("value")).alias("content"))
+    """``key, lines, content``: lines of every partition key and an order-free content hash, a sum, in which equal lines do
+    not cancel; lines without a key count under null."""
+    content = F.sum(F.xxhash64("value").cast("decimal(20,0)")).cast("string")
+    return lines.groupBy(key.alias("key")).agg(F.count("*").alias("lines"), content.alias("content"))
 
 
 def ordering_report(rows: DataFrame, ts: str, seq: str, series: list[str]) -> DataFrame:
