@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.operators.ranking import status_rules
 
 
 @dataclass(frozen=True)
@@ -20,17 +23,13 @@ class ExecutionRules:
     cash: float = 10_000.0
 
 
-def decide(forecast: float | None, spread: float, threshold: float, max_spread: float, open_session: bool = True) -> tuple[int, str]:
-    """Side by the forecast's sign, or 0 with the reason of refusal."""
-    if forecast is None or not math.isfinite(forecast):
-        return 0, "no_forecast"
-    if not open_session:
-        return 0, "session_closed"
-    if spread > max_spread:
-        return 0, "wide_spread"
-    if abs(forecast) < threshold:
-        return 0, "weak_signal"
-    return (1 if forecast > 0 else -1), "ok"
+def decide(forecast: Column, spread: Column, threshold: float, max_spread: float, open_session: Column | None = None) -> tuple[Column, Column]:
+    """Side by the forecast's sign, or 0, and the reason of refusal or ``ok``."""
+    missing = forecast.isNull() | F.isnan(forecast) | (F.abs(forecast) == float("inf"))
+    closed = F.lit(False) if open_session is None else ~F.coalesce(open_session, F.lit(False))
+    rules = [(missing, "no_forecast"), (closed, "session_closed"), (spread > max_spread, "wide_spread"), (F.abs(forecast) < threshold, "weak_signal")]
+    reason = status_rules(rules, "ok")
+    return F.when(reason == "ok", F.when(forecast > 0, 1).otherwise(-1)).otherwise(0), reason
 
 
 def run_engine(ts: np.ndarray, bid: np.ndarray, ask: np.ndarray, order_ts: np.ndarray, order_side: np.ndarray, rules: ExecutionRules = ExecutionRules()) -> tuple[list[dict], list[dict]]:
@@ -87,10 +86,15 @@ class Scenario:
     missed: float = 0.0
     seed: int = 7
 
-    def quotes(self, ts, bid, ask):
+    def widen(self, bid, ask):
+        """Bid and ask with the spread multiplied about their middle, of columns or of arrays."""
         mid, half = (bid + ask) / 2, (ask - bid) / 2 * self.spread
+        return mid - half, mid + half
+
+    def quotes(self, ts, bid, ask):
+        bid, ask = self.widen(bid, ask)
         keep = np.ones(len(ts), bool) if self.outage is None else ~((ts >= self.outage[0]) & (ts < self.outage[1]))
-        return ts[keep], (mid - half)[keep], (mid + half)[keep]
+        return ts[keep], bid[keep], ask[keep]
 
     def orders(self, ts, side):
         keep = np.random.default_rng(self.seed).random(len(ts)) >= self.missed

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import ordering as O
 from tidemark.operators.bars import month_block
 from tidemark.operators.validate import iso_weekday
 
@@ -164,13 +165,9 @@ def circular(df: DataFrame, angle: str, by: list[str]) -> DataFrame:
 
 def rank_scores(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
     """``df`` with (average rank - 1/2) / n over present values; missing stays missing. The order is taken from counts of
-    distinct values, so hot values are one row."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*by, F.lit(0)).orderBy(x)
-    placed = counts.select(
-        *by, F.col(x).alias("__x"), F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"), "__c",
-        F.sum("__c").over(W.partitionBy(*by, F.lit(0))).alias("__n"),
-    )
+    distinct values, so hot values are one row, and within parts of a group."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("__x")).agg(F.count("*").alias("__c"))
+    placed = O.counts_below(counts, by, "__x", "__c")
     score = (F.col("__below") + (F.col("__c") + 1) / 2.0 - 0.5) / F.col("__n")
     ranked = placed.select(*[F.col(b).alias(f"__by_{b}") for b in by], "__x", score.alias(name))
     on = df[x] == F.col("__x")
@@ -184,10 +181,8 @@ def rank_scores_of(df: DataFrame, columns: list[str], by: list[str], key: list[s
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in columns])).alias("__s")
     long = df.select(*key, cells).select(*key, "__s.*").where(F.col("__x").isNotNull())
     counts = long.groupBy(*by, "__col", "__x").agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*by, "__col").orderBy("__x")
-    below = F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__c").over(W.partitionBy(*by, "__col"))
-    ranks = counts.select(*by, "__col", "__x", ((below + (F.col("__c") + 1) / 2.0 - 0.5) / total).alias("__score"))
+    score = (F.col("__below") + (F.col("__c") + 1) / 2.0 - 0.5) / F.col("__n")
+    ranks = O.counts_below(counts, [*by, "__col"], "__x", "__c").select(*by, "__col", "__x", score.alias("__score"))
     wide = long.join(ranks, [*by, "__col", "__x"]).groupBy(*key).pivot("__col", columns).agg(F.first("__score"))
     return df.join(wide.withColumnsRenamed({c: f"{prefix}{c}" for c in columns}), key, "left")
 
@@ -341,14 +336,32 @@ def transition_counts(df: DataFrame, label: str, w) -> DataFrame:
     return df.select(F.col(label).alias("from"), nxt.alias("to")).where("`from` >= 0 AND `to` >= 0").groupBy("from", "to").agg(F.count("*").alias("n"))
 
 
-def run_lengths(df: DataFrame, label: str, series: list[str], order: list[str]) -> DataFrame:
-    """Maximal constant runs; -1 breaks a run and is left out; runs that touch an end of the series are censored."""
-    w = W.partitionBy(*series).orderBy(*order)
-    c = df.withColumn("__c", F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("__c").over(w))
-    g = c.groupBy(*series, "run").agg(F.first(label).alias("label"), F.count("*").alias("length"), F.min(F.struct(*order)).alias("start"))
-    ends = W.partitionBy(*series)
-    edge = (F.col("run") == F.min("run").over(ends)) | (F.col("run") == F.max("run").over(ends))
-    return g.withColumn("censored", edge).where("label >= 0")
+def run_lengths(df: DataFrame, label: str, series: list[str], order: list[str], bucket: Column, block_rows: int = O.BLOCK_ROWS) -> DataFrame:
+    """Maximal constant runs; -1 breaks a run and is left out; runs that touch an end of the series are censored.
+
+    A run's length is the distance to the next run's first row, found in its block or else from the blocks' first starts,
+    so no window holds a whole series. ``bucket`` must ascend with the order."""
+    starts = F.coalesce(F.col(label) != F.lag(label).over(O.block_window(series)), F.lit(True))
+    rows = O.blocks(df, series, order, bucket, 1, 0, block_rows).select("*", starts.alias("__starts")).where(O.OWN)
+    keys = [*series, O.BLOCK]
+    by_block = rows.groupBy(*keys).agg(
+        F.count_if("__starts").alias("__runs"), F.min(F.when(F.col("__starts"), F.col(O.INDEX))).alias("__first"), F.max(O.INDEX).alias("__last")
+    )
+    w = W.partitionBy(*series, F.lit(0))
+    whole = by_block.select(
+        *keys, F.coalesce(F.sum("__runs").over(w.orderBy(O.BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.min("__first").over(w.orderBy(O.BLOCK).rowsBetween(1, W.unboundedFollowing)).alias("__later"), (F.max("__last").over(w) + 1).alias("__total"),
+    )
+    own = W.partitionBy(*keys).orderBy(O.INDEX)
+    runs = rows.where("__starts").select(
+        *keys, F.col(O.INDEX).alias("__at"), F.col(label).alias("label"), F.struct(*order).alias("start"),
+        F.row_number().over(own).alias("__rn"), F.lead(O.INDEX).over(own).alias("__next"),
+    )
+    end = F.coalesce("__next", "__later", "__total")
+    return O.beside(runs, whole, keys).select(
+        *series, (F.col("__before") + F.col("__rn")).alias("run"), "label", (end - F.col("__at")).alias("length"), "start",
+        ((F.col("__at") == 0) | (end == F.col("__total"))).alias("censored"),
+    ).where("label >= 0")
 
 
 def duration_summary(runs: DataFrame) -> DataFrame:

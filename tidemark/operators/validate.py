@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordering as O
 from tidemark.operators.bars import micros_of, parse_timeframe
 
 #: The checks, in the order in which the first failing one names the reason.
@@ -37,12 +38,13 @@ def _bad_number(c: Column) -> Column:
 
 def flag_ticks(
     ticks: DataFrame, rules: TickRules = TickRules(), *, series: list[str] | None = None, ts: str = "ts", seq: str = "seq",
-    raw_ts: str | None = None, bid: str = "bid", ask: str = "ask", volume: str | None = "volume",
+    raw_ts: str | None = None, bid: str = "bid", ask: str = "ask", volume: str | None = "volume", bucket_rows: int = O.BLOCK_ROWS,
 ) -> DataFrame:
     """``ticks`` with a boolean for every check. A row is compared with the row just before it in source order; of equal
-    times and of equal rows the first in source order is not a duplicate."""
+    times and of equal rows the first in source order is not a duplicate. ``seq`` is a number; the row before is looked for
+    in spans of ``bucket_rows`` of it."""
     series = series or []
-    part = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
+    beside = O.with_previous(ticks, series, [seq], F.floor(F.col(seq).cast("double") / bucket_rows), ts, "__previous")
     t, b, a = F.col(ts), F.col(bid), F.col(ask)
     raw = F.col(raw_ts) if raw_ts else t.cast("string")
     blank = F.trim(F.coalesce(raw, F.lit(""))) == ""
@@ -60,11 +62,11 @@ def flag_ticks(
         "negative_spread": finite & _is(a - b < 0),
         "extreme_spread": finite & _is(a - b > rules.max_spread),
         "invalid_volume": _bad_number(vol) | _is(vol < 0),
-        "non_monotonic": _is(t < F.lag(t).over(part.orderBy(seq))),
+        "non_monotonic": _is(t < F.col("__previous")),
         "duplicate_row": t.isNotNull() & first(t, b, a, vol),
         "duplicate_timestamp": t.isNotNull() & first(t),
     }
-    return ticks.select("*", *[flags[c].alias(c) for c in CHECKS])
+    return beside.select(*ticks.columns, *[flags[c].alias(c) for c in CHECKS])
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
@@ -98,9 +100,9 @@ def clean(flagged: DataFrame, enabled: list[str]) -> tuple[DataFrame, DataFrame]
 
 def tick_gaps(ticks: DataFrame, seconds: float, *, series: list[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Steps between neighbours in time longer than so many seconds."""
-    w = W.partitionBy(*series).orderBy(ts, seq)
-    step = (micros_of(F.col(ts)) - micros_of(F.lag(ts).over(w))) / 1e6
-    return ticks.select(*series, F.lag(ts).over(w).alias("gap_start"), F.col(ts).alias("gap_end"), step.alias("seconds")).where(F.col("seconds") > seconds)
+    beside = O.with_previous(ticks, series, [ts, seq], F.to_date(ts), ts, "gap_start")
+    step = (micros_of(F.col(ts)) - micros_of(F.col("gap_start"))) / 1e6
+    return beside.select(*series, "gap_start", F.col(ts).alias("gap_end"), step.alias("seconds")).where(F.col("seconds") > seconds)
 
 
 def iso_weekday(ts: Column) -> Column:

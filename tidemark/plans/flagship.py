@@ -16,6 +16,7 @@ def hourly_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("event_type", F.date_trunc("hour", "ts").alias("bar"))
         .agg(F.max_by("value", seq).alias("close"))
     )
+    # A series has one row an hour here, so its window grows with the calendar and not with the ticks.
     w = W.partitionBy("event_type").orderBy("bar")
     r = bars.withColumn("r", F.ln(F.try_divide("close", F.lag("close").over(w))))
     back = w.rowsBetween(-11, 0)

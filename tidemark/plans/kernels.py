@@ -82,13 +82,12 @@ _WAVE = ["share_1", "share_2", "share_3", "entropy", "dominant"]
 add("rolling_wavelet", _kernel(lambda f: pd.DataFrame(SP.rolling_wavelet(f["r"].to_numpy(), 64, "haar", 3)), ", ".join(f"{c} double" for c in _WAVE), 80), None, ["series", "t"], _WAVE)
 
 
-def _haar(spark, sf_dir):
-    b = in_blocks(_rows(spark, sf_dir), 3)
-    lag = lambda k: F.lag("r", k).over(BW())
-    return O.own_rows(b.select("*", ((C("r") - lag(1)) / 2).alias("w1"), ((C("r") + lag(1) - lag(2) - lag(3)) / 4).alias("w2"))).select("series", T0(), "w1", "w2")
+def _haar(f):
+    w, full = SP.causal_modwt(f["r"].to_numpy(), "haar", 2)
+    return pd.DataFrame({f"w{k + 1}": np.where(full[k], w[k], np.nan) for k in range(2)})
 
 
-add("causal_modwt_haar", _haar, with_("SELECT series, t, (r - lag(r) OVER w) / 2 AS w1, (r + lag(r) OVER w - lag(r, 2) OVER w - lag(r, 3) OVER w) / 4 AS w2 FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY t)", RETURNS_SQL), ["series", "t"], ["w1", "w2"])
+add("causal_modwt_haar", _kernel(_haar, "w1 double, w2 double", 3), with_("SELECT series, t, (r - lag(r) OVER w) / 2 AS w1, (r + lag(r) OVER w - lag(r, 2) OVER w - lag(r, 3) OVER w) / 4 AS w2 FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY t)", RETURNS_SQL), ["series", "t"], ["w1", "w2"])
 add("wavelet_multiresolution", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), **{f"d{k}": v for k, v in enumerate(SP.multiresolution(np.log(f["close"].to_numpy()), "sym4", 3))}}), "t long, d0 double, d1 double, d2 double, d3 double"), None, ["series", "t"], ["d0", "d1", "d2", "d3"])
 add("cwt_ridges", _kernel(lambda f: pd.DataFrame([(a, b, float(np.mean(p))) for a, b, p in SP.ridges(SP.morlet_scalogram(f["r"].to_numpy(), np.geomspace(4, 64, 16)), 2.0, 12)], columns=["start", "end", "scale"]), "start long, end long, scale double"), None, ["series", "start", "end"], ["scale"])
 add("spectral_extrapolation", _kernel(lambda f: pd.DataFrame(SP.extrapolation_errors(np.log(f["close"].to_numpy()), np.arange(63, len(f), 16), 64, 3, (1, 4)), columns=["horizon", "windows", "rmse", "naive"]), "horizon long, windows long, rmse double, naive double"), None, ["series", "horizon", "windows"], ["rmse", "naive"])
@@ -270,9 +269,8 @@ add("level_intervals_cusum", _kernel(_filters, "t long, level double, variance d
 
 def _orders(f, scenario=SM.Scenario()):
     t = f["timestamp"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-    at = np.flatnonzero(f["seq"].to_numpy() % 9 == 0)
-    side = np.where(f["mid"].to_numpy()[at] > 100, -1, 1)
-    q, o = scenario.quotes(t, f["bid"].to_numpy(), f["ask"].to_numpy()), scenario.orders(t[at], side)
+    side = np.where(f["mid"].to_numpy() > 100, -1, 1)  # every tick is an order
+    q, o = scenario.quotes(t, f["bid"].to_numpy(), f["ask"].to_numpy()), scenario.orders(t, side)
     return SM.run_engine(*q, *o, scenario.rules(SM.ExecutionRules(latency=1, expiry=7200, max_gap=14_400, holding=3 * 3600, commission=0.01)))
 
 
@@ -284,7 +282,7 @@ _FILL = "ts double, kind string, order long, side long, price double"
 add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "kind", "order", "side"], ["ts", "price"])
 add("execution_marks", _kernel(lambda f: pd.DataFrame(_orders(f)[1]), "ts double, equity double, drawdown double, position long", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "position"], ["ts", "equity", "drawdown"])
 _STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Scenario(latency=600.0), "outage": SM.Scenario(outage=(1704500000.0, 1704800000.0)), "missed": SM.Scenario(missed=0.3)}
-add("execution_stress", _kernel(lambda f: pd.DataFrame([(k, len(x := _orders(f, s)[0]), x and sum(y["kind"] == "open" for y in x), _orders(f, s)[1][-1]["equity"]) for k, s in _STRESS.items()], columns=["scenario", "events", "opened", "equity"]), "scenario string, events long, opened long, equity double", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "scenario", "events", "opened"], ["equity"])
+add("execution_stress", _kernel(lambda f: pd.DataFrame([(k, len(fills), sum(y["kind"] == "open" for y in fills), marks[-1]["equity"] if marks else np.nan) for k, s in _STRESS.items() for fills, marks in [_orders(f, s)]], columns=["scenario", "events", "opened", "equity"]), "scenario string, events long, opened long, equity double", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "scenario", "events", "opened"], ["equity"])
 
 
 def _risk(f):
@@ -303,15 +301,19 @@ add("intent_states", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype(
 
 
 def _decisions(spark, sf_dir):
-    from tidemark.operators.ranking import status_rules
-
-    r = returns(spark, sf_dir)
-    why = status_rules([(C("r").isNull(), "no_forecast"), (C("mean_spread") > 0.045, "wide_spread"), (F.abs("r") < 0.3, "weak_signal")], "ok")
-    return r.select("series", T0(), why.alias("reason")).join(r.select("series", T0(), "r"), ["series", "t"]).select("series", "t", "reason", F.when(C("reason") == "ok", F.signum("r").cast("int")).otherwise(0).alias("side"))
+    side, reason = SM.decide(C("r"), C("mean_spread"), 0.3, 0.045)
+    return returns(spark, sf_dir).select("series", T0(), reason.alias("reason"), side.alias("side"))
 
 
 add("policy_decisions", _decisions, with_("SELECT series, t, reason, CASE WHEN reason = 'ok' THEN sign(r)::INT ELSE 0 END AS side FROM (SELECT *, CASE WHEN r IS NULL THEN 'no_forecast' WHEN mean_spread > 0.045 THEN 'wide_spread' WHEN abs(r) < 0.3 THEN 'weak_signal' ELSE 'ok' END AS reason FROM returns)", RETURNS_SQL), ["series", "t", "reason", "side"])
-add("stress_quotes", lambda s, d: ticks(s, d).select("series", "seq", (C("mid") - C("spread") * 1.5).alias("bid"), (C("mid") + C("spread") * 1.5).alias("ask")), with_("SELECT series, seq, mid - spread * 1.5 AS bid, mid + spread * 1.5 AS ask FROM ticks", TICKS_SQL), ["series", "seq"], ["bid", "ask"])
+
+
+def _stressed(t):
+    bid, ask = SM.Scenario(spread=3.0).widen(C("bid"), C("ask"))
+    return t.select("series", "seq", bid.alias("bid"), ask.alias("ask"))
+
+
+add("stress_quotes", lambda s, d: _stressed(ticks(s, d)), with_("SELECT series, seq, mid - spread * 1.5 AS bid, mid + spread * 1.5 AS ask FROM ticks", TICKS_SQL), ["series", "seq"], ["bid", "ask"])
 
 
 def _allocation(spark, sf_dir):
@@ -383,12 +385,22 @@ def _ingested(spark, sf_dir):
     poll = F.explode(F.when(C("seq") % 50 == 49, F.array(F.floor(C("seq") / 50), F.floor(C("seq") / 50) + 1)).otherwise(F.array(F.floor(C("seq") / 50)))).alias("batch")
     rows = t.select(F.lit("all").alias("series"), poll, "seq", "ts", (C("mid") - 0.01).alias("bid"), (C("mid") + 0.01).alias("ask"), (C("ts") + F.expr("INTERVAL 1 SECOND") * F.when(C("seq") % 500 == 3, -10).otherwise(1)).alias("received"))
     at = _shared(spark)
-    return SB.replay(SB.ingest(rows), f"{at}/out", f"{at}/state").groupBy("status").agg(F.count("*").alias("n"))
+    return SB.replay(SB.ingest(rows), f"{at}/out", f"{at}/state").groupBy("seq", "status").agg(F.count("*").alias("n"))
+
+
+add("stream_ingest_overlap", _ingested, with_("SELECT seq, CASE WHEN seq % 500 = 3 THEN 'future' ELSE 'new' END AS status, 1::BIGINT AS n FROM ticks UNION ALL SELECT seq, 'repeat', 1 FROM ticks WHERE seq % 50 = 49", TICKS_SQL), ["seq", "status", "n"])
+
+
+def _equal(spark, sf_dir):
+    """Bars by which of the two runs has them: only one, or both."""
+    run = _replayed(lambda t: SB.stream_bars(t, "1h", "10 minutes"))(spark, sf_dir)
+    batch = bars(spark, sf_dir).where(F.unix_timestamp("timestamp") + 3600 <= F.lit(_last(spark, sf_dir)) - 600).select(*run.columns)
+    parted = SB.compare_runs(run, batch).select("only_in", *run.columns)
+    return parted.union(run.intersectAll(batch).select(F.lit("neither").alias("only_in"), *run.columns)).select("*", T0())
 
 
-add("stream_ingest_overlap", _ingested, with_("SELECT 'new' AS status, count(*) FILTER (WHERE seq % 500 <> 3) AS n FROM ticks UNION ALL SELECT 'future', count(*) FILTER (WHERE seq % 500 = 3) FROM ticks UNION ALL SELECT 'repeat', count(*) FILTER (WHERE seq % 50 = 49) FROM ticks", TICKS_SQL), ["status", "n"])
-add("stream_equals_batch", lambda s, d: SB.compare_runs(_replayed(lambda t: SB.stream_bars(t, "1h", "10 minutes"))(s, d), bars(s, d).where(F.unix_timestamp("timestamp") + 3600 <= F.lit(_last(s, d)) - 600).select("series", "timestamp", "open", "high", "low", "close", "tick_count")).groupBy("only_in").agg(F.count("*").alias("n")),
-    "SELECT 'x' AS only_in, 0::BIGINT AS n WHERE false", ["only_in", "n"])
+add("stream_equals_batch", _equal, with_("SELECT 'neither' AS only_in, series, t, tick_count, open, high, low, close FROM bars WHERE t + 3600 <= (SELECT epoch(max(ts)) FROM ticks) - 600", BARS_SQL),
+    ["only_in", "series", "t", "tick_count"], ["open", "high", "low", "close"])
 
 
 def _last(spark, sf_dir):

@@ -449,11 +449,11 @@ add("join_compare_labels", lambda s, d: J.compare_labels(bars(s, d).select("seri
 def _event_order(spark, sf_dir):
     t = ticks(spark, sf_dir)
     q = t.select("series", "ts", F.lit(1).alias("kind"), "seq", "bid")
-    c = t.where("seq % 7 = 0").select("series", "ts", F.lit(0).alias("kind"), "seq", C("mid").alias("signal"))
+    c = t.select("series", "ts", F.lit(0).alias("kind"), "seq", C("mid").alias("signal"))
     e = J.event_order([q, c], "ts", "kind", "seq")
     w = W.partitionBy("series").orderBy("event_key")
     return e.select("series", "seq", "kind", F.row_number().over(w).alias("n"), F.last("signal", ignorenulls=True).over(w).alias("standing"))
 
 
 add("join_event_order", _event_order, with_("""SELECT series, seq, kind::INT AS kind, row_number() OVER (PARTITION BY series ORDER BY ts, kind, seq)::INT AS n, last_value(sig IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts, kind, seq) AS standing
-  FROM (SELECT series, ts, 1 AS kind, seq, NULL::DOUBLE AS sig FROM ticks UNION ALL SELECT series, ts, 0, seq, mid FROM ticks WHERE seq % 7 = 0)""", TICKS_SQL), ["series", "seq", "kind", "n"], ["standing"])
+  FROM (SELECT series, ts, 1 AS kind, seq, NULL::DOUBLE AS sig FROM ticks UNION ALL SELECT series, ts, 0, seq, mid FROM ticks)""", TICKS_SQL), ["series", "seq", "kind", "n"], ["standing"])
