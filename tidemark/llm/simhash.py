@@ -196,13 +196,19 @@ class ShingleSets:
         self.shared = None
 
     def _index(self) -> None:
+        """Rows and columns of the shingles that several rows have, in order of column; one sort, and 32 bits a number."""
         flat = np.concatenate(self.sets)
-        row = np.repeat(np.arange(len(self.sets)), self.sizes)
-        values, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-        names = np.cumsum(n > 1) - 1
-        on = n[back] > 1
-        self.shared, self.width = (row[on], names[back[on]]), int((n > 1).sum())
-        self.by = np.argsort(self.shared[1], kind="stable")
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        again = flat[1:] == flat[:-1]
+        on = np.zeros(len(flat), bool)
+        on[1:] |= again
+        on[:-1] |= again
+        flat = flat[on]
+        first = np.ones(len(flat), bool)
+        first[1:] = flat[1:] != flat[:-1]
+        row = np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order[on]]
+        self.shared, self.width = (row, np.cumsum(first, dtype=np.int32) - 1), int(first.sum())
 
     def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
         """Which pairs of rows are at least so similar."""
@@ -213,8 +219,8 @@ class ShingleSets:
                 self._index()
             (left, la), (right, lb) = (np.unique(x, return_inverse=True) for x in (a, b))
             total = np.zeros((len(left), len(right)), np.float32)
-            place = np.full(len(self.sets), -1)
-            rows, cols = self.shared[0][self.by], self.shared[1][self.by]
+            place = np.full(len(self.sets), -1, np.int32)
+            rows, cols = self.shared
             step = max(1, self.CELLS // (len(left) + len(right)))
             for low in range(0, self.width, step):
                 span = slice(*np.searchsorted(cols, [low, low + step]))
