@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Passed, piece_splitter, ship, slices
+from tidemark.llm.common import Passed, piece_splitter, ship, slices, tidy
 
 #: Pieces up to this many bytes go through the matrices.
 MATRIX_BYTES = 256
@@ -224,7 +224,7 @@ def _mapped(df: DataFrame, source: str, keep_source: bool, made: tuple[str, ...]
                 cols += [pa.array(x, pa.binary()) for x in step(values[a:b])]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return read.mapInArrow(run, schema).select(*p.back, *made)
+    return read.mapInArrow(tidy(run), schema).select(*p.back, *made)
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release() -> None:
+    """Gives memory that Python, NumPy and Arrow have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``kernel`` releasing its memory at the end: a Python worker lives on after its task, beside the next stage's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Passed:
     """Columns that an operator passes through, whatever they are called.
 
@@ -146,7 +168,6 @@ def key_filter(df: DataFrame, column: str, bits: int = KEY_FILTER_BITS) -> bytes
     import zlib
 
     import numpy as np
-    import pyarrow as pa
 
     names = ["part", "bits"]
 
@@ -171,9 +192,9 @@ def key_filter(df: DataFrame, column: str, bits: int = KEY_FILTER_BITS) -> bytes
         yield from emit(held.items())
 
     ship(df.sparkSession)
-    marks = df.select(F.col(column).cast("long").alias("k")).mapInArrow(mark, "part int, bits binary")
+    marks = df.select(F.col(column).cast("long").alias("k")).mapInArrow(tidy(mark), "part int, bits binary")
     out = bytearray(bits // 8)
-    for k, part in marks.repartition(4, "part").mapInArrow(merge, "part int, bits binary").collect():
+    for k, part in marks.repartition(4, "part").mapInArrow(tidy(merge), "part int, bits binary").collect():
         size = bits // 8 // KEY_SLICES
         out[k * size : (k + 1) * size] = zlib.decompress(part)
     return bytes(out)

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Passed, durable, ship
+from tidemark.llm.common import Passed, durable, ship, tidy
 
 PROFILE_SIZE, MAX_N = 400, 3
 #: Languages of one broadcast: about 6 KB each.
@@ -154,7 +154,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
                     held = {k: [v] for k, v in total.items()}
         yield from (rows(k, *v) for k, v in summed().items())
 
-    counts = read.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = read.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = [F.col("n").desc(), F.col("gram")]
     slices = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*best)
     few = counts.withColumn("r", F.row_number().over(slices)).where(F.col("r") <= size)
@@ -209,4 +209,4 @@ def identify(docs: DataFrame, profiles: list[Profiles], text: str = "text") -> D
             cols = [pa.array([f[0] for f in best], pa.string()), pa.array([f[1] for f in best], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *cols], names=schema.names)
 
-    return read.mapInArrow(run, schema).select(*p.back, "lang_pred", "score")
+    return read.mapInArrow(tidy(run), schema).select(*p.back, "lang_pred", "score")

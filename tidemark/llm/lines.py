@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Passed, ship, slices, written
+from tidemark.llm.common import Passed, ship, slices, tidy, written
 
 #: Bits of the filters for every line, of one filter at least and at most, ranges of keys, and slices a filter travels in.
 BITS_PER_LINE, LEAST_BITS, RANGE_BITS, MOST_RANGES, SLICES = 16, 1 << 20, 1 << 28, 16, 64
@@ -133,9 +133,9 @@ def twice_seen(texts: DataFrame, min_chars: int, bits: int, part: int = 0, range
                 [pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["part", "twice"]
             )
 
-    marks = texts.mapInArrow(mark, "part int, once binary, twice binary")
+    marks = texts.mapInArrow(tidy(mark), "part int, once binary, twice binary")
     out = bytearray(bits // 8)
-    for k, part in marks.repartition(16, "part").mapInArrow(merge, "part int, twice binary").collect():
+    for k, part in marks.repartition(16, "part").mapInArrow(tidy(merge), "part int, twice binary").collect():
         out[k * len(part) : (k + 1) * len(part)] = part
     return bytes(out)
 
@@ -181,7 +181,7 @@ def suspected_sums(places: DataFrame, plane, min_chars: int, bits: int, part: in
         if held:
             yield out()
 
-    return places.mapInArrow(run, "key binary, n long, id long, line int")
+    return places.mapInArrow(tidy(run), "key binary, n long, id long, line int")
 
 
 class KnownKeys:
@@ -269,7 +269,7 @@ def line_dedup(
             return run
 
         texts = rows.select("row", order, body)
-        lines = reduce(DataFrame.union, [texts.mapInArrow(lines_of(part), "row long, doc long, k int, key binary") for part in range(ranges)])
+        lines = reduce(DataFrame.union, [texts.mapInArrow(tidy(lines_of(part)), "row long, doc long, k int, key binary") for part in range(ranges)])
         first = (F.col("id") == F.col("doc")) & (F.col("line") == F.col("k")) if keep_first else F.lit(False)
         gone = lines.join(rest, "key").where(~first).groupBy("row").agg(F.collect_list("k").alias("gone"))
         rows = rows.join(gone, "row", "left").drop("row")
@@ -294,5 +294,5 @@ def line_dedup(
                 cols += [pa.array(new, pa.binary()), pa.array(n, pa.int64()), pa.array(less, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    out = source.mapInArrow(drop, schema)
+    out = source.mapInArrow(tidy(drop), schema)
     return out.select(*p.back_with(text, F.col("body").cast("string")), *made)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, written
+from tidemark.llm.common import ship, tidy, written
 
 #: Vectors of a bucket and of a range, queries worked on at a time, vectors that give the first thresholds.
 BUCKET, RANGE, BLOCK, SEEDS = 2_048, 16_384, 4_096, 2_048
@@ -200,7 +200,7 @@ def top_k(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(first), pa.array(last)], names=["id", "dim", "q", "floor", "first", "last"])
 
     asked = ranges.where("asked").select("id", "dim", "q").distinct()
-    routed = asked.mapInArrow(route, "id long, dim int, q array<double>, floor double, first int, last int")
+    routed = asked.mapInArrow(tidy(route), "id long, dim int, q array<double>, floor double, first int, last int")
     visits = routed.select("dim", F.explode(F.sequence("first", "last")).alias("part"), F.lit(True).alias("asks"), "id", "q", F.col("floor").alias("length"))
     rows = ranges.select("dim", "part", F.lit(False).alias("asks"), "id", "q", "length").union(visits)
     ready = rows.repartition("dim", "part").sortWithinPartitions("dim", "part", "asks", F.col("length").desc())
@@ -244,6 +244,6 @@ def top_k(
                         yield from answers()
         yield from answers()
 
-    found = ready.mapInArrow(run, "query_id long, dim int, name long, vec_id long, score long")
+    found = ready.mapInArrow(tidy(run), "query_id long, dim int, name long, vec_id long, score long")
     order = W.partitionBy("dim", "name", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

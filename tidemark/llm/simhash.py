@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Passed, durable, in_key_filter, key_filter, ship, written
+from tidemark.llm.common import Passed, durable, in_key_filter, key_filter, ship, tidy, written
 
 #: Nodes of one BK-tree, and about so many bytes of their shingle sets.
 SHARD_NODES, SHARD_BYTES = 8_192, 16 << 20
@@ -122,7 +122,7 @@ def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, ba
                 cols += [pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(held, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *cols], names=schema.names)
 
-    return read.mapInArrow(run, schema).select(*p.back, *[f.name for f in made])
+    return read.mapInArrow(tidy(run), schema).select(*p.back, *[f.name for f in made])
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -361,7 +361,7 @@ def tree_links(rows: DataFrame, cells: list[str], radius: int, similarity: float
         if found:
             yield out()
 
-    return ready.mapInArrow(search, "a long, b long").where("a <> b")
+    return ready.mapInArrow(tidy(search), "a long, b long").where("a <> b")
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -425,7 +425,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, row: str, text: str, words
             made = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in own]
             yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(made, pa.binary())], names=["row", "sh"])
 
-    return texts.select(row, F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "row long, sh binary")
+    return texts.select(row, F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(tidy(run), "row long, sh binary")
 
 
 def simhash_dedup(

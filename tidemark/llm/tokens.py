@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Passed, piece_splitter, ship, slices
+from tidemark.llm.common import Passed, piece_splitter, ship, slices, tidy
 
 #: Entries of the broadcast table, of a task's summary, and of a task's counter before it is cut back to its summary.
 TABLE_SIZE, SUMMARY_SIZE, COUNTER_SIZE = 32_768, 8_192, 200_000
@@ -160,10 +160,10 @@ def frequent_pieces(df: DataFrame, path: str, pattern: str, text: str = "text",
         return run
 
     p = Passed(df)
-    tasks = p.frame.select(p[text].alias("t")).mapInArrow(summarise, _SUMMARY)
+    tasks = p.frame.select(p[text].alias("t")).mapInArrow(tidy(summarise), _SUMMARY)
     groups = max(1, math.isqrt(tasks.rdd.getNumPartitions()))
-    first = tasks.repartition(groups, "part").mapInArrow(merge(SUMMARY_SIZE * 2), _SUMMARY)
-    rows = first.repartition(1).mapInArrow(merge(size), _SUMMARY).collect()  # one row of a bounded size
+    first = tasks.repartition(groups, "part").mapInArrow(tidy(merge(SUMMARY_SIZE * 2)), _SUMMARY)
+    rows = first.repartition(1).mapInArrow(tidy(merge(size)), _SUMMARY).collect()  # one row of a bounded size
     return dict(zip(rows[0]["pieces"], rows[0]["counts"], strict=True)) if rows else {}
 
 
@@ -201,4 +201,4 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", siz
                 counts += own.count(texts[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(counts, pa.int64())], names=schema.names)
 
-    return read.mapInArrow(run, schema).select(*p.back, "n_bytes", "n_tokens")
+    return read.mapInArrow(tidy(run), schema).select(*p.back, "n_bytes", "n_tokens")
