@@ -86,3 +86,28 @@ def test_decisions_and_wider_quotes(spark):
     assert got == [(0, "no_forecast")] * 3 + [(0, "session_closed")] * 2 + [(0, "wide_spread"), (0, "weak_signal"), (-1, "ok"), (1, "ok")]
     t, b, a = SM.Scenario(spread=3.0, outage=(1, 2)).quotes(np.arange(3), np.full(3, 99.0), np.full(3, 101.0))
     assert t.tolist() == [0, 2] and b.tolist() == [97, 97] and a.tolist() == [103, 103]
+
+
+def test_first_quote_over_slices(spark):
+    """Hot slices, gaps of many slices, equal times and missing keys; and no rows are paired by their times."""
+    from tidemark.operators import joins as J
+
+    rng = random.Random(4)
+    at = lambda t: F.timestamp_seconds(F.col(t))
+    quotes = [("a", t, v) for t in [*range(0, 40), 5, 5, 900, 5000, 5000] for v in rng.choices(range(9), k=3)] + [("b", 7, 1), (None, 8, 1), ("a", None, 1)]
+    events = [(k, s, t, t + life) for k, (s, t, life) in enumerate((s, t, life) for s in ("a", "b", "c", None) for t in [*range(0, 45, 3), 899, 900, 4000, 6000] for life in (0, 1, 2, 500, 9000))] + [(9999, "a", None, 5)]
+    q = spark.createDataFrame(quotes, "s string, q long, v int").select("s", at("q").alias("ts"), "v")
+    e = spark.createDataFrame(events, "id long, s string, a long, x long").select("id", "s", at("a").alias("a"), at("x").alias("x"))
+    got = {r["id"]: (r["fill_ts"] and int(r["fill_ts"].timestamp()), r["fill_v"]) for r in J.first_after(e, q, "a", "x", "ts", ["s"], 60).collect()}
+    want = {}
+    for k, s, a, x in events:
+        own = [(t, v) for qs, t, v in quotes if qs is not None and qs == s and t is not None and a is not None and a < t < x]
+        want[k] = min(own, default=(None, None))
+    zero = spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("z")).first()["z"].timestamp()
+    assert {k: (t if t is None else t - int(zero), v) for k, (t, v) in got.items()} == want
+    n = 2000
+    hot = spark.range(n).select(F.lit("a").alias("s"), "id", F.timestamp_seconds(F.col("id") / 10).alias("a"), F.timestamp_seconds(F.lit(900)).alias("x"))
+    made = J.first_after(hot, hot.select("s", F.col("a").alias("ts"), F.col("id").alias("v")), "a", "x", "ts", ["s"], 3600)
+    assert [r["fill_v"] for r in made.orderBy("id").collect()] == [*range(1, n), None]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and (" < " in x or " > " in x)]

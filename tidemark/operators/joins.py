@@ -72,17 +72,28 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], take: list[s
     return out.select(f"{seq}.*", *[best[c].alias(f"asof_{c}") for c in take])
 
 
-def first_after(events: DataFrame, quotes: DataFrame, start: str, expiry: str, ts: str, by: list[str], id_: str, slice_seconds: int) -> DataFrame:
-    """Each event with the first quote strictly after ``start`` and before ``expiry``: the range join is an equi-join on the
-    time slices that an event's interval touches, which must be few."""
-    us = lambda c: micros_of(F.col(c))
+def first_after(events: DataFrame, quotes: DataFrame, start: str, expiry: str, ts: str, by: list[str], slice_seconds: int) -> DataFrame:
+    """Each event with the first quote strictly after ``start``, if that is before ``expiry``; of quotes at one time the
+    least. Two-level as `asof`: events and quotes are ordered once, backwards, within a time slice, and an event that no
+    quote of its slice follows takes the first quote of a later slice. Nothing is paired, so an interval may hold any
+    number of quotes."""
+    held = [c for c in quotes.columns if c not in (*by, ts)]
+    kept = [c for c in events.columns if c not in by]
     width = slice_seconds * 1_000_000
-    slots = F.explode(F.sequence(F.floor(us(start) / width), F.floor(us(expiry) / width)))
-    e = events.withColumn("__slot", slots)
-    q = quotes.withColumn("__slot", F.floor(us(ts) / width)).withColumnRenamed(ts, "__q")
-    hit = e.join(q, [*by, "__slot"]).where((F.col("__q") > F.col(start)) & (F.col("__q") < F.col(expiry)))
-    best = hit.groupBy(*by, id_).agg(F.min(F.struct("__q", *[c for c in quotes.columns if c not in (*by, ts)])).alias("f"))
-    return events.join(best, [*by, id_], "left").withColumn("fill_ts", F.col("f.__q")).withColumns({f"fill_{c}": F.col(f"f.{c}") for c in quotes.columns if c not in (*by, ts)}).drop("f")
+    slot = F.floor(micros_of(F.col("__at")) / width)
+    a = events.select(*by, *[F.col(c).alias(f"__e_{c}") for c in kept], F.col(start).alias("__at"), F.lit(False).alias("__is_quote"))
+    b = quotes.dropna(subset=[*by, ts]).select(*by, F.col(ts).alias("__at"), *[F.col(c).alias(f"__q_{c}") for c in held], F.lit(True).alias("__is_quote"))
+    own = F.struct(F.col("__at").alias("at"), *[F.col(f"__q_{c}").alias(c) for c in held])
+    dealt = a.unionByName(b, allowMissingColumns=True).withColumn("__slot", slot).repartition(*by, "__slot")
+    back = W.partitionBy(*by, "__slot").orderBy(F.desc("__at"), "__is_quote", *[F.desc(f"__q_{c}") for c in held]).rowsBetween(W.unboundedPreceding, 0)
+    seen = dealt.withColumn("__here", F.last(F.when(F.col("__is_quote"), own), ignorenulls=True).over(back)).where(~F.col("__is_quote"))
+    firsts = b.withColumn("__slot", slot).groupBy(*by, "__slot").agg(F.min(own).alias("__first"))
+    slots = a.select(*by, slot.alias("__slot")).distinct().join(firsts, [*by, "__slot"], "full")
+    later = W.partitionBy(*by).orderBy(F.desc("__slot")).rowsBetween(W.unboundedPreceding, -1)
+    carried = slots.select(*by, "__slot", F.last("__first", ignorenulls=True).over(later).alias("__next")).where("__next IS NOT NULL")
+    found = seen.join(carried, [*by, "__slot"], "left").withColumn("__f", F.coalesce("__here", "__next"))
+    out = found.withColumn("__f", F.when(F.col("__f.at") < F.col(f"__e_{expiry}"), F.col("__f")))
+    return out.select(*[F.col(c) if c in by else F.col(f"__e_{c}").alias(c) for c in events.columns], F.col("__f.at").alias("fill_ts"), *[F.col("__f")[c].alias(f"fill_{c}") for c in held])
 
 
 def purge(rows: DataFrame, label_end: str, published: str, cutoff) -> DataFrame:

@@ -410,7 +410,7 @@ add("join_asof", _asof, with_("SELECT l.seq, r.cseq AS asof_cseq, r.cmid AS asof
 def _first_after(spark, sf_dir):
     t = ticks(spark, sf_dir)
     e = t.select("series", C("seq").alias("order_id"), C("ts").alias("arrival"), (C("ts") + F.expr("INTERVAL 45 MINUTES")).alias("expiry"))
-    return J.first_after(e, t.select("series", "ts", "bid", "ask"), "arrival", "expiry", "ts", SERIES, "order_id", 3600).select("series", "order_id", F.unix_timestamp("fill_ts").alias("fill_t"), "fill_bid", "fill_ask")
+    return J.first_after(e, t.select("series", "ts", "bid", "ask"), "arrival", "expiry", "ts", SERIES, 3600).select("series", "order_id", F.unix_timestamp("fill_ts").alias("fill_t"), "fill_bid", "fill_ask")
 
 
 add("join_first_quote_after", _first_after, with_("""SELECT e.series, e.seq AS order_id, epoch(date_trunc('second', min(q.ts)))::BIGINT AS fill_t, arg_min(q.bid, row(q.ts, q.bid)) AS fill_bid, arg_min(q.ask, row(q.ts, q.bid)) AS fill_ask
