@@ -111,3 +111,30 @@ def test_first_quote_over_slices(spark):
     assert [r["fill_v"] for r in made.orderBy("id").collect()] == [*range(1, n), None]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join" in x and (" < " in x or " > " in x)]
+
+
+def test_leakage_check_in_one_pass(spark):
+    """Ranks with ties and missing values agree with plain Python, and the plan does not grow with every column."""
+    from tidemark.operators import learning as L
+
+    rng = random.Random(5)
+    rows = [tuple(None if rng.random() < 0.1 else f(rng) for f in (lambda r: r.gauss(0, 1), lambda r: float(r.randint(0, 3)), lambda r: r.gauss(0, 1), lambda r: 1.0)) for _ in range(300)]
+    rows = [(a, b, y if a is None else a**3 if k % 9 else y, c) for k, (a, b, y, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, c double")
+
+    def ranks(xs):
+        own = [x for x in xs if x is not None]
+        return [None if x is None else (sum(v < x for v in own) + (sum(v == x for v in own) + 1) / 2 - 0.5) / len(own) for x in xs]
+
+    u = {c: ranks([r[k] for r in rows]) for k, c in enumerate("abyc")}
+    want = {}
+    for c in "ab":
+        both = np.array([(x, y) for x, y in zip(u[c], u["y"], strict=True) if x is not None and y is not None])
+        want[c] = np.corrcoef(both.T)[0, 1]
+    out = L.leakage_check(df, ["a", "b", "c"], "y", 0.9)
+    got = {r["feature"]: (r["rank_corr"], r["suspect"]) for r in out.collect()}
+    assert got["c"] == (None, None) and {c: got[c][0] for c in "ab"} == pytest.approx(want)
+    assert [got[c][1] for c in "ab"] == [abs(want[c]) > 0.9 for c in "ab"]
+    assert {tuple(r) for r in L.leakage_check(df.limit(0), ["a"], "y").collect()} == {("a", None, None)}
+    plan = lambda f: L.leakage_check(df, f, "y")._jdf.queryExecution().analyzed().toString().count("Join")
+    assert plan(["a", "b", "c"]) == plan(["a"])

@@ -98,16 +98,21 @@ def principal_components(train: DataFrame, rows: DataFrame, features: list[str],
 
 
 def leakage_check(df: DataFrame, features: list[str], target: str, most: float = 0.9) -> DataFrame:
-    """Rank correlation of every feature with the target; one above ``most`` is suspect."""
+    """Rank correlation of every feature with the target; one above ``most`` is suspect. Values are taken as doubles. All
+    columns are ranked in one pass over long rows: a join a column would repeat the plan of ``df`` in each of them."""
     from tidemark.functions import scalar as S
-    from tidemark.operators.aggregates import rank_scores
-
-    out = df.select(*features, target)
-    for c in [*features, target]:
-        out = rank_scores(out, c, [], f"u_{c}")
-    parts = [F.struct(F.lit(f).alias("feature"), S.corr(f"u_{f}", f"u_{target}").alias("rank_corr")) for f in features]
-    rows = out.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    return rows.withColumn("suspect", F.abs("rank_corr") > most)
+    from tidemark.operators.ordering import counts_below
+
+    cell = lambda c: F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x"))
+    counts = df.select(F.explode(F.array(*map(cell, dict.fromkeys([*features, target])))).alias("s")).select("s.*").where("__x IS NOT NULL").groupBy("__col", "__x").agg(F.count("*").alias("__c"))
+    score = (F.col("__below") + (F.col("__c") + 1) / 2.0 - 0.5) / F.col("__n")
+    ranks = counts_below(counts, ["__col"], "__x", "__c").select("__col", "__x", score.alias("u"))
+    pairs = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*map(cell, features))).alias("s")).select("y", "s.*").where("y IS NOT NULL AND __x IS NOT NULL")
+    ranked = pairs.join(ranks.withColumnRenamed("u", "u_f"), ["__col", "__x"])
+    both = ranked.join(ranks.where(F.col("__col") == target).select(F.col("__x").alias("y"), F.col("u").alias("u_y")), "y")
+    found = both.groupBy(F.col("__col").alias("feature")).agg(S.corr("u_f", "u_y").alias("rank_corr"))
+    named = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, features))).alias("feature"))
+    return named.join(found, "feature", "left").withColumn("suspect", F.abs("rank_corr") > most)
 
 
 def stack(train: DataFrame, rows: DataFrame, constituents: list[str], label: str, task: str = "classification") -> DataFrame:
