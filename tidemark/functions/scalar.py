@@ -41,6 +41,21 @@ def log_return(now: Column, before: Column) -> Column:
     return F.ln(F.try_divide(now, before))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE 754: infinite or NaN where b is zero."""
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * float("inf")))
+
+
+def logarithm(x: Column) -> Column:
+    """ln x by IEEE 754: minus infinity of zero, NaN of less."""
+    return F.coalesce(F.ln(x), F.sqrt(x) - float("inf"))
+
+
+def log_ratio(now: Column, before: Column) -> Column:
+    """Log return that is infinite or NaN, not missing, where a price is zero."""
+    return logarithm(quotient(now, before))
+
+
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
