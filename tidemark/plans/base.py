@@ -72,10 +72,15 @@ def on_bars(columns: Callable[[], dict], back: int, ahead: int = 0, source: Call
     return run
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns(spark: SparkSession, sf_dir: str, log_return: Callable = S.log_return) -> DataFrame:
     """Bars with the log return ``r``, exact across blocks."""
     b = in_blocks(bars(spark, sf_dir), 1)
-    return ordering.own_rows(b.withColumn("r", S.log_return(F.col("close"), F.lag("close").over(BW()))))
+    return ordering.own_rows(b.withColumn("r", log_return(F.col("close"), F.lag("close").over(BW()))))
+
+
+def ratio_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`returns` that are infinite or NaN, as in SQL, where a close is zero."""
+    return returns(spark, sf_dir, S.log_ratio)
 
 
 TICKS_SQL = """

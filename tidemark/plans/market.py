@@ -13,7 +13,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import ordering as O
 from tidemark.operators import validate as V
 from tidemark.operators import windows as WN
-from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, TICKS_SQL, T0, add, bars, in_blocks, on_bars, returns, ticks, with_
+from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, TICKS_SQL, T0, add, bars, in_blocks, on_bars, ratio_returns, returns, ticks, with_
 from tidemark.session import table
 from tidemark.sources import store as ST
 from tidemark.sources import ticks as TK
@@ -337,7 +337,7 @@ _FEAT = lambda: {
     **WN.return_features(C("close"), C("high"), C("low"), C("r"), BW(), (1, 5), (20,)), **WN.volatility_features(C("open"), C("high"), C("low"), C("close"), C("r"), BW(), 12, 24),
     "acf_abs_1": WN.autocorrelation_features(C("r"), BW(), 24, (1,))["acf_abs_1"], **{k: v for k, v in WN.microstructure_features(C("mean_spread"), C("close"), C("tick_count"), BW(), 24).items()},
 }
-add("feature_families", on_bars(_FEAT, 60, source=returns), with_(f"""SELECT series, t, ln(close / lag(close) OVER w) AS ret_1, ln(close / lag(close, 5) OVER w) AS ret_5, CASE WHEN count(r) {_f(20)} = 20 THEN r / stddev_samp(r) {_f(20)} END AS ret_z_20,
+add("feature_families", on_bars(_FEAT, 60, source=ratio_returns), with_(f"""SELECT series, t, ln(close / lag(close) OVER w) AS ret_1, ln(close / lag(close, 5) OVER w) AS ret_5, CASE WHEN count(r) {_f(20)} = 20 THEN r / stddev_samp(r) {_f(20)} END AS ret_z_20,
   CASE WHEN i >= 19 THEN (close - min(low) {_f(20)}) / (max(high) {_f(20)} - min(low) {_f(20)}) END AS range_pos_20, CASE WHEN count(r) {_f(12)} = 12 THEN ln(sqrt(sum(r * r) {_f(12)} / 12)) END AS log_rv_12,
   CASE WHEN count(r) {_f(24)} = 24 THEN sqrt(sum(r * r) {_f(12)} / 12) / sqrt(sum(r * r) {_f(24)} / 24) END AS rv_ratio, CASE WHEN i >= 11 THEN sqrt(sum(ln(high / low) ** 2 / (4 * ln(2))) {_f(12)} / 12) END AS parkinson_12,
   CASE WHEN count(r1) {_f(24)} >= 24 THEN corr(abs(r), abs(r1)) {_f(24)} END AS acf_abs_1, mean_spread / close AS spread_rel, CASE WHEN i >= 23 THEN tick_count / avg(tick_count) {_f(24)} END AS activity, mean_spread - lag(mean_spread) OVER w AS spread_change
