@@ -31,7 +31,7 @@ def zeros(spark, sf_dir, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["timeframe_comparison", "feature_families"])
+@pytest.mark.parametrize("name", ["timeframe_comparison", "feature_families", "outcome_targets"])
 def test_prices_of_zero(spark, zeros, name):
     rows = same(spark, zeros, name)
     assert any(v in ("nan", float("inf"), float("-inf")) for r in rows for v in r)

@@ -350,7 +350,7 @@ def _a(h):
     return f"OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
 
 
-add("outcome_targets", on_bars(lambda: {k: v.cast("double") for k, v in _TGT().items()}, 1, 6, source=returns), with_("SELECT series, t, " + ", ".join(f"""(ln(lead(close, {h}) OVER w / close))::FLOAT AS target_return_{h}, abs(ln(lead(close, {h}) OVER w / close))::FLOAT AS target_abs_return_{h},
+add("outcome_targets", on_bars(lambda: {k: v.cast("double") for k, v in _TGT().items()}, 1, 6, source=ratio_returns), with_("SELECT series, t, " + ", ".join(f"""(ln(lead(close, {h}) OVER w / close))::FLOAT AS target_return_{h}, abs(ln(lead(close, {h}) OVER w / close))::FLOAT AS target_abs_return_{h},
   (CASE WHEN count(r) {_a(h)} = {h} THEN sqrt(sum(r * r) {_a(h)}) END)::FLOAT AS target_volatility_{h}, (CASE WHEN count(high) {_a(h)} = {h} THEN ln(max(high) {_a(h)} / close) END)::FLOAT AS target_max_up_{h},
   (CASE WHEN count(low) {_a(h)} = {h} THEN ln(min(low) {_a(h)} / close) END)::FLOAT AS target_max_down_{h}""" for h in (1, 5)) + " FROM returns WINDOW w AS (PARTITION BY series ORDER BY t)", RETURNS_SQL), ["series", "t"], [f"target_{f}_{h}" for h in (1, 5) for f in ("return", "abs_return", "volatility", "max_up", "max_down")])
 
