@@ -1,4 +1,6 @@
-"""Queries over odd tick tables agree with their SQL: prices of zero."""
+"""Queries over odd tick tables agree with their SQL: prices of zero, and ticks of a long series in any order."""
+
+import os
 
 import duckdb
 import pytest
@@ -35,3 +37,12 @@ def zeros(spark, sf_dir, tmp_path_factory):
 def test_prices_of_zero(spark, zeros, name):
     rows = same(spark, zeros, name)
     assert any(v in ("nan", float("inf"), float("-inf")) for r in rows for v in r)
+
+
+def test_late_ticks_of_a_long_series(spark, tmp_path):
+    """More ticks than a frame holds, in files whose order is not that of the sequence."""
+    t = spark.range(30_000, numPartitions=1).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 90 + 1.0).alias("value"), F.lit("{}").alias("props"))
+    t.repartition(3, F.hash("event_id")).sortWithinPartitions(F.hash("event_id", F.lit(7))).write.parquet(f"{tmp_path}/events.parquet")
+    assert len([f for f in os.listdir(f"{tmp_path}/events.parquet") if f.endswith(".parquet")]) > 1
+    rows = same(spark, str(tmp_path), "stream_late_split")
+    assert len(rows) == 30_000 and sum("late" in r for r in rows) > 100
