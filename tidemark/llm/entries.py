@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read, written
+from tidemark.llm.infill import infill, restore
 from tidemark.llm.langid import identify, train
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_sources, word_count
@@ -88,6 +89,13 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    out = restore(infill(docs))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +107,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_revisit_resolution": op10_revisit_resolution,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -106,4 +115,5 @@ ORACLES = {
     "op3_line_dedup": oracles.OP3,
     "op5_top_k_search": oracles.OP5,
     "op10_revisit_resolution": oracles.OP10,
+    "op11_fill_in_middle": oracles.OP11,
 }

@@ -151,3 +151,32 @@ SELECT record_id, canonical, ts AS revisit_at,
       'date: ' || ts || chr(10) || 'etag: ' || CASE WHEN etag = '"changed"' THEN '' ELSE 'W/' END || etag END AS headers
 FROM j WHERE k = 1
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+u AS (
+  SELECT doc_id, body, regexp_extract_all(body, '[A-Za-z]+|[^A-Za-z]') AS units,
+    list_transform([1, 9, 17, 25], lambda k: ('0x' || h[k:k + 7])::BIGINT) AS r
+  FROM d
+),
+f AS (
+  SELECT *, len(units)::BIGINT AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS low,
+    greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS high,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+      WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+),
+c AS (
+  SELECT doc_id, body, n, form, array_to_string(units[1:low], '') AS p, array_to_string(units[low + 1:high], '') AS m,
+    array_to_string(units[high + 1:], '') AS s
+  FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE body END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM c
+"""
