@@ -11,6 +11,7 @@ from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import read, written
 from tidemark.llm.infill import infill, restore
 from tidemark.llm.langid import identify, train
+from tidemark.llm.licenses import license_scan
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mix_sources, word_count
 from tidemark.llm.quality import quality_rules
@@ -96,6 +97,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -108,6 +114,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_revisit_resolution": op10_revisit_resolution,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLES = {
