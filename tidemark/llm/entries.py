@@ -20,6 +20,7 @@ from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.warc import header_lines, records_of_pages, resolve_revisits
+from tidemark.llm.whitening import whiten
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32, scale=64, offset=1_000_000)
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -115,6 +120,7 @@ QUERIES = {
     "op10_revisit_resolution": op10_revisit_resolution,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_license_scan": op12_license_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
