@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.operators.bars import month_block
+from tidemark.operators.selection import exact_quantiles, with_quantiles
 from tidemark.operators.validate import iso_weekday
+from tidemark.session import small_side, written
 
 #: Quantiles of a distribution report.
 QUANTILES = (0.001, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99, 0.999)
@@ -32,12 +34,12 @@ def corrected_kurtosis(x, n) -> Column:
 def describe_distribution(df: DataFrame, x: str, by: list[str], quantiles=QUANTILES) -> DataFrame:
     """Moments (bias corrected) and linear quantiles of a column."""
     n = F.count(x)
-    q = F.percentile(x, F.array(*map(F.lit, quantiles)))
+    df = written(df.select(*by, x))
     out = df.groupBy(*by).agg(
         n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        corrected_skew(x, n).alias("skew"), corrected_kurtosis(x, n).alias("kurtosis"), q.alias("q"),
+        corrected_skew(x, n).alias("skew"), corrected_kurtosis(x, n).alias("kurtosis"),
     )
-    return out.select(*by, "n", "mean", "std", "min", "max", "skew", "kurtosis", *[F.col("q")[k].alias(qname(p)) for k, p in enumerate(quantiles)])
+    return with_quantiles(out, df, by, {"x": (F.col(x), {qname(p): p for p in quantiles})}, held=True)
 
 
 def gaussian_tails(df: DataFrame, x: str, by: list[str], levels=(1, 2, 3, 4)) -> DataFrame:
@@ -77,12 +79,15 @@ def normality(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 def return_profile(df: DataFrame, by: dict[str, Column], r: str, spread: str | None = None, extreme: Column | None = None) -> DataFrame:
     """Count, centre, spread, size and extremes of returns by calendar part or session."""
     c = F.col(r)
-    aggs = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("std"), F.avg(F.abs(c)).alias("mean_abs"), F.min(c).alias("min"), F.max(c).alias("max")]
+    aggs = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.avg(F.abs(c)).alias("mean_abs"), F.min(c).alias("min"), F.max(c).alias("max")]
+    quantiles = {"r": (c, {"median": 0.5})}
     if extreme is not None:
-        aggs.append(F.avg(extreme.cast("double")).alias("extreme_share"))
+        aggs.append(F.avg(F.col("__far").cast("double")).alias("extreme_share"))
     if spread:
-        aggs.append(F.percentile(spread, 0.95).alias("spread_p95"))
-    return df.where(c.isNotNull()).groupBy(*[v.alias(k) for k, v in by.items()]).agg(*aggs)
+        quantiles["spread"] = (F.col(spread), {"spread_p95": 0.95})
+    far = (F.lit(None).cast("boolean") if extreme is None else extreme).alias("__far")
+    rows = written(df.where(c.isNotNull()).select(*[v.alias(k) for k, v in by.items()], r, *([spread] if spread else []), far))
+    return with_quantiles(rows.groupBy(*by).agg(*aggs), rows, list(by), quantiles, held=True)
 
 
 def hourly(df: DataFrame, ts: str, r: str, **more) -> DataFrame:
@@ -114,14 +119,16 @@ def conditional_returns(rows: DataFrame, r: str, lows: tuple[float, ...], highs:
     """Outcomes after extreme returns. ``rows`` hold one series with null returns already left out, so that horizons skip
     them; ``horizons`` names the column of the outcome h rows later. Fewer than ``least`` rows give an empty table."""
     q = sorted({*lows, *highs})
-    cut = rows.agg(F.count("*").alias("total"), *[F.percentile(r, p).alias(qname(p)) for p in q])
+    rows = written(rows.select(r, *horizons.values()))
+    cut = with_quantiles(rows.agg(F.count("*").alias("total")), rows, [], {"r": (F.col(r), {qname(p): p for p in q})}, held=True)
     both = rows.crossJoin(F.broadcast(cut)).where(F.col("total") >= least)  # one row
     kinds = [(f"<=q{p:g}", F.col(r) <= F.col(qname(p)), 1) for p in lows] + [(f">=q{p:g}", F.col(r) >= F.col(qname(p)), -1) for p in highs]
     cells = F.explode(F.array(*[F.when(c, F.struct(F.lit(k).alias("bucket"), F.lit(s).alias("turn"))) for k, c, s in kinds])).alias("k")
     outcomes = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("y")) for h, c in horizons.items()])).alias("o")
     long = both.select(cells, *horizons.values()).where("k IS NOT NULL").select("k.*", outcomes).select("bucket", "turn", "o.*").where("y IS NOT NULL")
     n, m, s = F.count("y"), F.avg("y"), F.stddev_samp("y")
-    out = long.groupBy("bucket", "horizon").agg(n.alias("n"), m.alias("mean"), F.percentile("y", 0.5).alias("median"), s.alias("std"), F.avg((F.col("y") > 0).cast("double")).alias("p_up"), F.avg((F.col("y") * F.col("turn") > 0).cast("double")).alias("reversal"))
+    out = long.groupBy("bucket", "horizon").agg(n.alias("n"), m.alias("mean"), s.alias("std"), F.avg((F.col("y") > 0).cast("double")).alias("p_up"), F.avg((F.col("y") * F.col("turn") > 0).cast("double")).alias("reversal"))
+    out = with_quantiles(out, long, ["bucket", "horizon"], {"y": (F.col("y"), {"median": 0.5})}, held=True)
     se = F.col("std") / F.sqrt("n")
     return out.select("*", se.alias("se"), (F.col("mean") - z * se).alias("ci_low"), (F.col("mean") + z * se).alias("ci_high"))
 
@@ -141,8 +148,8 @@ def toward_zero(df: DataFrame, z: str, later: dict[int, str], bins: list[float])
 
 def quantile_buckets(df: DataFrame, x: str, buckets: int, by: list[str], name: str = "bucket") -> DataFrame:
     """``df`` with the bucket by sample-quantile edges (equal values stay together), null for a missing value."""
-    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("__edges"))
-    out = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))
+    edges = exact_quantiles(df, by, {"__edges": F.col(x)}, tuple(k / buckets for k in range(1, buckets)))
+    out = df.join(small_side(edges), by, "left") if by else df.crossJoin(F.broadcast(edges))
     return out.withColumn(name, S.edge_bucket(F.col(x), F.col("__edges"), right=False)).drop("__edges")
 
 
@@ -189,11 +196,16 @@ def rank_scores_of(df: DataFrame, columns: list[str], by: list[str], key: list[s
 
 def month_moments(df: DataFrame, ts: str, features: list[str], targets: list[str], extra: list[str] = ()) -> DataFrame:
     """Partial sums n, sx, sy, sxx, syy, sxy by month, feature and target (and other keys)."""
+    return period_moments(df, month_block(F.col(ts)), features, targets, extra).withColumnRenamed("period", "month")
+
+
+def period_moments(df: DataFrame, period: Column, features: list[str], targets: list[str], extra: list[str] = ()) -> DataFrame:
+    """`month_moments` by any period that ascends with time."""
     f = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")
     t = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("double").alias("y")) for c in targets])).alias("t")
-    long = df.select(month_block(F.col(ts)).alias("month"), *extra, f, *targets).select("month", *extra, "f.*", t).select("month", *extra, "feature", "x", "t.*")
+    long = df.select(period.alias("period"), *extra, f, *targets).select("period", *extra, "f.*", t).select("period", *extra, "feature", "x", "t.*")
     x, y = F.col("x"), F.col("y")
-    return long.where(x.isNotNull() & y.isNotNull()).groupBy("month", *extra, "feature", "target").agg(
+    return long.where(x.isNotNull() & y.isNotNull()).groupBy("period", *extra, "feature", "target").agg(
         F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")
     )
 
@@ -317,8 +329,8 @@ def missing_shares(df: DataFrame, columns: list[str], sets: list[list[str]]) ->
 
 def ks_and_wasserstein(a: DataFrame, b: DataFrame, x: str, grid: int = 200) -> DataFrame:
     """Kolmogorov-Smirnov distance and first Wasserstein distance of two samples on the quantile grid of both."""
-    q = F.array(*[F.lit((k + 0.5) / grid) for k in range(grid)])
-    qa, qb = (d.agg(F.percentile(x, q).alias(n)) for d, n in ((a, "qa"), (b, "qb")))
+    q = tuple((k + 0.5) / grid for k in range(grid))
+    qa, qb = (exact_quantiles(d, [], {n: F.col(x)}, q) for d, n in ((a, "qa"), (b, "qb")))
     both = qa.crossJoin(F.broadcast(qb))  # one row each
     w1 = F.aggregate(F.zip_with("qa", "qb", lambda s, t: F.abs(s - t)), F.lit(0.0), lambda s, v: s + v) / grid
     # Share of one grid at most each point of both grids.
@@ -368,10 +380,10 @@ def duration_summary(runs: DataFrame) -> DataFrame:
     free = ~F.col("censored")
     length = F.when(free, F.col("length"))
     total = F.sum(F.sum("length")).over(W.partitionBy())
-    return runs.groupBy("label").agg(
-        F.count("*").alias("runs"), F.count_if("censored").alias("censored"), (F.sum("length") / total).alias("share"),
-        F.avg(length).alias("mean"), F.percentile(length, 0.5).alias("median"), F.percentile(length, 0.9).alias("p90"), F.max(length).alias("max"),
+    out = runs.groupBy("label").agg(
+        F.count("*").alias("runs"), F.count_if("censored").alias("censored"), (F.sum("length") / total).alias("share"), F.avg(length).alias("mean"), F.max(length).alias("max"),
     )
+    return with_quantiles(out, runs, ["label"], {"length": (length, {"median": 0.5, "p90": 0.9})})
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -508,7 +520,8 @@ def reversal_summary(analysis: DataFrame) -> DataFrame:
 def half_life_summary(df: DataFrame, x: str, ceiling: float, by: list[str]) -> DataFrame:
     """Half-lives with those above a ceiling counted as censored and left out of the figures."""
     inside = F.when(F.col(x) <= ceiling, F.col(x))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(F.col(x) > ceiling).alias("censored"), F.percentile(inside, 0.5).alias("median"), F.avg(inside).alias("mean"))
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(F.col(x) > ceiling).alias("censored"), F.avg(inside).alias("mean"))
+    return with_quantiles(out, df, by, {"x": (inside, {"median": 0.5})})
 
 
 def phase_buckets(df: DataFrame, angle: str, outcome: str, sectors: int) -> DataFrame:
@@ -518,20 +531,12 @@ def phase_buckets(df: DataFrame, angle: str, outcome: str, sectors: int) -> Data
     return rows.groupBy(k.alias("sector")).agg(F.count("*").alias("n"), F.avg(outcome).alias("mean"), F.stddev_samp(outcome).alias("std"))
 
 
-def expanding_quantiles(df: DataFrame, x: str, period: Column, probs: tuple[float, ...], least: int) -> DataFrame:
-    """``period, history, q``: quantiles of all values of earlier periods, where there are at least so many. Periods are
-    calendar blocks, so their table is small; exact quantiles need a period's values once for every later period."""
-    p = df.select(period.alias("period")).distinct()
-    v = df.where(F.col(x).isNotNull()).select(period.alias("earlier"), F.col(x).alias("v"))
-    j = v.join(F.broadcast(p), F.col("earlier") < F.col("period"))
-    return j.groupBy("period").agg(F.count("*").alias("history"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).where(F.col("history") >= least)
-
-
 def drift_by_period(df: DataFrame, period: Column, x: str, grid: int = 50) -> DataFrame:
     """Distances of each period's quantile grid from that of all rows."""
-    q = F.array(*[F.lit((k + 0.5) / grid) for k in range(grid)])
-    own = df.groupBy(period.alias("period")).agg(F.count(x).alias("n"), F.percentile(x, q).alias("q"))
-    j = own.crossJoin(F.broadcast(df.agg(F.percentile(x, q).alias("g"))))  # one row
+    q = tuple((k + 0.5) / grid for k in range(grid))
+    rows = written(df.select(period.alias("period"), x))
+    own = rows.groupBy("period").agg(F.count(x).alias("n")).join(exact_quantiles(rows, ["period"], {"q": F.col(x)}, q, held=True), "period")
+    j = own.crossJoin(F.broadcast(exact_quantiles(rows, [], {"g": F.col(x)}, q, held=True)))  # one row
     share = lambda c, v: F.size(F.filter(F.col(c), lambda e: e <= v)) / float(grid)
     w1 = F.aggregate(F.zip_with("q", "g", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / grid
     ks = F.array_max(F.transform(F.concat("q", "g"), lambda v: F.abs(share("q", v) - share("g", v))))
@@ -540,7 +545,7 @@ def drift_by_period(df: DataFrame, period: Column, x: str, grid: int = 50) -> Da
 
 def population_stability(reference: DataFrame, other: DataFrame, x: str, buckets: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index of one sample against the quantile buckets of another."""
-    edges = reference.agg(F.percentile(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("e"))
+    edges = exact_quantiles(reference, [], {"e": F.col(x)}, tuple(k / buckets for k in range(1, buckets)))
     both = reference.select(F.col(x).alias("x"), F.lit(0).alias("s")).union(other.select(F.col(x).alias("x"), F.lit(1).alias("s"))).where("x IS NOT NULL")
     k = both.crossJoin(F.broadcast(edges)).select("s", S.edge_bucket(F.col("x"), F.col("e")).alias("k"))  # one row of edges
     n = k.groupBy("k").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ordering as O
 from tidemark.operators.bars import micros_of, parse_timeframe
+from tidemark.operators.selection import with_quantiles
 
 #: The checks, in the order in which the first failing one names the reason.
 CHECKS = (
@@ -168,13 +169,12 @@ def coverage(bars: DataFrame, timeframe: str, *, series: list[str], ts: str = "t
 
 def bar_quality(bars: DataFrame, *, series: list[str], low_quantile: float = 0.05) -> DataFrame:
     """Figures of bar quality. The low tick count is the lower of the two neighbours of its quantile."""
-    low = F.percentile("tick_count", low_quantile)
     base = bars.groupBy(*series).agg(
-        F.count("*").alias("bars"), F.avg("tick_count").alias("mean_ticks"), F.percentile("tick_count", 0.5).alias("median_ticks"),
-        F.min("tick_count").alias("min_ticks"), F.max("tick_count").alias("max_ticks"), F.floor(low).cast("long").alias("low_ticks"),
+        F.count("*").alias("bars"), F.avg("tick_count").alias("mean_ticks"), F.min("tick_count").alias("min_ticks"), F.max("tick_count").alias("max_ticks"),
         F.sum((F.col("high") == F.col("low")).cast("long")).alias("zero_range"),
     )
-    return base
+    out = with_quantiles(base, bars, series, {"ticks": (F.col("tick_count"), {"median_ticks": 0.5, "low_ticks": low_quantile})})
+    return out.withColumn("low_ticks", F.floor("low_ticks").cast("long"))
 
 
 def core_stats(ticks: DataFrame, *, ts: str = "ts") -> DataFrame:
@@ -189,9 +189,11 @@ def core_stats(ticks: DataFrame, *, ts: str = "ts") -> DataFrame:
 
 def spread_stats(ticks: DataFrame, spread: Column, exact: bool = True) -> DataFrame:
     """Mean, bounds and quantiles of the spread."""
-    q = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
     s = ticks.select(spread.alias("s"))
-    return s.agg(F.avg("s").alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"), *[q("s", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
+    named = {f"p{int(p * 100)}": p for p in (0.5, 0.9, 0.99)}
+    rough = [] if exact else [F.percentile_approx("s", p, 10_000).alias(n) for n, p in named.items()]
+    out = s.agg(F.avg("s").alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"), *rough)
+    return with_quantiles(out, s, [], {"s": (F.col("s"), named)}) if exact else out
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def add(name: str, query: Callable, sql: str | None, keys: list[str], doubles: l
     if sql is not None:
         cols = ", ".join([*[f'"{c}"' for c in keys], *[f'round("{c}"::DOUBLE, {DIGITS}) + 0.0 AS "{c}"' for c in doubles]])
         with_, _, last = sql.strip().rpartition("\n--\n")
-        ORACLES[name] = f"{with_ + chr(10) if with_ else ''}SELECT {cols} FROM ({last})"
+        ORACLES[name] = f"{with_ + chr(10) if with_ else ''}SELECT {cols} FROM ({last})".replace("week(timestamp)", WEEK_SQL)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,15 @@ def T0():  # noqa: N802
     return F.unix_timestamp("timestamp").alias("t")
 
 
+def week(ts: str = "timestamp"):
+    """Weeks (from Monday) since 1969-12-29, which ascend over the years too."""
+    return F.floor((F.unix_date(F.to_date(ts)) + 3) / 7).cast("long")
+
+
+#: `week` as SQL, in which ``week(timestamp)`` stands for it.
+WEEK_SQL = "((date_diff('day', DATE '1970-01-01', timestamp::DATE) + 3) // 7)"
+
+
 def on_bars(columns: Callable[[], dict], back: int, ahead: int = 0, source: Callable = bars):
     """A query that adds window columns to bars, by overlapping blocks."""
 

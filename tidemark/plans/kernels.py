@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,8 +18,8 @@ from tidemark.operators import learning as L
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.operators import windows as WN
-from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, with_
-from tidemark.session import table
+from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
+from tidemark.session import shared_dir, table
 from tidemark.streaming import bars as SB
 
 C = F.col
@@ -62,7 +61,7 @@ add("stationarity_tests", _kernel(lambda f: pd.DataFrame([SR.stationarity(np.log
 
 
 def _segmented(spark, sf_dir):
-    r = _rows(spark, sf_dir).withColumn("week", F.weekofyear("timestamp"))
+    r = _rows(spark, sf_dir).withColumn("week", week())
     return G.per_series(r, [*SERIES, "week"], ["timestamp"], lambda f: pd.DataFrame([{k: v for k, v in SR.stationarity(f["r"].to_numpy()).items() if k in ("n", "adf", "verdict")}]) if len(f) > 60 else pd.DataFrame({"n": [len(f)], "adf": [np.nan], "verdict": ["too_short"]}), "n long, adf double, verdict string")
 
 
@@ -328,7 +327,7 @@ add("minimum_variance", _allocation, None, ["series"], ["weight"])
 
 
 def _folds(spark, sf_dir):
-    r = returns(spark, sf_dir).where("r IS NOT NULL").groupBy(F.weekofyear("timestamp").cast("long").alias("fold")).agg(F.count("*").alias("trades"), F.sum("r").alias("pnl"))
+    r = returns(spark, sf_dir).where("r IS NOT NULL").groupBy(week().alias("fold")).agg(F.count("*").alias("trades"), F.sum("r").alias("pnl"))
     w = W.orderBy("fold")
     eq = r.select("*", (10_000 + F.sum("pnl").over(w)).alias("equity"))
     return eq.select("*", (C("equity") / F.greatest(F.lit(10_000.0), F.max("equity").over(w)) - 1).alias("drawdown"))
@@ -347,8 +346,7 @@ def _stream(spark, sf_dir):
 
 def _shared(spark):
     """A fresh folder that all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def _replayed(make):

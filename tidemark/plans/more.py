@@ -15,11 +15,13 @@ from tidemark.operators import grouped as G
 from tidemark.operators import joins as J
 from tidemark.operators import learning as L
 from tidemark.operators import ordering as O
+from tidemark.operators import selection as Q
 from tidemark.operators import windows as WN
-from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, with_
+from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
 from tidemark.plans.kernels import _FE, design
 from tidemark.plans.market import AR_SQL, OLS_SQL, _ols, ou_frame
 from tidemark.plans.research import _conditional, predictions
+from tidemark.session import small_side
 
 C = F.col
 
@@ -72,7 +74,7 @@ def _phase(spark, sf_dir):
 
 
 add("phase_buckets", _phase, with_("SELECT (hour(timestamp) // 3)::INT AS sector, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS std FROM returns WHERE r IS NOT NULL GROUP BY 1", RETURNS_SQL), ["sector", "n"], ["mean", "std"])
-add("drift_by_period", lambda s, d: A.drift_by_period(returns(s, d).where("r IS NOT NULL"), F.weekofyear("timestamp").cast("long"), "r", 20),
+add("drift_by_period", lambda s, d: A.drift_by_period(returns(s, d).where("r IS NOT NULL"), week(), "r", 20),
     with_("""SELECT period, n, list_sum([abs(p[1] - p[2]) FOR p IN list_zip(q, g)]) / 20 AS wasserstein, list_max([abs(len(list_filter(q, lambda e: e <= v)) - len(list_filter(g, lambda e: e <= v))) / 20.0 FOR v IN list_concat(q, g)]) AS ks
       FROM (SELECT week(timestamp)::BIGINT AS period, count(*) AS n, quantile_cont(r, [{q}]) AS q FROM returns WHERE r IS NOT NULL GROUP BY 1), (SELECT quantile_cont(r, [{q}]) AS g FROM returns WHERE r IS NOT NULL)""".replace("{q}", ", ".join(str((k + 0.5) / 20) for k in range(20))).replace("FOR", "for").replace(" IN list", " in list"), RETURNS_SQL), ["period", "n"], ["wasserstein", "ks"])
 add("population_stability", lambda s, d: A.population_stability(returns(s, d).where("series = 'view'"), returns(s, d).where("series = 'click'"), "r", 10),
@@ -87,8 +89,8 @@ def _causal_buckets(spark, sf_dir):
     from tidemark.functions import scalar as S
 
     r = returns(spark, sf_dir).where("r IS NOT NULL")
-    q = A.expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.25, 0.5, 0.75), 20)
-    return r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period").select("series", T0(), S.edge_bucket(C("r"), C("q")).alias("bucket"))
+    q = Q.expanding_quantiles(r, "r", week(), (0.25, 0.5, 0.75), 20)
+    return r.withColumn("period", week()).join(small_side(q), "period").select("series", T0(), S.edge_bucket(C("r"), C("q")).alias("bucket"))
 
 
 def _scaled(spark, sf_dir):
@@ -142,7 +144,7 @@ def _regime_walk(spark, sf_dir):
     r = returns(spark, sf_dir).where("r IS NOT NULL").select("series", "timestamp", "r")
 
     def kernel(f):
-        day = f["timestamp"].dt.dayofyear.to_numpy()
+        day = f["timestamp"].astype("datetime64[s]").astype("int64").to_numpy() // 86_400  # ascends over the years too
         p = M.walk_forward_regimes(np.log(np.abs(f["r"].to_numpy()) + 1e-3)[:, None], day // 10, 2, 150)
         return pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "state": p}).dropna().astype({"state": int})
 

@@ -11,9 +11,11 @@ from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import ordering as O
 from tidemark.operators import ranking as K
+from tidemark.operators import selection as Q
 from tidemark.operators import windows as WN
-from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, with_
+from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
 from tidemark.plans.market import AR_SQL, OLS_SQL, _ols, ou_frame
+from tidemark.session import small_side
 
 C = F.col
 
@@ -33,8 +35,8 @@ add("normality_tests", lambda s, d: A.normality(returns(s, d), "r", SERIES).with
 
 def _extremes(spark, sf_dir):
     r = returns(spark, sf_dir)
-    cut = r.groupBy("series").agg(F.percentile(F.abs("r"), 0.95).alias("cut"))
-    return r.join(cut, "series").withColumn("far", F.abs("r") >= C("cut"))
+    cut = Q.exact_quantiles(r, SERIES, {"cut": F.abs("r")}, (0.95,)).select("series", C("cut")[0].alias("cut"))
+    return r.join(small_side(cut), "series", "left").withColumn("far", F.abs("r") >= C("cut"))
 
 
 _EXT = RETURNS_SQL + ",\next AS (SELECT *, abs(r) >= quantile_cont(abs(r), 0.95) OVER (PARTITION BY series) AS far FROM returns)"
@@ -56,8 +58,10 @@ add("session_profile", _session_profile, with_(f"SELECT CASE WHEN hour(timestamp
 
 def _spread(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    wide = t.agg(F.percentile("spread", 0.9).alias("cut"))
-    return t.crossJoin(F.broadcast(wide)).groupBy("series", F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.percentile("spread", 0.95).alias("p95"), F.avg((C("spread") >= C("cut")).cast("double")).alias("wide"))
+    wide = Q.exact_quantiles(t, [], {"cut": C("spread")}, (0.9,)).select(C("cut")[0].alias("cut"))  # one row
+    t = t.withColumn("hour", F.hour("ts").cast("long"))
+    out = t.crossJoin(F.broadcast(wide)).groupBy("series", "hour").agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.avg((C("spread") >= C("cut")).cast("double")).alias("wide"))
+    return Q.with_quantiles(out, t, ["series", "hour"], {"spread": (C("spread"), {"p95": 0.95})})
 
 
 add("spread_profile", _spread, with_("SELECT series, hour(ts)::BIGINT AS hour, count(*) AS n, avg(spread) AS mean, quantile_cont(spread, 0.95) AS p95, avg((spread >= (SELECT quantile_cont(spread, 0.9) FROM ticks))::INT) AS wide FROM ticks GROUP BY 1, 2", TICKS_SQL), ["series", "hour", "n"], ["mean", "p95", "wide"])
@@ -72,14 +76,19 @@ def _corrs(spark, sf_dir):
 add("spread_correlations", _corrs, with_("""SELECT a, b, n, c AS corr FROM (SELECT count(vol) AS nv, corr(mean_spread, vol) AS cv, count(r) AS nr, corr(CASE WHEN r IS NOT NULL THEN mean_spread END, abs(r)) AS cr, count(*) AS nt, corr(mean_spread, tick_count) AS ct FROM
   (SELECT *, CASE WHEN count(r) OVER w = 24 THEN stddev_samp(r) OVER w END AS vol FROM returns WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))) x,
   LATERAL (SELECT unnest(['spread', 'spread', 'spread']) AS a, unnest(['vol', 'abs_r', 'ticks']) AS b, unnest([nv, nr, nt]) AS n, unnest([cv, cr, ct]) AS c)""", RETURNS_SQL), ["a", "b", "n"], ["corr"])
-add("activity_profile", lambda s, d: bars(s, d).groupBy("series").agg(F.count("*").alias("bars"), F.avg("tick_count").alias("mean"), F.percentile("tick_count", 0.5).alias("median"), F.percentile("tick_count", 0.95).alias("p95"), F.stddev_samp("tick_count").alias("std")),
+def _activity(b):
+    out = b.groupBy("series").agg(F.count("*").alias("bars"), F.avg("tick_count").alias("mean"), F.stddev_samp("tick_count").alias("std"))
+    return Q.with_quantiles(out, b, SERIES, {"ticks": (C("tick_count"), {"median": 0.5, "p95": 0.95})})
+
+
+add("activity_profile", lambda s, d: _activity(bars(s, d)),
     with_("SELECT series, count(*) AS bars, avg(tick_count) AS mean, median(tick_count) AS median, quantile_cont(tick_count, 0.95) AS p95, stddev_samp(tick_count) AS std FROM bars GROUP BY 1", BARS_SQL), ["series", "bars"], ["mean", "median", "p95", "std"])
 
 
 def _stability(spark, sf_dir):
     r = in_blocks(_extremes(spark, sf_dir), 1)
     r = O.own_rows(r.withColumn("lagged", F.lag("r").over(BW())))
-    return A.yearly_stability(r, F.weekofyear("timestamp").cast("long"), "r", "lagged", C("far"))
+    return A.yearly_stability(r, week(), "r", "lagged", C("far"))
 
 
 add("period_stability", _stability, with_("SELECT week(timestamp)::BIGINT AS period, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, skewness(r) AS skew, kurtosis(r) AS kurtosis, corr(r, l) AS acf1, avg(far::INT) AS extreme_share FROM (SELECT *, lag(r) OVER (PARTITION BY series ORDER BY t) AS l FROM ext) WHERE r IS NOT NULL GROUP BY 1", _EXT), ["period", "n"], ["mean", "std", "skew", "kurtosis", "acf1", "extreme_share"])
@@ -119,14 +128,19 @@ def _decay(spark, sf_dir):
 _Z = OLS_SQL + ",\nzs AS (SELECT * FROM (SELECT series, t, CASE WHEN count(residual) OVER w >= 15 THEN (residual - avg(residual) OVER w) / stddev_samp(residual) OVER w END AS z FROM ols WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE z IS NOT NULL)"
 add("residual_decay", _decay, with_("""SELECT floor(z + 3)::INT AS bin, horizon::INT AS horizon, count(*) AS n, avg(z) AS mean_z, avg(y) AS mean_later, avg((abs(y) < abs(z))::INT) AS toward FROM
   (SELECT *, lead(z, 1) OVER w AS z1, lead(z, 4) OVER w AS z4 FROM zs WINDOW w AS (PARTITION BY series ORDER BY t)), LATERAL (SELECT unnest([1, 4]) AS horizon, unnest([z1, z4]) AS y) WHERE y IS NOT NULL AND z >= -3 AND z < 3 GROUP BY 1, 2""", _Z), ["bin", "horizon", "n"], ["mean_z", "mean_later", "toward"])
-add("ou_classification", lambda s, d: ou_frame(s, d).groupBy("series", "ou_state").agg(F.count("*").alias("n"), F.percentile("ou_half_life", 0.5).alias("half_life")),
+def _ou_states(o):
+    keys = ["series", "ou_state"]
+    return Q.with_quantiles(o.groupBy(*keys).agg(F.count("*").alias("n")), o, keys, {"h": (C("ou_half_life"), {"half_life": 0.5})})
+
+
+add("ou_classification", lambda s, d: _ou_states(ou_frame(s, d)),
     with_("SELECT series, ou_state, count(*) AS n, median(CASE WHEN ou_state = 'valid' THEN -ln(2) / ln(ar_b) END) AS half_life FROM ou GROUP BY 1, 2", AR_SQL), ["series", "ou_state", "n"], ["half_life"])
 
 
 def _segment_fits(spark, sf_dir):
     b = in_blocks(bars(spark, sf_dir).withColumn("x", F.ln("close")), 1)
     b = O.own_rows(b.withColumn("l", F.lag("x").over(BW())))
-    return b.groupBy("series", F.weekofyear("timestamp").cast("long").alias("period")).agg(F.regr_count("x", "l").alias("n"), F.regr_slope("x", "l").alias("b"), F.regr_intercept("x", "l").alias("a"))
+    return b.groupBy("series", week().alias("period")).agg(F.regr_count("x", "l").alias("n"), F.regr_slope("x", "l").alias("b"), F.regr_intercept("x", "l").alias("a"))
 
 
 add("segment_ar1_fits", _segment_fits, with_("SELECT series, week(timestamp)::BIGINT AS period, regr_count(x, l)::BIGINT AS n, regr_slope(x, l) AS b, regr_intercept(x, l) AS a FROM (SELECT series, timestamp, ln(close) AS x, lag(ln(close)) OVER (PARTITION BY series ORDER BY t) AS l FROM bars) GROUP BY 1, 2", BARS_SQL), ["series", "period", "n"], ["b", "a"])
@@ -183,10 +197,8 @@ add("rank_scores", lambda s, d: scored(s, d).select("series", T0(), "u_mom", "u_
 
 def weekly_moments(spark, sf_dir):
     """Weeks stand in for months, of which these data have one."""
-    f = scored(spark, sf_dir).withColumn("day", F.timestamp_seconds(F.weekofyear("timestamp") * 32 * 86_400))
-    m = A.month_moments(f, "day", ["u_mom", "u_vol"], ["u_y"], ["timestamp"])
-    week = m.withColumn("month", F.weekofyear("timestamp")).groupBy("month", "feature", "target").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return week.withColumn("feature", F.substring("feature", 3, 9))
+    m = A.period_moments(scored(spark, sf_dir), week().cast("int"), ["u_mom", "u_vol"], ["u_y"])
+    return m.withColumnRenamed("period", "month").withColumn("feature", F.substring("feature", 3, 9))
 
 
 _CORR = "(sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))"
@@ -252,8 +264,8 @@ def _conditioned(spark, sf_dir):
 
 def _expanding(spark, sf_dir):
     r = returns(spark, sf_dir)
-    q = A.expanding_quantiles(r, "r", F.weekofyear("timestamp"), (0.05, 0.95), 20)
-    j = r.withColumn("period", F.weekofyear("timestamp")).join(F.broadcast(q), "period", "left")
+    q = Q.expanding_quantiles(r, "r", week(), (0.05, 0.95), 20)
+    j = r.withColumn("period", week()).join(small_side(q), "period", "left")
     return j.select("series", T0(), S.clip(C("r"), C("q")[0], C("q")[1]).alias("clipped"), F.when(C("q").isNotNull(), C("r")).alias("r"))
 
 
@@ -262,7 +274,7 @@ add("winsorize_causal", lambda s, d: _expanding(s, d).where("r IS NOT NULL").sel
   WHERE h >= 20 AND r IS NOT NULL""", RETURNS_SQL), ["series", "t"], ["clipped"])
 
 # Quality, drift, agreement, runs.
-add("missing_shares", lambda s, d: A.missing_shares(scored(s, d).withColumn("week", F.weekofyear("timestamp")), ["mom", "vol"], [[], ["series"], ["week"]]),
+add("missing_shares", lambda s, d: A.missing_shares(scored(s, d).withColumn("week", week()), ["mom", "vol"], [[], ["series"], ["week"]]),
     with_("""SELECT "column", series, week::INT AS week, count(*) AS n, avg(gone::INT) AS share FROM (SELECT series, week(timestamp) AS week, unnest(['mom', 'vol']) AS "column", unnest([mom IS NULL, vol IS NULL]) AS gone FROM f) GROUP BY GROUPING SETS (("column"), ("column", series), ("column", week))""", SCORED_SQL), ["column", "series", "week", "n"], ["share"])
 add("drift_ks_wasserstein", lambda s, d: A.ks_and_wasserstein(returns(s, d).where("series = 'view'"), returns(s, d).where("series = 'click'"), "r", 50),
     with_("""SELECT list_max([abs(len(list_filter(qa, lambda e: e <= v)) - len(list_filter(qb, lambda e: e <= v))) / 50.0 for v in list_concat(qa, qb)]) AS ks, list_sum([abs(p[1] - p[2]) for p in list_zip(qa, qb)]) / 50 AS wasserstein
@@ -289,7 +301,7 @@ add("label_agreement", lambda s, d: A.agreement(A.contingency(labelled(s, d), "s
   (SELECT sum(r * (r - 1) / 2) AS i, -sum(r / n * ln(r / n)) AS hx FROM (SELECT DISTINCT a, r, n FROM ct)), (SELECT sum(k * (k - 1) / 2) AS j, -sum(k / n * ln(k / n)) AS hy FROM (SELECT DISTINCT b, k, n FROM ct))""",
     _LAB + ",\nct AS (SELECT a, b, c::DOUBLE AS c, sum(c) OVER (PARTITION BY a)::DOUBLE AS r, sum(c) OVER (PARTITION BY b)::DOUBLE AS k, sum(c) OVER ()::DOUBLE AS n FROM (SELECT state AS a, other AS b, count(*) AS c FROM lab GROUP BY 1, 2))"), ["n"], ["ari", "nmi", "cramers_v"])
 add("eta_squared", lambda s, d: A.eta_squared(labelled(s, d), "close", "state"), with_("SELECT sum(n)::BIGINT AS n, sum(n * (m - g) ** 2) / (sum(n * (m - g) ** 2) + sum(n * v)) AS eta_squared FROM (SELECT count(*) AS n, avg(close) AS m, var_pop(close) AS v FROM lab GROUP BY state), (SELECT avg(close) AS g FROM lab)", _LAB), ["n"], ["eta_squared"])
-add("state_frequency_pivot", lambda s, d: A.frequency_table(labelled(s, d), F.weekofyear("timestamp").cast("long"), "state", [0, 1, 2]), with_("SELECT week(timestamp)::BIGINT AS period, count(*) FILTER (WHERE state >= 0) AS n, " + ", ".join(f"count(*) FILTER (WHERE state = {k}) / count(*) FILTER (WHERE state >= 0) AS share_{k}" for k in range(3)) + " FROM lab GROUP BY 1", _LAB), ["period", "n"], ["share_0", "share_1", "share_2"])
+add("state_frequency_pivot", lambda s, d: A.frequency_table(labelled(s, d), week(), "state", [0, 1, 2]), with_("SELECT week(timestamp)::BIGINT AS period, count(*) FILTER (WHERE state >= 0) AS n, " + ", ".join(f"count(*) FILTER (WHERE state = {k}) / count(*) FILTER (WHERE state >= 0) AS share_{k}" for k in range(3)) + " FROM lab GROUP BY 1", _LAB), ["period", "n"], ["share_0", "share_1", "share_2"])
 
 
 def _outcome_by_state(spark, sf_dir):
