@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,26 @@ def test_winsorized_history_is_earlier(spark, years):
     bounds = lambda df: {x["period"]: (x["history"], x["q"]) for x in expanding_quantiles(df, "r", week(), (0.05, 0.95), 20).collect()}
     a, b = bounds(r), bounds(r.withColumn("r", F.when(week() >= last - 10, 1_000.0).otherwise(F.col("r"))))
     assert len(a) > 100 and {k: v for k, v in a.items() if k <= last - 10} == {k: v for k, v in b.items() if k <= last - 10} and a[last] != b[last]
+
+
+def test_features_of_a_long_series(spark, tmp_path):
+    """More bars than a frame holds, in three files out of order, in one micro-batch; then a second one that goes on."""
+    from tidemark.streaming import bars as SB
+
+    n = 30_000
+    b = spark.range(n, numPartitions=1).select(F.lit("view").alias("series"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), (F.pmod(F.hash("id"), F.lit(900)) / 7.0 + 1).alias("close"))
+    shuffled = lambda df, k: df.repartition(k, F.hash("timestamp")).sortWithinPartitions(F.hash("timestamp", F.lit(7)))
+    first = F.col("timestamp") < F.timestamp_seconds(F.lit(20_011 * 3600))
+    out = None
+    for part in (b.where(first), b.where(~first)):
+        shuffled(part, 3).write.mode("append").parquet(f"{tmp_path}/bars")
+        stream = spark.readStream.schema(b.schema).parquet(f"{tmp_path}/bars")
+        out = SB.replay(SB.stream_features(stream, 6), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = out.orderBy("timestamp").collect()
+    closes = [r["close"] for r in b.orderBy("timestamp").collect()]
+    assert [r["close"] for r in got] == closes
+    x = np.array(closes)
+    assert got[0]["r"] is None and np.allclose([r["r"] for r in got[1:]], np.diff(np.log(x)))
+    w = np.lib.stride_tricks.sliding_window_view(x, 6)
+    assert [r["mean"] for r in got[:5]] == [None] * 5 and np.allclose([r["mean"] for r in got[5:]], w.mean(1))
+    assert np.allclose([r["std"] for r in got[5:]], w.std(1, ddof=1)) and np.allclose([r["z"] for r in got[5:]], (x[5:] - w.mean(1)) / w.std(1, ddof=1))

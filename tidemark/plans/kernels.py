@@ -374,7 +374,7 @@ def _stream_features(spark, sf_dir):
     return SB.replay(SB.stream_features(f, 6), f"{at}/features", f"{at}/s2").select("*", T0())
 
 
-add("stream_features", _stream_features, with_("SELECT series, t, close, ln(close / lag(close) OVER (PARTITION BY series ORDER BY t)) AS r, CASE WHEN count(*) OVER w = 6 THEN avg(close) OVER w END AS mean FROM bars WHERE t + 3600 <= (SELECT epoch(max(ts)) FROM ticks) - 600 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)", BARS_SQL), ["series", "t"], ["close", "r", "mean"])
+add("stream_features", _stream_features, with_("SELECT series, t, close, ln(close / lag(close) OVER (PARTITION BY series ORDER BY t)) AS r, mean, std, (close - mean) / nullif(std, 0) AS z FROM (SELECT *, CASE WHEN count(*) OVER w = 6 THEN avg(close) OVER w END AS mean, CASE WHEN count(*) OVER w = 6 THEN stddev_samp(close) OVER w END AS std FROM bars WHERE t + 3600 <= (SELECT epoch(max(ts)) FROM ticks) - 600 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))", BARS_SQL), ["series", "t"], ["close", "r", "mean", "std", "z"])
 
 
 def _ingested(spark, sf_dir):

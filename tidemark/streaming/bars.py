@@ -102,27 +102,48 @@ def ingest(rows: DataFrame, max_future_seconds: float = 5.0) -> DataFrame:
 
 
 _FEATURE_STATE = "closes array<double>"
+_FEATURE_OUT = "series string, timestamp timestamp, close double, r double, mean double, std double, z double"
+
+
+def window_features(closes: np.ndarray, carried: int, window: int) -> dict[str, np.ndarray]:
+    """Log return, and mean, deviation and z-score over the last ``window`` closes, of all but the first ``carried`` values;
+    NaN where there are too few values before."""
+    n = len(closes) - carried
+    before = np.concatenate([np.full(max(0, window - 1 - carried), np.nan), closes[max(0, carried - window + 1) :]])
+    frames = np.lib.stride_tricks.sliding_window_view(before, window)
+    mean = frames.mean(1)
+    std = frames.std(1, ddof=1) if window > 1 else np.full(n, np.nan)
+    own = closes[carried:]
+    last = np.concatenate([closes[carried - 1 : carried] if carried else [np.nan], own[:-1]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"r": np.log(own / last), "mean": mean, "std": std, "z": np.where(std > 0, (own - mean) / std, np.nan)}
 
 
 def stream_features(bars: DataFrame, window: int) -> DataFrame:
-    """Incremental log return and trailing mean of closes per bar, with the last ``window`` closes as state. Bars of a
-    series must arrive in order, as emitted bars do."""
+    """Incremental log return and trailing mean, deviation and z-score of closes per bar, with the last ``window`` closes as
+    state. Within a micro-batch bars come in any order and in many frames: a series' bars of one micro-batch are held
+    together, 16 bytes each. Micro-batches must follow in time, as emitted bars do; a bar at or before the last one of an
+    earlier micro-batch raises."""
+    ship(bars.sparkSession)
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        import math
-
-        closes = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values("timestamp", kind="stable")
-            r, m = [], []
-            for c in frame["close"]:
-                r.append(math.log(c / closes[-1]) if closes else None)
-                closes = [*closes, c][-window:]
-                m.append(sum(closes) / window if len(closes) == window else None)
-            yield pd.DataFrame({"series": frame["series"], "timestamp": frame["timestamp"], "close": frame["close"], "r": r, "mean": m})
-        state.update((closes,))
-
-    return bars.groupBy("series").applyInPandasWithState(run, "series string, timestamp timestamp, close double, r double, mean double", _FEATURE_STATE, "append", "NoTimeout")
+        carried, last = (list(state.get[0]), state.get[1]) if state.exists else ([], -(2**62))
+        held = [(f["timestamp"].to_numpy("datetime64[us]"), f["close"].to_numpy("float64")) for f in frames]
+        ts, close = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(ts, kind="stable")
+        ts, close = ts[order], close[order]
+        if int(ts[0].astype("int64")) <= last:
+            raise LateTick(f"{key}: a bar at {ts[0]} after a later one")
+        closes = np.concatenate([carried, close])
+        made = window_features(closes, len(carried), window)
+        for k in range(0, len(ts), _LATE_ROWS):
+            part = slice(k, k + _LATE_ROWS)
+            out = pd.DataFrame({"series": key[0], "timestamp": ts[part], "close": close[part], **{c: v[part] for c, v in made.items()}})
+            yield out.astype({c: object for c in made}).where(out.notna(), None)
+        state.update((closes[-window:].tolist(), int(ts[-1].astype("int64"))))
+
+    return bars.select("series", "timestamp", "close").groupBy("series").applyInPandasWithState(run, _FEATURE_OUT, _FEATURE_STATE + ", last long", "append", "NoTimeout")
 
 
 def replay(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
