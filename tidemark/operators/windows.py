@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import ordering as O
+from tidemark.operators.scans import running
 
 
 def frame(w: WindowSpec, n: int, include_current: bool = True) -> WindowSpec:
@@ -292,18 +294,15 @@ def has_future(w, horizon: int) -> Column:
     return F.count(F.lit(1)).over(w.rowsBetween(1, horizon)) == horizon
 
 
-def run_islands(label: Column, w) -> Column:
-    """Number of the run of equal labels that a row belongs to."""
-    change = F.coalesce((label != F.lag(label).over(w)).cast("int"), F.lit(1))
-    return change
-
-
-def with_runs(df: DataFrame, label: str, w) -> DataFrame:
-    """``df`` with ``run`` (number of the maximal constant run) and ``age`` (rows since it began, from 1)."""
-    up = w.rowsBetween(W.unboundedPreceding, 0)
-    marked = df.select("*", run_islands(F.col(label), w).alias("__change"), F.row_number().over(w).alias("__pos"))
-    start = F.max(F.when(F.col("__change") == 1, F.col("__pos"))).over(up)
-    return marked.select("*", F.sum("__change").over(up).alias("run"), (F.col("__pos") - start + 1).alias("age")).drop("__change", "__pos")
+def with_runs(df: DataFrame, label: str, series: list[str], order: list[str], bucket: Column, block_rows: int = O.BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``run`` (number of the maximal constant run) and ``age`` (rows since it began, from 1); runs go on over
+    the blocks of a series. ``bucket`` must ascend with the order."""
+    marked = O.with_previous(df, series, order, bucket, label, "__before")
+    change = F.coalesce((F.col(label) != F.col("__before")).cast("int"), F.lit(1))
+    counted = running(marked.withColumn("__change", change), series, order, bucket, {"run": ("sum", F.col("__change")), "__pos": ("count", F.lit(1))}, block_rows)
+    start = F.when(F.col("__change") == 1, F.col("__pos"))
+    begun = running(counted, series, order, bucket, {"__start": ("max", start)}, block_rows)
+    return begun.select(*df.columns, "run", (F.col("__pos") - F.col("__start") + 1).alias("age"))
 
 
 def scaling_variants(x: Column, w, n: int) -> dict[str, Column]:

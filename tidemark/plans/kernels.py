@@ -17,6 +17,7 @@ from tidemark.operators import grouped as G
 from tidemark.operators import learning as L
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
+from tidemark.operators import scans as SC
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
 from tidemark.session import shared_dir, table
@@ -66,15 +67,26 @@ def _segmented(spark, sf_dir):
 
 
 add("stationarity_by_period", _segmented, None, ["series", "week", "n", "verdict"], ["adf"])
-add("ewma_volatility", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "lagged": SR.ewma_lagged(f["r"].to_numpy(), 0.94, 20), "current": SR.ewma_current(f["r"].to_numpy() ** 2, 0.94)}), "t long, lagged double, current double"),
+add("ewma_volatility", lambda s, d: SC.ewma(_rows(s, d), SERIES, ["timestamp"], F.to_date("timestamp"), "r", 0.94, 20, 512).withColumn("t", F.unix_timestamp("timestamp")),
     with_("""SELECT series, t, lagged, current FROM (WITH RECURSIVE s AS (SELECT series, t, r, row_number() OVER (PARTITION BY series ORDER BY t) AS k FROM returns WHERE r IS NOT NULL),
       seed AS (SELECT series, var_samp(r) FILTER (WHERE k <= 20) AS v, avg(r * r) FILTER (WHERE k <= 50) AS c FROM s GROUP BY 1),
       l AS (SELECT series, 21::BIGINT AS k, v FROM seed UNION ALL SELECT l.series, l.k + 1, 0.94 * l.v + 0.06 * s.r * s.r FROM l JOIN s ON s.series = l.series AND s.k = l.k),
       m AS (SELECT series, 50::BIGINT AS k, c FROM seed UNION ALL SELECT m.series, m.k + 1, 0.94 * m.c + 0.06 * s.r * s.r FROM m JOIN s ON s.series = m.series AND s.k = m.k + 1)
       SELECT s.series, s.t, sqrt(l.v) AS lagged, m.c AS current FROM s LEFT JOIN l USING (series, k) LEFT JOIN m USING (series, k))""", RETURNS_SQL), ["series", "t"], ["lagged", "current"])
-add("variance_recursion", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "h": SR.linear_variance(f["r"].to_numpy(), 0.01, 0.1, 0.85, 1.0)}), "t long, h double"),
+add("variance_recursion", lambda s, d: SC.variance_path(_rows(s, d), SERIES, ["timestamp"], F.to_date("timestamp"), "r", 0.01, 0.1, 0.85, 1.0, 512).withColumn("t", F.unix_timestamp("timestamp")),
     with_("""SELECT series, t, h FROM (WITH RECURSIVE s AS (SELECT series, t, r, row_number() OVER (PARTITION BY series ORDER BY t) AS k FROM returns WHERE r IS NOT NULL),
       v AS (SELECT DISTINCT series, 1::BIGINT AS k, 1.0::DOUBLE AS h FROM s UNION ALL SELECT v.series, v.k + 1, 0.01 + 0.1 * s.r * s.r + 0.85 * v.h FROM v JOIN s ON s.series = v.series AND s.k = v.k) SELECT s.series, s.t, v.h FROM s JOIN v USING (series, k))""", RETURNS_SQL), ["series", "t"], ["h"])
+
+
+def _gap():
+    return F.unix_timestamp("timestamp") - F.unix_timestamp("__before") > 3600
+
+
+add("local_level_filter", lambda s, d: SC.local_level(_rows(s, d).withColumn("y", F.ln("close")), SERIES, ["timestamp"], F.to_date("timestamp"), "y", 0.05, 0.5, _gap(), 512).withColumn("t", F.unix_timestamp("timestamp")),
+    with_("""SELECT series, t, level, variance FROM (WITH RECURSIVE s AS (SELECT series, t, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS k, t - lag(t) OVER (PARTITION BY series ORDER BY t) AS gap FROM returns WHERE r IS NOT NULL),
+      f AS (SELECT series, k, t, y AS level, 0.5::DOUBLE AS variance FROM s WHERE k = 1 UNION ALL
+        SELECT s.series, s.k, s.t, CASE WHEN s.gap > 3600 THEN s.y ELSE f.level + (f.variance + 0.05) / (f.variance + 0.55) * (s.y - f.level) END, CASE WHEN s.gap > 3600 THEN 0.5 ELSE 0.5 * (f.variance + 0.05) / (f.variance + 0.55) END
+        FROM f JOIN s ON s.series = f.series AND s.k = f.k + 1) SELECT * FROM f)""", RETURNS_SQL), ["series", "t"], ["level", "variance"])
 _SPEC = ["entropy", "flatness", "centroid", "dominant_period", "amplitude", "phase", "band_2_6", "band_6_16", "band_16_64"]
 add("rolling_spectrum", _kernel(lambda f: pd.DataFrame(SP.rolling_spectrum(f["r"].to_numpy(), 64)), ", ".join(f"{c} double" for c in _SPEC), 63), None, ["series", "t"], _SPEC)
 _WAVE = ["share_1", "share_2", "share_3", "entropy", "dominant"]

@@ -11,6 +11,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import bars as B
 from tidemark.operators import joins as J
 from tidemark.operators import ordering as O
+from tidemark.operators import scans as SC
 from tidemark.operators import validate as V
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, TICKS_SQL, T0, add, bars, in_blocks, on_bars, ratio_returns, returns, ticks, with_
@@ -217,10 +218,10 @@ add("returns_multi", on_bars(lambda: {"simple_1": S.simple_return(C("close"), _L
 
 
 def _cumulative(spark, sf_dir):
-    w = W.partitionBy("series").orderBy("timestamp")
-    r = returns(spark, sf_dir).withColumn("s", F.expm1("r") / 10)
-    up = w.rowsBetween(W.unboundedPreceding, 0)
-    return r.select("series", T0(), (F.exp(F.sum(F.coalesce("r", F.lit(0.0))).over(up)) - 1).alias("cum_log"), (F.exp(F.sum(F.log1p(F.coalesce("s", F.lit(0.0)))).over(up)) - 1).alias("cum_simple"))
+    r = returns(spark, sf_dir).select("series", "timestamp", F.coalesce("r", F.lit(0.0)).alias("r"))
+    sums = {"up": ("sum", C("r")), "up_simple": ("sum", F.log1p(F.expm1("r") / 10))}
+    out = SC.running(r, SERIES, ["timestamp"], F.to_date("timestamp"), sums, 512)
+    return out.select("series", T0(), (F.exp("up") - 1).alias("cum_log"), (F.exp("up_simple") - 1).alias("cum_simple"))
 
 
 add("returns_cumulative", _cumulative,
@@ -451,8 +452,8 @@ def _event_order(spark, sf_dir):
     q = t.select("series", "ts", F.lit(1).alias("kind"), "seq", "bid")
     c = t.select("series", "ts", F.lit(0).alias("kind"), "seq", C("mid").alias("signal"))
     e = J.event_order([q, c], "ts", "kind", "seq")
-    w = W.partitionBy("series").orderBy("event_key")
-    return e.select("series", "seq", "kind", F.row_number().over(w).alias("n"), F.last("signal", ignorenulls=True).over(w).alias("standing"))
+    totals = {"n": ("count", F.lit(1)), "standing": ("last", C("signal"))}
+    return SC.running(e, SERIES, ["event_key"], F.date_trunc("hour", "ts"), totals, 4_096).select("series", "seq", "kind", C("n").cast("int").alias("n"), "standing")
 
 
 add("join_event_order", _event_order, with_("""SELECT series, seq, kind::INT AS kind, row_number() OVER (PARTITION BY series ORDER BY ts, kind, seq)::INT AS n, last_value(sig IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts, kind, seq) AS standing

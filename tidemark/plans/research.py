@@ -294,7 +294,7 @@ runs AS (SELECT series, run, any_value(state) AS label, count(*) AS length, run
 add("state_run_lengths", lambda s, d: A.run_lengths(labelled(s, d), "state", SERIES, ["timestamp"], F.to_date("timestamp"), 512).select("series", C("run").cast("long").alias("run"), "label", "length", "censored"), with_("SELECT series, run::BIGINT AS run, label, length, censored FROM runs WHERE label >= 0", _RUNS), ["series", "run", "label", "length", "censored"])
 add("state_durations", lambda s, d: A.duration_summary(A.run_lengths(labelled(s, d), "state", SERIES, ["timestamp"], F.to_date("timestamp"), 512)), with_("""SELECT label, count(*) AS runs, count(*) FILTER (WHERE censored) AS censored, sum(length) / sum(sum(length)) OVER () AS share, avg(CASE WHEN NOT censored THEN length END) AS mean, median(CASE WHEN NOT censored THEN length END) AS median,
   quantile_cont(CASE WHEN NOT censored THEN length END, 0.9) AS p90, max(CASE WHEN NOT censored THEN length END) AS max FROM runs WHERE label >= 0 GROUP BY 1""", _RUNS), ["label", "runs", "censored", "max"], ["share", "mean", "median", "p90"])
-add("regime_age", lambda s, d: WN.with_runs(labelled(s, d), "state", W.partitionBy("series").orderBy("timestamp")).select("series", T0(), C("run").cast("long").alias("run"), C("age").cast("long").alias("age")),
+add("regime_age", lambda s, d: WN.with_runs(labelled(s, d), "state", SERIES, ["timestamp"], F.to_date("timestamp"), 512).select("series", T0(), C("run").cast("long").alias("run"), C("age").cast("long").alias("age")),
     with_("SELECT series, t, run::BIGINT AS run, row_number() OVER (PARTITION BY series, run ORDER BY t) AS age FROM (SELECT *, sum(ch) OVER (PARTITION BY series ORDER BY t) AS run FROM (SELECT *, coalesce((state <> lag(state) OVER (PARTITION BY series ORDER BY t))::INT, 1) AS ch FROM lab))", _LAB), ["series", "t", "run", "age"])
 add("label_agreement", lambda s, d: A.agreement(A.contingency(labelled(s, d), "state", "other")), with_("""SELECT n::BIGINT AS n, (ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)) AS ari, mi / ((hx + hy) / 2) AS nmi, sqrt((phi - 1) / (least(rows, cols) - 1)) AS cramers_v FROM
   (SELECT sum(c) AS n, sum(c * (c - 1) / 2) AS ij, sum(c / n * ln(c * n / (r * k))) AS mi, sum(c * c / (r * k)) AS phi, count(DISTINCT a) AS rows, count(DISTINCT b) AS cols FROM ct),

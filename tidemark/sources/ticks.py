@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.bars import ClockRule, to_utc
+from tidemark.operators.scans import running
 
 #: Header patterns, most specific first, and the canonical field each names.
 HEADER_PATTERNS = (
@@ -136,19 +137,42 @@ def source_index(lines: DataFrame, key: Column) -> DataFrame:
     return lines.groupBy(key.alias("key")).agg(F.count("*").alias("lines"), content.alias("content"))
 
 
-def ordering_report(rows: DataFrame, ts: str, seq: str, series: list[str]) -> DataFrame:
-    """Backward jumps against the running maximum of time."""
-    w = W.partitionBy(*series).orderBy(seq)
-    high = F.max(ts).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return rows.select(*series, seq, ts, high.alias("high_water")).where(F.col(ts) < F.col("high_water"))
+#: Source rows of one part of a running maximum or a digest.
+PART_ROWS = 65_536
 
 
-def table_digest(df: DataFrame, seq: str, columns: list[str], keys: list[str]) -> DataFrame:
-    """Order-sensitive digest of every partition: values, nulls and row order enter; rows may be read in any order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(seq))
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
-    numbered = df.select(*keys, F.xxhash64(rank, *cells).alias("h"))
-    return numbered.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("digest"))
+def ordering_report(rows: DataFrame, ts: str, seq: str, series: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Backward jumps against the running maximum of time, which is carried over parts of a series."""
+    part = F.floor(F.col(seq) / part_rows)
+    high = running(rows.select(*series, seq, ts), series, [seq], part, {"high_water": ("max", F.col(ts))}, part_rows)
+    return high.where(F.col(ts) < F.col("high_water"))
+
+
+#: Modulus (a prime) and base of the digest polynomial.
+DIGEST_PRIME, DIGEST_BASE = 2**61 - 1, 1_000_003
+
+
+def table_digest(df: DataFrame, seq: str, columns: list[str], keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Order-sensitive digest of every partition: values, nulls and row order enter; rows may be read in any order.
+
+    The digest is the polynomial of the rows' hashes in order of ``seq`` (ties: of the hash) modulo a prime. Parts of
+    ``part_rows`` source rows are evaluated apart, with the power of the base that stands for their rows, and joined in
+    order: however rows are cut into parts the digest is the same, and no partition is numbered or sorted whole."""
+    big = "decimal(38,0)"
+    number = lambda c: F.lit(c).cast(big) if isinstance(c, int) else c.cast(big)
+    times = lambda a, b: ((a * b) % number(DIGEST_PRIME)).cast(big)
+    plus = lambda a, b: ((a + b) % number(DIGEST_PRIME)).cast(big)
+    # A null differs from every text, and cells do not run into each other.
+    cells = [c for name in columns for c in (F.col(name).isNull(), F.coalesce(F.col(name).cast("string"), F.lit("")))]
+    h = F.pmod(F.xxhash64(*cells), F.lit(DIGEST_PRIME)) + 1
+    rows = df.select(*keys, F.floor(F.col(seq) / part_rows).alias("__part"), F.struct(F.col(seq).alias("s"), h.alias("h")).alias("__r"))
+    listed = rows.groupBy(*keys, "__part").agg(F.array_sort(F.collect_list("__r")).alias("__r"))
+    step = lambda acc, r: plus(times(acc, number(DIGEST_BASE)), number(r["h"]))
+    power = F.aggregate("__r", number(1), lambda acc, r: times(acc, number(DIGEST_BASE)))
+    parts = listed.select(*keys, F.struct("__part", F.size("__r").cast("long").alias("n"), F.aggregate("__r", number(0), step).alias("d"), power.alias("p")).alias("__p"))
+    joined = parts.groupBy(*keys).agg(F.sum("__p.n").alias("rows"), F.array_sort(F.collect_list("__p")).alias("__p"))
+    digest = F.aggregate("__p", number(0), lambda acc, p: plus(times(acc, p["p"]), p["d"]))
+    return joined.select(*keys, "rows", digest.cast("long").alias("digest"))
 
 
 def dataset_version(digests: list[tuple[str, int, int]], settings: dict) -> str:
