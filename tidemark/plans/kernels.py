@@ -15,8 +15,10 @@ from tidemark.functions import simulate as SM
 from tidemark.functions import spectral as SP
 from tidemark.operators import grouped as G
 from tidemark.operators import learning as L
+from tidemark.operators import moments as MO
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
+from tidemark.operators import resampling as RS
 from tidemark.operators import scans as SC
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
@@ -58,15 +60,14 @@ add("autocorrelation_ljung_box", _acf, with_("""SELECT series, n, lag::INT AS la
   SELECT series, lag, any_value(n) AS n, sum(p) / any_value(ss) AS acf FROM (SELECT series, n, ss, unnest([1, 2, 3, 4, 5, 6]) AS lag, unnest([d * lag(d, 1) OVER w, d * lag(d, 2) OVER w, d * lag(d, 3) OVER w, d * lag(d, 4) OVER w, d * lag(d, 5) OVER w, d * lag(d, 6) OVER w]) AS p
   FROM (SELECT *, r - avg(r) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS n, var_pop(r) OVER (PARTITION BY series) * count(*) OVER (PARTITION BY series) AS ss FROM returns WHERE r IS NOT NULL) WINDOW w AS (PARTITION BY series ORDER BY t)) GROUP BY 1, 2)""", RETURNS_SQL),
     ["series", "n", "lag"], ["acf", "ljung_box", "band"])
-add("stationarity_tests", _kernel(lambda f: pd.DataFrame([SR.stationarity(np.log(f["close"].to_numpy()))]), "n long, adf double, adf_p double, adf_lags long, kpss double, kpss_p double, kpss_lags long, verdict string"), None, ["series", "n", "adf_lags", "kpss_lags", "verdict"], ["adf", "adf_p", "kpss", "kpss_p"])
 
 
-def _segmented(spark, sf_dir):
-    r = _rows(spark, sf_dir).withColumn("week", week())
-    return G.per_series(r, [*SERIES, "week"], ["timestamp"], lambda f: pd.DataFrame([{k: v for k, v in SR.stationarity(f["r"].to_numpy()).items() if k in ("n", "adf", "verdict")}]) if len(f) > 60 else pd.DataFrame({"n": [len(f)], "adf": [np.nan], "verdict": ["too_short"]}), "n long, adf double, verdict string")
+def _day():
+    return F.to_date("timestamp")
 
 
-add("stationarity_by_period", _segmented, None, ["series", "week", "n", "verdict"], ["adf"])
+add("stationarity_tests", lambda s, d: MO.stationarity(_rows(s, d).withColumn("x", F.ln("close")), SERIES, ["timestamp"], _day(), "x", block_rows=512), None, ["series", "n", "adf_lags", "kpss_lags", "verdict"], ["adf", "adf_p", "kpss", "kpss_p"])
+add("stationarity_by_period", lambda s, d: MO.stationarity(_rows(s, d).withColumn("week", week()), [*SERIES, "week"], ["timestamp"], _day(), "r", least=61, block_rows=512), None, ["series", "week", "n", "verdict"], ["adf"])
 add("ewma_volatility", lambda s, d: SC.ewma(_rows(s, d), SERIES, ["timestamp"], F.to_date("timestamp"), "r", 0.94, 20, 512).withColumn("t", F.unix_timestamp("timestamp")),
     with_("""SELECT series, t, lagged, current FROM (WITH RECURSIVE s AS (SELECT series, t, r, row_number() OVER (PARTITION BY series ORDER BY t) AS k FROM returns WHERE r IS NOT NULL),
       seed AS (SELECT series, var_samp(r) FILTER (WHERE k <= 20) AS v, avg(r * r) FILTER (WHERE k <= 50) AS c FROM s GROUP BY 1),
@@ -102,8 +103,14 @@ add("causal_modwt_haar", _kernel(_haar, "w1 double, w2 double", 3), with_("SELEC
 add("wavelet_multiresolution", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), **{f"d{k}": v for k, v in enumerate(SP.multiresolution(np.log(f["close"].to_numpy()), "sym4", 3))}}), "t long, d0 double, d1 double, d2 double, d3 double"), None, ["series", "t"], ["d0", "d1", "d2", "d3"])
 add("cwt_ridges", _kernel(lambda f: pd.DataFrame([(a, b, float(np.mean(p))) for a, b, p in SP.ridges(SP.morlet_scalogram(f["r"].to_numpy(), np.geomspace(4, 64, 16)), 2.0, 12)], columns=["start", "end", "scale"]), "start long, end long, scale double"), None, ["series", "start", "end"], ["scale"])
 add("spectral_extrapolation", _kernel(lambda f: pd.DataFrame(SP.extrapolation_errors(np.log(f["close"].to_numpy()), np.arange(63, len(f), 16), 64, 3, (1, 4)), columns=["horizon", "windows", "rmse", "naive"]), "horizon long, windows long, rmse double, naive double"), None, ["series", "horizon", "windows"], ["rmse", "naive"])
-add("bootstrap_mean_ci", _kernel(lambda f: pd.DataFrame([SR.bootstrap_mean(f["r"].to_numpy(), 200)], columns=["mean", "low", "high"]), "mean double, low double, high double"), None, ["series"], ["mean", "low", "high"])
-add("block_bootstrap", _kernel(lambda f: pd.DataFrame([SR.block_bootstrap(f["r"].to_numpy(), np.arange(len(f)) * 2 // len(f), 20, 5, 200, 7)], columns=["mean", "low", "high"]), "mean double, low double, high double"), None, ["series"], ["mean", "low", "high"])
+add("bootstrap_mean_ci", lambda s, d: RS.bootstrap_mean(_rows(s, d), SERIES, ["series", "timestamp"], "r", 200), None, ["series"], ["mean", "low", "high"])
+
+
+def _halves():
+    return F.floor(C(O.INDEX) * 2 / C("__rows"))
+
+
+add("block_bootstrap", lambda s, d: RS.block_bootstrap(_rows(s, d), SERIES, ["timestamp"], _day(), _halves(), "r", 20, 5, 200, block_rows=512), None, ["series"], ["mean", "low", "high"])
 add("change_points", _kernel(lambda f: pd.DataFrame({"start": SR.pelt_mean(np.log(f["close"].to_numpy()))}), "start long"), None, ["series", "start"])
 
 
@@ -118,16 +125,10 @@ add("null_tests", _kernel(_null_tests, "real double, shift_p double, permutation
 add("surrogate_controls", _kernel(lambda f: pd.DataFrame([(k, float(np.std(SR.surrogate(k, f["r"].to_numpy(), 7)))) for k in ("random_walk", "shuffled", "block_bootstrap", "white_noise", "ar_noise")], columns=["kind", "std"]), "kind string, std double"), None, ["series", "kind"], ["std"])
 
 
-def _hac(f):
-    t = f["timestamp"].astype("datetime64[s]").astype("int64").to_numpy()
-    r = f["r"].to_numpy()
-    x = np.c_[np.ones(len(r) - 1), r[:-1]]
-    beta, se, _ = SR.ols(x, r[1:])
-    v = SR.segmented_hac(x, r[1:] - x @ beta, t[1:], 3600, 5)
-    return pd.DataFrame({"slope": [beta[1]], "ols_se": [se[1]], "hac_se": [np.sqrt(v[1, 1])]})
-
-
-add("segmented_hac", _kernel(_hac, "slope double, ols_se double, hac_se double"), None, ["series"], ["slope", "ols_se", "hac_se"])
+add("segmented_hac", lambda s, d: MO.lag_regression(_rows(s, d), SERIES, ["timestamp"], _day(), "r", 3600, 5, 512), with_("""SELECT series, any_value(slope) AS slope, any_value(ols_se) AS ols_se, sqrt(greatest(sum(v * v) + 2 * (""" + " + ".join(f"{1 - k / 6} * coalesce(sum(CASE WHEN t - t{k} = {k * 3600} THEN v * v{k} END), 0)" for k in range(1, 6)) + """), 0)) AS hac_se
+  FROM (SELECT series, t, slope, ols_se, v, """ + ", ".join(f"lag(v, {k}) OVER w AS v{k}, lag(t, {k}) OVER w AS t{k}" for k in range(1, 6)) + """ FROM (SELECT series, t, slope, sqrt((syy - slope * sxy) / greatest(n - 2, 1) * n / det) AS ols_se, (y - a - slope * l) * (n * l - sl) / det AS v FROM p JOIN
+    (SELECT series, slope, a, syy, sxy, n, sl, n * sll - sl * sl AS det FROM (SELECT series, regr_slope(y, l) AS slope, regr_intercept(y, l) AS a, regr_syy(y, l) AS syy, regr_sxy(y, l) AS sxy, count(*)::DOUBLE AS n, sum(l) AS sl, sum(l * l) AS sll FROM p WHERE l IS NOT NULL GROUP BY 1)) USING (series) WHERE l IS NOT NULL)
+  WINDOW w AS (PARTITION BY series ORDER BY t)) GROUP BY 1""", RETURNS_SQL + ",\np AS (SELECT series, t, r AS y, lag(r) OVER (PARTITION BY series ORDER BY t) AS l FROM returns WHERE r IS NOT NULL)"), ["series"], ["slope", "ols_se", "hac_se"])
 add("theil_sen", _kernel(lambda f: pd.DataFrame({"slope": SR.rolling_theil_sen(np.log(f["close"].to_numpy()), 64)}), "slope double", 63),
     with_("""SELECT w.series, w.t, CASE WHEN any_value(w.i) >= 64 THEN median((b.y - a.y) / (b.i - a.i)) END AS slope FROM s w LEFT JOIN s a ON a.series = w.series AND a.i BETWEEN w.i - 63 AND w.i AND w.i >= 64
   LEFT JOIN s b ON b.series = w.series AND b.i > a.i AND b.i <= w.i GROUP BY ALL""", RETURNS_SQL + ",\ns AS (SELECT series, t, ln(close) AS y, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM returns WHERE r IS NOT NULL)"), ["series", "t"], ["slope"])

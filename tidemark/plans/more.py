@@ -14,6 +14,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import grouped as G
 from tidemark.operators import joins as J
 from tidemark.operators import learning as L
+from tidemark.operators import moments as MO
 from tidemark.operators import ordering as O
 from tidemark.operators import selection as Q
 from tidemark.operators import windows as WN
@@ -128,13 +129,7 @@ add("forecasts_on_bars", _forecast_bars, with_("SELECT series, t, open, close /
 
 def _har(spark, sf_dir):
     v = returns(spark, sf_dir).where("r IS NOT NULL").select("series", "timestamp", (C("r") * C("r")).alias("v"))
-
-    def kernel(f):
-        x, y = M.har_design(f["v"].to_numpy(), (1, 6, 24))
-        b = M.nnls(x, y)
-        return pd.DataFrame({"term": ["const", "short", "middle", "long"], "coefficient": b, "n": len(y)})
-
-    return G.per_series(v, SERIES, ["timestamp"], kernel, "term string, coefficient double, n long")
+    return MO.har_nonnegative(v, SERIES, ["timestamp"], F.to_date("timestamp"), "v", (1, 6, 24), ["const", "short", "middle", "long"], 512)
 
 
 add("har_nonnegative", _har, None, ["series", "term", "n"], ["coefficient"])
