@@ -14,15 +14,17 @@ from tidemark.functions import series as SR
 from tidemark.functions import simulate as SM
 from tidemark.functions import spectral as SP
 from tidemark.operators import grouped as G
+from tidemark.operators import hmm as H
 from tidemark.operators import learning as L
 from tidemark.operators import moments as MO
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.operators import resampling as RS
 from tidemark.operators import scans as SC
+from tidemark.operators import selection as Q
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
-from tidemark.session import shared_dir, table
+from tidemark.session import shared_dir, small_side, table, written
 from tidemark.streaming import bars as SB
 
 C = F.col
@@ -144,28 +146,38 @@ def design(spark, sf_dir):
     return f.where(O.OWN).withColumn("i", C(O.INDEX)).drop(O.INDEX, O.BLOCK, O.OWN).where("vol IS NOT NULL AND y IS NOT NULL").withColumn("up", (C("y") > 0).cast("double"))
 
 
-def _hmm(f):
-    x = np.log(np.abs(f["r"].to_numpy()) + 1e-3)[:, None]
-    n = len(x) * 2 // 3
-    s = M.fit_scaler(x[:n])
-    h = M.fit_hmm(M.scale(x[:n], s), 2, "diag", 20)
-    p = M.forward_filter(M.log_gaussian(M.scale(x, s), h["means"], h["covs"]), h["transition"], h["prior"])
-    return pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "state": p.argmax(1), "p1": p[:, 1]})
+def _log_size(spark, sf_dir):
+    """Log size of returns with the row's number and its series' rows."""
+    rows = _rows(spark, sf_dir).select("series", "timestamp", F.ln(F.abs("r") + 1e-3).alias("x"))
+    numbered = written(O.number_rows(rows, SERIES, ["timestamp"], _day(), "i"))
+    return O.beside(numbered, numbered.groupBy(*SERIES).agg(F.count("*").alias("n")), SERIES)
 
 
-add("hmm_causal_filter", _kernel(_hmm, "t long, state long, p1 double"), None, ["series", "t", "state"], ["p1"])
-add("hmm_viterbi_smoothing", _kernel(lambda f: _viterbi(f), "share double, agree double, log_likelihood double"), None, ["series"], ["share", "agree", "log_likelihood"])
+def _packed(df):
+    return H.pack(df, SERIES, ["timestamp"], _day(), ["x"], F.unix_timestamp("timestamp"), 512)
 
 
-def _viterbi(f):
-    x = np.log(np.abs(f["r"].to_numpy()) + 1e-3)[:, None]
-    h = M.fit_hmm(x, 2, "full", 20)
-    lb = M.log_gaussian(x, h["means"], h["covs"])
-    path = M.viterbi(lb, h["transition"], h["prior"])
-    g, _, ll = M.forward_backward(lb, h["transition"], h["prior"])
-    return pd.DataFrame({"share": [path.mean()], "agree": [(g.argmax(1) == path).mean()], "log_likelihood": [ll]})
+def _hmm(spark, sf_dir):
+    """Fitted and scaled on the first two thirds of each series, filtered forward over all of it."""
+    rows = _log_size(spark, sf_dir)
+    seen = C("i") < F.floor(C("n") * 2 / 3)
+    q = small_side(Q.exact_quantiles(rows.where(seen), SERIES, {"q": C("x")}, (0.25, 0.5, 0.75), held=True))
+    spread = (C("q")[2] - C("q")[0]) / 1.349
+    z = (C("x") - C("q")[1]) / F.when(spread > 0, spread).otherwise(1.0)
+    scaled = O.beside(rows, q, SERIES).withColumn("x", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z)))
+    model = H.Model(_packed(scaled.where(seen)), SERIES, 2, 1)
+    return model.filtered(model.fit("diag", 20), _packed(scaled)).select("series", "t", C("state").cast("long").alias("state"), C("p")[1].alias("p1"))
 
 
+def _viterbi(spark, sf_dir):
+    model = H.Model(_packed(_log_size(spark, sf_dir)), SERIES, 2, 1)
+    params = model.fit("full", 20)
+    found = model.smoothed(params).groupBy("series").agg(F.avg("path").alias("share"), F.avg((C("state") == C("path")).cast("double")).alias("agree"))
+    return O.beside(found, params.select("series", C("ll").alias("log_likelihood")), SERIES)
+
+
+add("hmm_causal_filter", _hmm, None, ["series", "t", "state"], ["p1"])
+add("hmm_viterbi_smoothing", _viterbi, None, ["series"], ["share", "agree", "log_likelihood"])
 add("kmeans_states", lambda s, d: L.kmeans_states(design(s, d), _FE, 3).groupBy("state").agg(F.count("*").alias("n"), F.avg("vol").alias("vol")), None, ["state", "n"], ["vol"])
 add("mixture_states", lambda s, d: L.mixture_states(design(s, d), _FE, 2).groupBy("state").agg(F.count("*").alias("n"), F.avg(C("posterior")[0]).alias("p0")), None, ["state", "n"], ["p0"])
 add("principal_components", lambda s, d: L.principal_components(design(s, d), design(s, d), _FE, 2).select("series", "i", F.abs("pc_1").alias("a1"), F.abs("pc_2").alias("a2")), None, ["series", "i"], ["a1", "a2"])
