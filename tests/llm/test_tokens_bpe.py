@@ -102,3 +102,39 @@ def test_the_faster_splitter_gives_the_same_pieces():
         for s in (f"a{ch}b 1{ch}2 {ch}{ch}", f"{ch}'s  {ch}\n{ch} _{ch}_", f"  {ch}"):
             assert fast(s) == slow(s), hex(ord(ch))
     assert piece_splitter(r"\s+|\S+")("a b") == ["a", " ", "b"]
+
+
+ODD = [
+    "price 5€ and 6 €€, now", "→ go → on", "🙂🙂 smile 👩‍👩‍👧 family", "مرحبا بالعالم 123 العربية", "नमस्ते दुनिया, कैसे हो", "สวัสดีชาวโลก ภาษาไทย",
+    "<|endoftext|>€<|endoftext|>  a", "  €  \n\n→\t x", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢 ① ② ③", "  　€ a", "'s€'ll 'x €'re", "€" * 3_000, "ሀሁ ʼn ՙ ᠎ x",
+]
+
+
+def test_odd_scripts_go_through_table_and_cache(spark, monkeypatch):
+    """Every script is cut into pieces that are looked up; the library never counts a whole text of several pieces."""
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = [len(t.encode(x, add_special_tokens=False).ids) for x in ODD]
+    own = Counting(path, P.PATTERN)
+    asked: list[str] = []
+    lengths = own.lengths
+    monkeypatch.setattr(own, "lengths", lambda pieces: asked.extend(pieces) or lengths(pieces))
+    assert own.count(ODD) == want
+    pre = own.tokenizer.pre_tokenizer
+    assert all(len(pre.pre_tokenize_str(p)) == 1 for p in asked) and len(asked) == len(set(asked))
+    asked.clear()
+    assert own.count(ODD) == want and all(len(p) > 64 for p in asked)
+    got = token_counts(spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(3), path, P.PATTERN, size=20)
+    assert [r["n_tokens"] for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_any_text_is_counted_as_the_library_counts():
+    path = P.path("byte_bpe_50k.json")
+    own, t = Counting(path, P.PATTERN), Tokenizer.from_file(path)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from("€→ \n'sltm🙂नม"), max_size=60), max_size=4))
+    def check(texts):
+        assert own.count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+    check()

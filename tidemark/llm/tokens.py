@@ -7,7 +7,7 @@ up in the table, then in the worker's bounded cache, and only distinct misses ar
 is shuffled. The table and the cache decide speed only; every count is the library's own.
 
 Where the library's Unicode tables may class a character otherwise than the ``regex`` module (outside ``PLAIN``), the
-whole text goes through the library.
+library's own pre-tokenizer cuts the text; its pieces are looked up and encoded like all others.
 
 Defined results: a null text is an empty one with no tokens; texts are whole; special strings count as the one token
 the library makes of them by default; repeated rows count each for itself; an empty table gives an empty table; extra
@@ -50,20 +50,24 @@ class Counting:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.pieces_of = piece_splitter(pattern)
         self.odd = regex.compile(f"[^{PLAIN}]").search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)).split if special else None
         self.table_name, self.table, self.known = "", {}, {}
 
-    def split(self, text: str) -> tuple[list[str], int] | None:
-        """Pieces of a text and its number of special strings; None if the library has to see it whole."""
-        if self.odd(text):
-            return None
+    def library_pieces(self, text: str) -> list[str]:
+        """Pieces as the library's own pre-tokenizer cuts them."""
+        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)] if text else []
+
+    def split(self, text: str) -> tuple[list[str], int]:
+        """Pieces of a text and its number of special strings."""
+        pieces_of = self.library_pieces if self.odd(text) else self.pieces_of
         parts = self.special(text) if self.special else [text]
         if len(parts) == 1:
-            return self.pieces_of(text), 0
-        return list(chain.from_iterable(map(self.pieces_of, parts))), len(parts) - 1
+            return pieces_of(text), 0
+        return list(chain.from_iterable(map(pieces_of, parts))), len(parts) - 1
 
     def lengths(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -74,7 +78,7 @@ class Counting:
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(s[0] for s in split if s))
+        distinct = set(chain.from_iterable(pieces for pieces, _ in split))
         missing = [p for p in distinct if p not in self.known]
         if len(self.known) + len(missing) > CACHE_SIZE + len(self.table):
             self.known = dict(self.table)
@@ -83,10 +87,7 @@ class Counting:
             part = missing[k : k + 4096]
             self.known.update(zip(part, self.lengths(part), strict=True))
         get = self.known.__getitem__
-        out = [
-            self.lengths([text])[0] if s is None else s[1] + sum(map(get, s[0]))
-            for text, s in zip(texts, split, strict=True)
-        ]
+        out = [special + sum(map(get, pieces)) for pieces, special in split]
         for p in missing:
             if len(p) > CACHE_CHARS:
                 del self.known[p]
@@ -133,9 +134,8 @@ def frequent_pieces(df: DataFrame, path: str, pattern: str, text: str = "text",
             own = _counting(path, pattern)
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(texts):
-                for s in map(own.split, texts[a:b]):
-                    if s:
-                        counts.update(s[0])
+                for pieces, _ in map(own.split, texts[a:b]):
+                    counts.update(pieces)
                 if len(counts) > COUNTER_SIZE:
                     counts = cut(counts, COUNTER_SIZE // 4)
         top = cut(Counter({p: n for p, n in counts.items() if len(p) <= CACHE_CHARS}), SUMMARY_SIZE)
