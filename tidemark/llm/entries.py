@@ -26,7 +26,7 @@ from tidemark.llm.whitening import whiten
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     out = mix_sources(written(docs), size="words")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
