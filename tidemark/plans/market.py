@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidemark.operators import scans as SC
 from tidemark.operators import validate as V
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, TICKS_SQL, T0, add, bars, in_blocks, on_bars, ratio_returns, returns, ticks, with_
-from tidemark.session import table
+from tidemark.session import shared_dir, table
 from tidemark.sources import store as ST
 from tidemark.sources import ticks as TK
 
@@ -207,6 +208,26 @@ add("source_index", lambda s, d: TK.source_index(ticks(s, d).select(F.date_forma
 add("ordering_report", lambda s, d: TK.ordering_report(defects(s, d).where("ts IS NOT NULL"), "ts", "seq", SERIES).select("series", "seq"),
     with_("SELECT series, seq FROM (SELECT *, max(ts) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM def WHERE ts IS NOT NULL) WHERE ts < hi", DEFECTS_SQL), ["series"], ["seq"])
 add("partition_digest", lambda s, d: TK.table_digest(ticks(s, d), "seq", ["ts", "mid"], SERIES), None, ["series", "rows", "digest"])
+
+
+def _tick_set(spark, sf_dir):
+    """All events as raw tick files, brought into a committed set and verified from its files."""
+    from tidemark.operators.validate import TickRules
+    from tidemark.sources.commits import PLACING, TickSet
+
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    raw = ticks(spark, sf_dir).where("ts IS NOT NULL").select(F.concat_ws(",", F.date_format("ts", "yyyyMMdd HH:mm:ss.SSS"), C("bid").cast("string"), C("ask").cast("string"), F.lit("1")).alias("value"))
+    raw.write.text(f"{root}/raw")
+    ticks_set = TickSet(spark, f"{root}/set")
+    ticks_set.update(f"{root}/raw", TK.TickFormat(), ["DateTime", "Bid", "Ask", "Volume"], TickRules(min_price=-1e9), PLACING)
+    found = ticks_set.verify()
+    rows = [(m, f["rows"], f["stray"], f["disorder"], f["overlap"], found.passed) for m, f in sorted(found.months.items())]  # a row a month
+    return spark.createDataFrame(rows, "month string, rows long, stray long, disorder long, overlap long, passed boolean")
+
+
+add("tick_set_months", _tick_set,
+    with_("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, 0::BIGINT AS stray, 0::BIGINT AS disorder, 0::BIGINT AS overlap, true AS passed FROM ticks WHERE ts IS NOT NULL GROUP BY 1", TICKS_SQL),
+    ["month", "rows", "stray", "disorder", "overlap", "passed"])
 add("table_profile", lambda s, d: ST.profile(ticks(s, d).select("series", "seq", "mid")).select("column", "type", "rows", "nulls"),
     with_("SELECT * FROM (VALUES ('series', 'string'), ('seq', 'bigint'), ('mid', 'double')) v(\"column\", type), (SELECT count(*) AS rows, 0::BIGINT AS nulls FROM ticks)", TICKS_SQL), ["column", "type", "rows", "nulls"])
 

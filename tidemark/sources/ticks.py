@@ -105,10 +105,13 @@ def derived(bid: Column, ask: Column) -> dict[str, Column]:
     return {"mid": (bid + ask) / 2, "spread": ask - bid}
 
 
-def read_raw(spark: SparkSession, path: str, fmt: TickFormat, headers: list[str]) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | None, fmt: TickFormat, headers: list[str], lines: DataFrame | None = None) -> DataFrame:
     """All fields as strings with ``malformed`` for rows of the wrong width, the file, and a source sequence that ascends
-    within it. Tick files have no quoted fields; header lines are left out."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("src_row"))
+    within it. Tick files have no quoted fields; header lines are left out. ``lines`` (``value, src_file, src_row``) may
+    stand for the files of ``path``."""
+    text = lines
+    if text is None:
+        text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("src_row"))
     body = text.where(F.col("value") != fmt.delimiter.join(headers))
     parts = F.split("value", re.escape(fmt.delimiter))
     return body.select("src_file", "src_row", parts.alias("p")).select(
@@ -181,16 +184,6 @@ def dataset_version(digests: list[tuple[str, int, int]], settings: dict) -> str:
     return hashlib.blake2b(body.encode(), digest_size=16).hexdigest()
 
 
-def write_ticks(ticks: DataFrame, path: str, ts: str = "timestamp", seq: str = "src_seq") -> None:
-    """Month partitions, each sorted by time and source sequence. Rows are ranged by time, so a month may span files and
-    no month has to fit one task."""
-    spark = ticks.sparkSession
-    parts = ticks.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = parts.repartitionByRange(n, "year", "month", ts, seq).sortWithinPartitions("year", "month", ts, seq)
-    sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
-
-
 def verify_ticks(ticks: DataFrame, ts: str = "timestamp", seq: str = "src_seq") -> DataFrame:
     """Per month: rows, rows in the wrong month, duplicates, prices that contradict themselves; all but rows should be 0."""
     month = F.struct(F.year(ts), F.month(ts))
@@ -198,34 +191,3 @@ def verify_ticks(ticks: DataFrame, ts: str = "timestamp", seq: str = "src_seq")
     marked = ticks.select("year", "month", (month != F.struct("year", "month")).alias("stray"), dup.alias("dup"), ((F.col("ask") < F.col("bid")) | (F.col("bid") <= 0)).alias("bad"))
     one = lambda c: F.sum(F.coalesce(F.col(c), F.lit(True)).cast("long")).alias(c)
     return marked.groupBy("year", "month").agg(F.count("*").alias("rows"), one("stray"), one("dup"), one("bad"))
-
-
-def convert(
-    spark: SparkSession, source: str, target: str, fmt: TickFormat, headers: list[str], rules, enabled: list[str], known: dict | None = None
-) -> dict:
-    """Raw files to verified month partitions with a manifest. A run whose index and settings equal ``known``'s (an earlier
-    manifest) does nothing."""
-    from tidemark.operators.validate import clean, flag_ticks, reconcile
-
-    settings = {"format": str(fmt), "rules": str(rules), "enabled": enabled}
-    text = spark.read.text(source)
-    index = source_index(text, F.substring("value", 1, 6))
-    plan = sorted((str(r["key"]), r["lines"], r["content"]) for r in index.collect())  # a row a month
-    if known and known["plan"] == [list(p) for p in plan] and known["settings"] == settings:
-        return known
-    raw = read_raw(spark, source, fmt, headers)
-    parsed = to_canonical(raw, fmt).withColumn("src_seq", F.col("src_row"))
-    flagged = flag_ticks(parsed.where(~F.col("malformed")), rules, series=["src_file"], ts="timestamp", seq="src_seq", raw_ts="timestamp_raw", volume="volume" if "volume" in fmt.columns else None)
-    kept, audit = clean(flagged, enabled)
-    write_ticks(kept.select(*canonical_schema(fmt).names), target)
-    rows = {r["reason"]: r["rows"] for r in audit.collect()}
-    malformed = raw.where("malformed").count()
-    ticks = spark.read.parquet(target)
-    digests = [(f"{r['year']}-{r['month']:02d}", r["rows"], r["digest"]) for r in table_digest(ticks, "src_seq", ["timestamp", "bid", "ask"], ["year", "month"]).collect()]
-    written = sum(d[1] for d in digests)
-    dropped = {k: v for k, v in rows.items() if k != "kept"}
-    return {
-        "plan": [list(p) for p in plan], "settings": settings, "rows": written, "dropped": dropped, "malformed": malformed,
-        "reconciliation": reconcile(sum(rows.values()) + malformed, written, dropped, malformed),
-        "version": dataset_version(digests, settings), "partitions": sorted(digests),
-    }
