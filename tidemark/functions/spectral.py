@@ -177,35 +177,12 @@ def rolling_wavelet(x: np.ndarray, window: int, wavelet: str = "haar", levels: i
     return {**{f"share_{j + 1}": share[j] for j in range(levels)}, "entropy": np.where(known, ent, np.nan), "dominant": dominant}
 
 
-def morlet_scalogram(x: np.ndarray, scales: np.ndarray, w0: float = 6.0) -> np.ndarray:
-    """Power of the continuous transform of a whole series: not causal."""
+def morlet_power(x: np.ndarray, scales: np.ndarray, w0: float = 6.0) -> np.ndarray:
+    """Power of the continuous transform, by scale and row, with zeros beyond the ends: not causal."""
     n = 1 << (2 * len(x) - 1).bit_length()
-    f, om = np.fft.fft(x - x.mean(), n), 2 * np.pi * np.fft.fftfreq(n)
+    f, om = np.fft.fft(x, n), 2 * np.pi * np.fft.fftfreq(n)
     out = []
     for s in scales:
         psi = np.pi**-0.25 * np.sqrt(2 * np.pi * s) * np.exp(-0.5 * (s * om - w0) ** 2) * (om > 0)
         out.append(np.abs(np.fft.ifft(f * psi)[: len(x)]) ** 2)
     return np.array(out)
-
-
-def ridges(scalogram: np.ndarray, power_ratio: float = 1.0, min_length: int = 8) -> list[tuple[int, int, list[int]]]:
-    """(start, end, scale by row) of paths of local maxima over scales that move by one scale a row at most."""
-    floor = power_ratio * np.median(scalogram)
-    up, down = np.vstack([scalogram[1:], np.full(scalogram.shape[1], -np.inf)]), np.vstack([np.full(scalogram.shape[1], -np.inf), scalogram[:-1]])
-    peak = (scalogram > down) & (scalogram >= up) & (scalogram > floor)
-    open_: list[tuple[int, list[int]]] = []
-    done = []
-    for t in range(scalogram.shape[1]):
-        here = set(np.flatnonzero(peak[:, t]).tolist())
-        still = []
-        for start, path in open_:
-            near = [k for k in (path[-1], path[-1] - 1, path[-1] + 1) if k in here]
-            if near:
-                path.append(near[0])
-                here.discard(near[0])
-                still.append((start, path))
-            else:
-                done.append((start, t - 1, path))
-        open_ = still + [(t, [k]) for k in sorted(here)]
-    done += [(s, scalogram.shape[1] - 1, p) for s, p in open_]
-    return [d for d in done if len(d[2]) >= min_length]

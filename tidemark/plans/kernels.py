@@ -22,6 +22,7 @@ from tidemark.operators import ordering as O
 from tidemark.operators import resampling as RS
 from tidemark.operators import scans as SC
 from tidemark.operators import selection as Q
+from tidemark.operators import wavelets as WV
 from tidemark.operators import windows as WN
 from tidemark.plans.base import BARS_SQL, BW, RETURNS_SQL, SERIES, T0, TICKS_SQL, add, bars, in_blocks, returns, ticks, week, with_
 from tidemark.session import shared_dir, small_side, table, written
@@ -102,8 +103,12 @@ def _haar(f):
 
 
 add("causal_modwt_haar", _kernel(_haar, "w1 double, w2 double", 3), with_("SELECT series, t, (r - lag(r) OVER w) / 2 AS w1, (r + lag(r) OVER w - lag(r, 2) OVER w - lag(r, 3) OVER w) / 4 AS w2 FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY t)", RETURNS_SQL), ["series", "t"], ["w1", "w2"])
-add("wavelet_multiresolution", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), **{f"d{k}": v for k, v in enumerate(SP.multiresolution(np.log(f["close"].to_numpy()), "sym4", 3))}}), "t long, d0 double, d1 double, d2 double, d3 double"), None, ["series", "t"], ["d0", "d1", "d2", "d3"])
-add("cwt_ridges", _kernel(lambda f: pd.DataFrame([(a, b, float(np.mean(p))) for a, b, p in SP.ridges(SP.morlet_scalogram(f["r"].to_numpy(), np.geomspace(4, 64, 16)), 2.0, 12)], columns=["start", "end", "scale"]), "start long, end long, scale double"), None, ["series", "start", "end"], ["scale"])
+add("wavelet_multiresolution", lambda s, d: WV.multiresolution(_rows(s, d).withColumn("x", F.ln("close")), SERIES, ["timestamp"], _day(), "x", "sym4", 3, 512).select("*", T0()), None, ["series", "t"], ["d0", "d1", "d2", "d3"])
+add("circular_modwt_haar", lambda s, d: WV.circular_modwt(_rows(s, d), SERIES, ["timestamp"], _day(), "r", "haar", 2, 512).select("*", T0()),
+    with_("""SELECT a.series, a.t, (a.r - b.r) / 2 AS w1, (a.r + b.r - c.r - d.r) / 4 AS w2, (a.r + b.r + c.r + d.r) / 4 AS v FROM n a
+      JOIN n b ON b.series = a.series AND b.k = (a.k - 1 + 4 * a.n) % a.n JOIN n c ON c.series = a.series AND c.k = (a.k - 2 + 4 * a.n) % a.n JOIN n d ON d.series = a.series AND d.k = (a.k - 3 + 4 * a.n) % a.n""",
+      RETURNS_SQL, "n AS (SELECT series, t, r, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM returns WHERE r IS NOT NULL)"), ["series", "t"], ["w1", "w2", "v"])
+add("cwt_ridges", lambda s, d: WV.ridges(_rows(s, d), SERIES, ["timestamp"], _day(), "r", list(np.geomspace(4, 64, 16)), 2.0, 12, 512), None, ["series", "start", "end", "length"], ["scale", "ratio"])
 add("spectral_extrapolation", _kernel(lambda f: pd.DataFrame(SP.extrapolation_errors(np.log(f["close"].to_numpy()), np.arange(63, len(f), 16), 64, 3, (1, 4)), columns=["horizon", "windows", "rmse", "naive"]), "horizon long, windows long, rmse double, naive double"), None, ["series", "horizon", "windows"], ["rmse", "naive"])
 add("bootstrap_mean_ci", lambda s, d: RS.bootstrap_mean(_rows(s, d), SERIES, ["series", "timestamp"], "r", 200), None, ["series"], ["mean", "low", "high"])
 
