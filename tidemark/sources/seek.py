@@ -174,7 +174,7 @@ def read_lines(
     """``src_file, src_offset, value``: the lines of ``files``, each with the byte at which it starts.
 
     With ``first`` or ``last``, only lines whose leading characters are at least ``first`` and below ``last``: then every
-    file must be in order of its leading characters behind its header lines (`ordering` of a set's index tells), and only
+    file must be in order of its leading characters behind its header lines, which is not checked, and only
     the bytes of those lines are read. Empty files have no lines; lines may be of any length below 2 GB."""
     out = _source(spark).option("files", json.dumps(files)).option("header_lines", str(header_lines)).option("partition_bytes", str(partition_bytes))
     if first is not None:
