@@ -13,6 +13,7 @@ from tidemark.functions import models as M
 from tidemark.functions import series as SR
 from tidemark.functions import simulate as SM
 from tidemark.functions import spectral as SP
+from tidemark.operators import execution as EX
 from tidemark.operators import grouped as G
 from tidemark.operators import hmm as H
 from tidemark.operators import learning as L
@@ -307,11 +308,18 @@ def _sim_ticks(spark, sf_dir):
     return ticks(spark, sf_dir).select("series", C("ts").alias("timestamp"), "seq", "bid", "ask", "mid")
 
 
+def _execution(spark, sf_dir, scenarios):
+    side = F.when((C("mid") > 100) & ~F.isnan("mid"), -1).otherwise(1)  # every tick is an order
+    rules = SM.ExecutionRules(latency=1, expiry=7200, max_gap=14_400, holding=3 * 3600, commission=0.01)
+    return EX.Execution(_sim_ticks(spark, sf_dir).withColumn("side", side), SERIES, {n: (s, rules) for n, s in scenarios.items()})
+
+
+_STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Scenario(latency=600.0), "outage": SM.Scenario(outage=(1704500000.0, 1704800000.0)), "missed": SM.Scenario(missed=0.3)}
+_BASE = {"base": SM.Scenario()}
 _FILL = "ts double, kind string, order long, side long, price double"
 add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "kind", "order", "side"], ["ts", "price"])
 add("execution_marks", _kernel(lambda f: pd.DataFrame(_orders(f)[1]), "ts double, equity double, drawdown double, position long", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "position"], ["ts", "equity", "drawdown"])
-_STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Scenario(latency=600.0), "outage": SM.Scenario(outage=(1704500000.0, 1704800000.0)), "missed": SM.Scenario(missed=0.3)}
-add("execution_stress", _kernel(lambda f: pd.DataFrame([(k, len(fills), sum(y["kind"] == "open" for y in fills), marks[-1]["equity"] if marks else np.nan) for k, s in _STRESS.items() for fills, marks in [_orders(f, s)]], columns=["scenario", "events", "opened", "equity"]), "scenario string, events long, opened long, equity double", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "scenario", "events", "opened"], ["equity"])
+add("execution_stress", lambda s, d: _execution(s, d, _STRESS).totals(), None, ["series", "scenario", "events", "opened"], ["equity"])
 
 
 def _risk(f):
