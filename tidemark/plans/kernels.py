@@ -318,7 +318,7 @@ _STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Sc
 _BASE = {"base": SM.Scenario()}
 _FILL = "ts double, kind string, order long, side long, price double"
 add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "kind", "order", "side"], ["ts", "price"])
-add("execution_marks", _kernel(lambda f: pd.DataFrame(_orders(f)[1]), "ts double, equity double, drawdown double, position long", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "position"], ["ts", "equity", "drawdown"])
+add("execution_marks", lambda s, d: _execution(s, d, _BASE).marks(), None, ["series", "position"], ["ts", "equity", "drawdown"])
 add("execution_stress", lambda s, d: _execution(s, d, _STRESS).totals(), None, ["series", "scenario", "events", "opened"], ["equity"])
 
 
