@@ -297,13 +297,6 @@ add("level_intervals_cusum", _kernel(_filters, "t long, level double, variance d
 # Event simulation.
 
 
-def _orders(f, scenario=SM.Scenario()):
-    t = f["timestamp"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-    side = np.where(f["mid"].to_numpy() > 100, -1, 1)  # every tick is an order
-    q, o = scenario.quotes(t, f["bid"].to_numpy(), f["ask"].to_numpy()), scenario.orders(t, side)
-    return SM.run_engine(*q, *o, scenario.rules(SM.ExecutionRules(latency=1, expiry=7200, max_gap=14_400, holding=3 * 3600, commission=0.01)))
-
-
 def _sim_ticks(spark, sf_dir):
     return ticks(spark, sf_dir).select("series", C("ts").alias("timestamp"), "seq", "bid", "ask", "mid")
 
@@ -316,8 +309,7 @@ def _execution(spark, sf_dir, scenarios):
 
 _STRESS = {"base": SM.Scenario(), "wide": SM.Scenario(spread=3.0), "slow": SM.Scenario(latency=600.0), "outage": SM.Scenario(outage=(1704500000.0, 1704800000.0)), "missed": SM.Scenario(missed=0.3)}
 _BASE = {"base": SM.Scenario()}
-_FILL = "ts double, kind string, order long, side long, price double"
-add("execution_fills", _kernel(lambda f: pd.DataFrame(_orders(f)[0]), _FILL, source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "kind", "order", "side"], ["ts", "price"])
+add("execution_fills", lambda s, d: _execution(s, d, _BASE).fills(), None, ["series", "kind", "order", "side"], ["ts", "price"])
 add("execution_marks", lambda s, d: _execution(s, d, _BASE).marks(), None, ["series", "position"], ["ts", "equity", "drawdown"])
 add("execution_stress", lambda s, d: _execution(s, d, _STRESS).totals(), None, ["series", "scenario", "events", "opened"], ["equity"])
 
