@@ -413,7 +413,7 @@ def _ingested(spark, sf_dir):
     poll = F.explode(F.when(C("seq") % 50 == 49, F.array(F.floor(C("seq") / 50), F.floor(C("seq") / 50) + 1)).otherwise(F.array(F.floor(C("seq") / 50)))).alias("batch")
     rows = t.select(F.lit("all").alias("series"), poll, "seq", "ts", (C("mid") - 0.01).alias("bid"), (C("mid") + 0.01).alias("ask"), (C("ts") + F.expr("INTERVAL 1 SECOND") * F.when(C("seq") % 500 == 3, -10).otherwise(1)).alias("received"))
     at = _shared(spark)
-    return SB.replay(SB.ingest(rows), f"{at}/out", f"{at}/state").groupBy("seq", "status").agg(F.count("*").alias("n"))
+    return SB.ingest(rows, f"{at}/out", f"{at}/state").groupBy("seq", "status").agg(F.count("*").alias("n"))
 
 
 add("stream_ingest_overlap", _ingested, with_("SELECT seq, CASE WHEN seq % 500 = 3 THEN 'future' ELSE 'new' END AS status, 1::BIGINT AS n FROM ticks UNION ALL SELECT seq, 'repeat', 1 FROM ticks WHERE seq % 50 = 49", TICKS_SQL), ["seq", "status", "n"])

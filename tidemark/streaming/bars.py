@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
 from tidemark.operators.bars import parse_timeframe
 from tidemark.session import ship
 
@@ -63,42 +65,72 @@ def split_late(ticks: DataFrame, timeframe: str, lateness_seconds: float, halt:
     return ticks.select("series", "seq", "ts", "mid").groupBy("series").applyInPandasWithState(run, _LATE_OUT, _LATE_STATE, "append", "NoTimeout")
 
 
-_SEEN_STATE = "second long, seen array<string>"
-
-
-def ingest(rows: DataFrame, max_future_seconds: float = 5.0) -> DataFrame:
+_INGESTED = "series string, batch long, seq long, ts timestamp, bid double, ask double, status string"
+
+
+def statuses(rows: DataFrame, seconds: DataFrame | None = None, seen: DataFrame | None = None, max_future_seconds: float = 5.0) -> DataFrame:
+    """``rows`` with their ``status`` (see `ingest`), their second ``s``, and, of rows that are neither of the future nor older
+    than the last second, which occurrence of their content in their poll they are (``n``). ``seconds`` and ``seen`` are what
+    earlier micro-batches left. Only windows over a content or a block of rows are used. A content has been held as often as
+    it has occurred in the earlier poll with most of it."""
+    us = F.unix_micros("ts")
+    future = F.coalesce(us > F.unix_micros("received") + int(max_future_seconds * 1e6), F.col("ts").isNotNull())
+    price = {c: F.when(~F.isnan(c), F.col(c)) for c in ("bid", "ask")}
+    marked = rows.withColumns({"s": F.expr("(unix_micros(ts) - pmod(unix_micros(ts), 1000000)) div 1000000"), "future": future, **price})
+    run = scans.running(marked, ["series"], ["batch", "seq"], F.floor(F.col("batch") / 1024), {"high": ("max", F.when(~F.col("future"), F.col("s")))})
+    if seconds is not None:
+        run = run.join(F.broadcast(seconds.select(F.col("series").alias("__of"), "second")), F.col("series").eqNullSafe(F.col("__of")), "left").drop("__of")
+    else:
+        run = run.withColumn("second", F.lit(None).cast("long"))
+    live = ~F.col("future") & (F.col("s") >= F.greatest("high", F.coalesce("second", F.lit(-1))))
+    content = ["series", "ts", "bid", "ask"]
+    run = run.withColumn("live", F.coalesce(live, F.lit(False)))
+    # Other rows need no window.
+    rest, run = run.where("NOT live").withColumns({"n": F.lit(None).cast("int"), "held": F.lit(None).cast("int")}), run.where("live")
+    run = run.withColumn("n", F.row_number().over(W.partitionBy(*content, "batch").orderBy("seq")))
+    run = run.withColumn("held", F.max("n").over(W.partitionBy(*content).orderBy("batch").rangeBetween(W.unboundedPreceding, -1)))
+    if seen is not None:
+        keys = ["series", "ts", "bid", "ask"]
+        before = seen.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("n").alias("__n"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        run = run.join(before, on, "left").withColumn("held", F.greatest("held", "__n")).drop(*before.columns)
+    status = F.when(F.col("future"), "future").when(~F.col("live") | (F.col("n") <= F.coalesce("held", F.lit(0))), "repeat").otherwise("new")
+    return run.unionByName(rest).select("series", "batch", "seq", "ts", "bid", "ask", status.alias("status"), "s", "n")
+
+
+def ingest(rows: DataFrame, path: str, checkpoint: str, max_future_seconds: float = 5.0) -> DataFrame:
     """New rows of overlapping polls (``series, batch, seq, ts, bid, ask, received``). Rows of the last second seen may come again and
     are told apart by how often each content has occurred there, as repeats within a second are legal. ``status``:
-    ``new``, ``repeat`` (also rows older than the last second), or ``future`` (too far after the poll was received)."""
-    out = "series string, batch long, seq long, ts timestamp, bid double, ask double, status string"
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        second, seen = state.get if state.exists else (-1, [])
-        held = list(seen)
-        everything = pd.concat(list(frames))
-        for _, poll in everything.groupby("batch", sort=True):
-            poll = poll.sort_values("seq", kind="stable")
-            left, status = list(held), []
-            us = poll["ts"].astype("datetime64[us]").astype("int64")
-            at = poll["received"].astype("datetime64[us]").astype("int64")
-            for t, b, a, now in zip(us, poll["bid"], poll["ask"], at, strict=True):
-                s, content = t // 1_000_000, f"{t}|{b}|{a}"
-                if t > now + max_future_seconds * 1e6:
-                    status.append("future")
-                elif s < second:
-                    status.append("repeat")
-                elif s == second and content in left:
-                    left.remove(content)
-                    status.append("repeat")
-                else:
-                    if s > second:
-                        second, held, left = s, [], []
-                    held.append(content)
-                    status.append("new")
-            yield poll.assign(status=status)[["series", "batch", "seq", "ts", "bid", "ask", "status"]]
-        state.update((int(second), held))
-
-    return rows.groupBy("series").applyInPandasWithState(run, out, _SEEN_STATE, "append", "NoTimeout")
+    ``new``, ``repeat`` (also rows older than the last second), or ``future`` (too far after the poll was received).
+
+    Runs the stream over all that is there now and reads what it wrote; a second run goes on where the first stopped. No task
+    holds a series: what a micro-batch leaves to the next (each series' last second and its contents) are tables in
+    ``checkpoint``, one for each micro-batch, and a micro-batch that is run again replaces what it wrote."""
+    spark = rows.sparkSession
+    at = f"{checkpoint.rstrip('/')}-held"
+    rows = rows.select(F.col("series").cast("string"), *(F.col(c) for c in ("batch", "seq", "ts", "bid", "ask", "received")))
+    full = _INGESTED + ", s long, n int"
+    spark.createDataFrame([], full).write.mode("overwrite").parquet(f"{path}/micro=-1")
+
+    def write(polls: DataFrame, number: int) -> None:
+        here = polls.sparkSession
+        before = {k: here.read.parquet(f"{at}/{k}/{number - 1}") if number else None for k in ("seconds", "seen")}
+        statuses(polls, before["seconds"], before["seen"], max_future_seconds).write.mode("overwrite").parquet(f"{path}/micro={number}")
+        made = here.read.schema(full).parquet(f"{path}/micro={number}").where("n IS NOT NULL")
+        last = made.groupBy("series").agg(F.max("s").alias("second"))
+        seen = made.select("series", "ts", "bid", "ask", "s", "n")
+        if number:
+            last = last.unionByName(before["seconds"]).groupBy("series").agg(F.max("second").alias("second"))
+            seen = seen.unionByName(before["seen"])
+        last.write.mode("overwrite").parquet(f"{at}/seconds/{number}")
+        last = here.read.parquet(f"{at}/seconds/{number}").withColumnRenamed("series", "__of")
+        seen = seen.join(F.broadcast(last), F.col("series").eqNullSafe(F.col("__of")) & (F.col("s") == F.col("second")))
+        seen.groupBy("series", "ts", "bid", "ask", "s").agg(F.max("n").alias("n")).write.mode("overwrite").parquet(f"{at}/seen/{number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(full + ", micro int").parquet(path).select(*[f.split()[0] for f in _INGESTED.split(", ")])
 
 
 _FEATURE_STATE = "closes array<double>"
