@@ -21,6 +21,7 @@ from tidemark.operators import moments as MO
 from tidemark.functions import scalar as S
 from tidemark.operators import ordering as O
 from tidemark.operators import resampling as RS
+from tidemark.operators import risk as RK
 from tidemark.operators import scans as SC
 from tidemark.operators import selection as Q
 from tidemark.operators import wavelets as WV
@@ -314,18 +315,15 @@ add("execution_marks", lambda s, d: _execution(s, d, _BASE).marks(), None, ["ser
 add("execution_stress", lambda s, d: _execution(s, d, _STRESS).totals(), None, ["series", "scenario", "events", "opened"], ["equity"])
 
 
-def _risk(f):
-    e = SM.RiskEngine(3.0, 50.0, 0.02, 3, 90_000)
-    out = []
-    for t, s, m in zip(f["timestamp"].astype("datetime64[s]").astype("int64"), f["seq"], f["mid"], strict=True):
-        if s % 3 == 0:
-            e.observe_account(float(t), 10_000 + m / 10)
-        ok, why = e.evaluate(f"i{s // 2}", float(t), 1.0 + s % 3, 0.0)
-        out.append((int(s), ok, why))
-    return pd.DataFrame(out, columns=["seq", "ok", "reason"])
+def _risk(spark, sf_dir):
+    t, seq = F.unix_timestamp("timestamp"), C("seq")
+    rows = _sim_ticks(spark, sf_dir).select("series", "timestamp", "seq", t.alias("t"), F.concat(F.lit("i"), F.floor(seq / 2)).alias("intent"), (1.0 + seq % 3).alias("size"),
+        F.lit(0.0).alias("exposure"), (10_000 + C("mid") / 10).alias("equity"), (seq % 3 == 0).alias("observed"))
+    limits = {"max_size": 3.0, "max_daily_loss": 50.0, "max_drawdown": 0.02, "max_rate": 3, "stale_after": 90_000}
+    return RK.decisions(rows, SERIES, ["timestamp", "seq"], F.floor(C("t") / 86_400), t="t", intent="intent", size="size", exposure="exposure", equity="equity", observed="observed", **limits)
 
 
-add("risk_decisions", _kernel(_risk, "seq long, ok boolean, reason string", source=_sim_ticks, order=("timestamp", "seq")), None, ["series", "seq", "ok", "reason"])
+add("risk_decisions", _risk, None, ["series", "seq", "ok", "reason"])
 add("intent_states", _kernel(lambda f: pd.DataFrame({"t": f["timestamp"].astype("datetime64[s]").astype("int64"), "state": SM.intent_states(np.where(np.abs(f["r"]) > 1, f["r"], 0), 3, 2)}), "t long, state string"), None, ["series", "t", "state"])
 
 
